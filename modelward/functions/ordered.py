@@ -94,32 +94,54 @@ def count_in_trailing(df: DataFrame, keys: Sequence[str], ts: str, seconds: int,
     )
 
 
+def with_previous(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], columns: dict[str, str], bucket_seconds: int = 86400) -> DataFrame:
+    """Add, under the names in ``columns``, each column's value in the key's previous row by (ts, tie)."""
+    keys = list(keys)
+    rows = df.withColumn("_b", _time_bucket(ts, bucket_seconds)).withColumn("_now", F.struct(*columns))
+    inside = Window.partitionBy(*keys, "_b").orderBy(ts, *tie)
+    along = Window.partitionBy(*keys).orderBy("_b")
+    carried = (
+        rows.groupBy(*keys, "_b")
+        .agg(F.max_by("_now", F.struct(ts, *tie)).alias("_last"))
+        .select(*keys, "_b", F.lag("_last").over(along).alias("_carry"))
+    )
+    found = null_safe_join(rows.withColumn("_prev", F.lag("_now").over(inside)), carried, [*keys, "_b"])
+    was = F.coalesce("_prev", "_carry")
+    return found.select(*df.columns, *[was[c].alias(name) for c, name in columns.items()])
+
+
+def max_before(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], value: str, out: str, bucket_seconds: int = 86400) -> DataFrame:
+    """Add the largest ``value`` among the key's earlier rows by (ts, tie)."""
+    keys = list(keys)
+    rows = df.withColumn("_b", _time_bucket(ts, bucket_seconds))
+    earlier = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_b").orderBy(ts, *tie).rowsBetween(*earlier)
+    along = Window.partitionBy(*keys).orderBy("_b").rowsBetween(*earlier)
+    carried = rows.groupBy(*keys, "_b").agg(F.max(value).alias("_m")).select(*keys, "_b", F.max("_m").over(along).alias("_carry"))
+    found = null_safe_join(rows.withColumn("_in", F.max(value).over(inside)), carried, [*keys, "_b"])
+    return found.select(*df.columns, F.greatest("_in", "_carry").alias(out))
+
+
 def islands(df: DataFrame, key: str, ts: str, tie: str, flag: str, bucket_seconds: int = 86400) -> DataFrame:
     """Runs of consecutive rows with ``flag`` set, per key in time order: first and last time and row count.
 
     A run may span buckets: each bucket learns the last flag before it and how many runs began before it.
     """
-    rows = df.select(key, ts, tie, F.coalesce(F.col(flag), F.lit(False)).alias("_f"), _time_bucket(ts, bucket_seconds).alias("_b"))
-    inside = Window.partitionBy(key, "_b").orderBy(ts, tie)
-    along = Window.partitionBy(key).orderBy("_b")
-    carried = (
-        rows.groupBy(key, "_b")
-        .agg(F.max(F.struct(F.col(ts), F.col(tie), F.col("_f"))).alias("_last"))
-        .select(key, "_b", F.lag("_last._f").over(along).alias("_carry"))
-    )
-    begun = null_safe_join(rows, carried, [key, "_b"]).withColumn(
-        "_start", (F.col("_f") & ~F.coalesce(F.lag("_f").over(inside), F.col("_carry"), F.lit(False))).cast("long")
+    rows = df.select(key, ts, tie, F.coalesce(F.col(flag), F.lit(False)).alias("_f"))
+    begun = with_previous(rows, [key], ts, [tie], {"_f": "_was"}, bucket_seconds).select(
+        "*", _time_bucket(ts, bucket_seconds).alias("_b"), (F.col("_f") & ~F.coalesce("_was", F.lit(False))).cast("long").alias("_start")
     )
+    along = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         begun.groupBy(key, "_b")
         .agg(F.sum("_start").alias("_s"))
-        .select(key, "_b", F.coalesce(F.sum("_s").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    )
-    numbered = null_safe_join(begun, offsets, [key, "_b"]).withColumn(
-        "run_no", F.col("_before") + F.sum("_start").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        .select(key, "_b", F.coalesce(F.sum("_s").over(along), F.lit(0)).alias("_before"))
     )
+    inside = Window.partitionBy(key, "_b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        numbered.where("_f")
+        null_safe_join(begun, offsets, [key, "_b"])
+        .withColumn("run_no", F.col("_before") + F.sum("_start").over(inside))
+        .where("_f")
         .groupBy(key, "run_no")
         .agg(F.min(ts).alias("run_start"), F.max(ts).alias("run_end"), F.count(F.lit(1)).alias("rows_in_run"))
     )

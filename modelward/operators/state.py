@@ -117,16 +117,12 @@ def text_fingerprint(df: DataFrame, columns: Sequence[str], digits: int = 12) ->
     return df.agg(F.count(F.lit(1)).alias("row_count"), F.sum(part.cast("decimal(20,0)")).cast("string").alias("checksum"))
 
 
-def publish_decision(recorded: str | None, found: str | None, proposed: str) -> str:
-    """Whether a table may be overwritten: ``blocked`` when it is not what was last recorded."""
-    if recorded is not None and found is not None and found != recorded:
-        return "blocked"
-    return "unchanged" if found == proposed else "write"
+def publish_decisions(tables: DataFrame, force: bool = False) -> DataFrame:
+    """Whether each published table may be overwritten, from fingerprints (recorded, found, proposed).
 
-
-def publish_decisions(tables: DataFrame) -> DataFrame:
-    """``publish_decision`` for rows of (recorded, found, proposed) fingerprints."""
-    drifted = F.col("recorded").isNotNull() & F.col("found").isNotNull() & (F.col("found") != F.col("recorded"))
+    A table that is not what was last recorded is blocked unless forced; one that already equals the new data is left.
+    """
+    drifted = F.col("recorded").isNotNull() & F.col("found").isNotNull() & (F.col("found") != F.col("recorded")) & F.lit(not force)
     same = F.coalesce(F.col("found") == F.col("proposed"), F.lit(False))
     return tables.withColumn("outcome", F.when(drifted, "blocked").when(same, "unchanged").otherwise("write"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_FAMILIES = ("quality_queries", "feedback_queries", "cost_queries", "governance_queries", "model_queries")
+_FAMILIES = ("quality_queries", "feedback_queries", "cost_queries", "governance_queries", "model_queries", "feature_queries", "stream_queries")
 
 
 def families():

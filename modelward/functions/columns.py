@@ -37,7 +37,7 @@ def within_days(ts: str | Column, as_of, days: int | Column) -> Column:
 
 def whole_seconds(ts: str | Column) -> Column:
     col = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_timestamp(col.cast("timestamp"))
+    return F.unix_seconds(col.cast("timestamp"))
 
 
 def days_between(start, end) -> Column:

@@ -15,7 +15,7 @@ from modelward.functions.relational import null_safe_join
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str], buckets: int = 64) -> DataFrame:
-    """Per key and distinct value: summed weights, and for each weight ``w`` the total ``w_below`` over smaller values.
+    """Per key and distinct value: each weight ``w`` summed, ``w_below`` over smaller values and ``w_total`` over the key.
 
     Bucket edges come from a quantile sketch of the values, so equal values always share a bucket and a retried task
     puts rows where it put them before.
@@ -23,18 +23,19 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, weights: Sequ
     keys = list(keys)
     df = df.where(F.col(value).isNotNull())
     probs = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
-    edges = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, probs, F.lit(buckets * 20))).alias("_edges"))
+    sketch = F.array_distinct(F.percentile_approx(value, probs, F.lit(buckets * 20)))
     counts = df.groupBy(*keys, value).agg(*[F.sum(w).alias(w) for w in weights])
-    placed = (
-        null_safe_join(counts, edges, keys)
-        .withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value))))
-        .drop("_edges")
-    )
-    along = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(*keys, "_bucket")
-        .agg(*[F.sum(w).alias(w) for w in weights])
-        .select(*keys, "_bucket", *[F.coalesce(F.sum(w).over(along), F.lit(0)).alias(f"_before_{w}") for w in weights])
+    if keys:
+        placed = null_safe_join(counts, df.groupBy(*keys).agg(sketch.alias("_edges")), keys)
+    else:
+        placed = counts.withColumn("_edges", df.agg(sketch).scalar())
+    placed = placed.withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    # one row per (key, bucket) from here: without keys that is one small partition
+    whole = Window.partitionBy(*keys)
+    along = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*keys, "_bucket").agg(*[F.sum(w).alias(w) for w in weights])
+    offsets = sums.select(
+        *keys, "_bucket", *[F.coalesce(F.sum(w).over(along), F.lit(0)).alias(f"_before_{w}") for w in weights], *[F.sum(w).over(whole).alias(f"{w}_total") for w in weights]
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return null_safe_join(placed, offsets, [*keys, "_bucket"]).select(
@@ -42,6 +43,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, weights: Sequ
         value,
         *weights,
         *[(F.col(f"_before_{w}") + F.coalesce(F.sum(w).over(inside), F.lit(0))).alias(f"{w}_below") for w in weights],
+        *[f"{w}_total" for w in weights],
     )
 
 
@@ -50,28 +52,25 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
 
     Position ``p * (n - 1)`` falls on or between two neighbouring values; each is found by its count range.
     """
-    keys = list(keys)
-    src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.lit(1).alias("_n"))
+    src = df.select(*keys, F.col(value).cast("double").alias("_v"), F.lit(1).alias("_n"))
     runs = running_totals(src, keys, "_v", ["_n"], buckets)
-    totals = src.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranked = null_safe_join(runs, totals, keys)
     picks = []
     for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
+        pos = F.lit(float(p)) * (F.col("_n_total") - 1)
         for side, k in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             hit = (F.col("_n_below") <= k) & (k < F.col("_n_below") + F.col("_n"))
             picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{name}_{side}"))
-    found = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
+    found = runs.groupBy(*keys).agg(F.max("_n_total").alias("_n_total"), *picks)
     out = []
     for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
+        pos = F.lit(float(p)) * (F.col("_n_total") - 1)
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
     return found.select(*keys, *out)
 
 
 def _time_bucket(ts: str, seconds: int) -> Column:
-    return F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / F.lit(seconds)).cast("long")
+    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(seconds)).cast("long")
 
 
 def count_in_trailing(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, out: str) -> DataFrame:

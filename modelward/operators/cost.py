@@ -27,12 +27,12 @@ def price_in_force(usage: DataFrame, prices: DataFrame, bucket_days: int = 365)
     size = bucket_days * 86400
 
     def bucket(c):
-        return F.floor(F.unix_timestamp(c.cast("timestamp")) / F.lit(size)).cast("long")
+        return F.floor(F.unix_seconds(c.cast("timestamp")) / F.lit(size)).cast("long")
 
     last = usage.agg(F.max(bucket(F.col("usage_start_time"))).alias("b")).scalar()
     first = bucket(F.col("price_start_time"))
-    end = F.coalesce(bucket(F.col("price_end_time")), F.greatest(last, first))
-    windows = prices.where(F.col("price_start_time").isNotNull() & (end >= first)).select(
+    end = F.greatest(F.coalesce(bucket(F.col("price_end_time")), last), first)
+    windows = prices.where(F.col("price_start_time").isNotNull()).select(
         F.col("sku_name").alias("_sku"),
         F.col("price_start_time").alias("_from"),
         F.col("price_end_time").alias("_to"),

@@ -76,12 +76,9 @@ def ks_test(base: DataFrame, current: DataFrame, columns: Sequence[str], thresho
     sides = long_form(base, columns, as_type="double").select("field", "value", F.lit(1).cast("long").alias("b"), F.lit(0).cast("long").alias("c")).unionByName(
         long_form(current, columns, as_type="double").select("field", "value", F.lit(0).cast("long").alias("b"), F.lit(1).cast("long").alias("c"))
     )
-    sides = sides.where(F.col("value").isNotNull())
     runs = running_totals(sides, ["field"], "value", ["b", "c"], buckets)
-    sizes = sides.groupBy("field").agg(F.sum("b").alias("_nb"), F.sum("c").alias("_nc"))
-    # one row per field of the schema: small by construction
-    gap = F.abs(ratio(F.col("b_below") + F.col("b"), F.col("_nb")) - ratio(F.col("c_below") + F.col("c"), F.col("_nc")))
-    out = runs.join(F.broadcast(sizes), "field").groupBy("field").agg(F.max(gap).alias("ks_stat"), F.first("_nb").alias("n_base"), F.first("_nc").alias("n_current"))
+    gap = F.abs(ratio(F.col("b_below") + F.col("b"), F.col("b_total")) - ratio(F.col("c_below") + F.col("c"), F.col("c_total")))
+    out = runs.groupBy("field").agg(F.max(gap).alias("ks_stat"), F.max("b_total").alias("n_base"), F.max("c_total").alias("n_current"))
     return out.withColumn("ks_pvalue", ks_p_value(F.col("ks_stat"), F.col("n_base"), F.col("n_current"))).withColumn("drifted", F.coalesce(F.col("ks_stat") > threshold, F.lit(False))).withColumnRenamed("field", "field_name")
 
 
@@ -93,24 +90,32 @@ def decile_edges(base: DataFrame, columns: Sequence[str], bins: int = 10) -> Dat
     return cut.select("field", F.array_distinct(F.array(*names)).alias("edges"))
 
 
-def _binned(df: DataFrame, columns: Sequence[str], edges: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    at = F.when(F.col("value").isNull(), F.lit(-1)).otherwise(F.size(F.filter("edges", lambda e: e <= F.col("value"))))
-    # one row of edges per field: small by construction
-    return long_form(df, columns, keep, "double").join(F.broadcast(edges), "field").groupBy(*keep, "field", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+def _binned(df: DataFrame, columns: Sequence[str], edges: Mapping[str, Sequence[float]], keep: Sequence[str] = ()) -> DataFrame:
+    def bin_of(c):
+        cuts = F.array(*[F.lit(float(e)) for e in edges.get(c, ())]).cast("array<double>")
+        return F.when(F.col(c).isNull(), F.lit(-1)).otherwise(F.size(F.filter(cuts, lambda e: e <= F.col(c).cast("double"))))
 
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), bin_of(c).alias("bin")) for c in columns])
+    return df.select(*keep, F.explode(cells).alias("_c")).groupBy(*keep, "_c.field", "_c.bin").agg(F.count(F.lit(1)).alias("n"))
 
-def psi_daily(base: DataFrame, current: DataFrame, columns: Sequence[str], ts: str, bins: int = 10, eps: float = 1e-4) -> DataFrame:
+
+def psi_daily(base: DataFrame, current: DataFrame, columns: Sequence[str], ts: str, bins: int = 10, eps: float = 1e-4, edges: DataFrame | None = None) -> DataFrame:
     """Population stability index per field and day against baseline deciles; NULL is a bin of its own.
 
-    Rows shrink to (day, field, bin) counts in the first aggregate.
+    The edges (a few numbers per field of the schema) are read once, or taken from those kept with the baseline; rows
+    then shrink to (day, field, bin) counts in the first aggregate.
     """
-    edges = decile_edges(base, columns, bins)
-    shares = _binned(base, columns, edges).withColumn("_b", F.col("n") / F.sum("n").over(Window.partitionBy("field"))).select("field", "bin", "_b")
-    days = _binned(current.withColumn("window_date", F.to_date(ts)), columns, edges, ["window_date"])
+    kept = (edges if edges is not None else decile_edges(base, columns, bins)).collect()
+    cuts = {r["field"]: r["edges"] for r in kept}
+    shares = _binned(base, columns, cuts)
+    shares = shares.withColumn("_b", F.col("n") / F.sum("n").over(Window.partitionBy("field"))).select("field", "bin", "_b")
+    days = _binned(current.withColumn("window_date", F.to_date(ts)), columns, cuts, ["window_date"])
     # every bin counts on every day, also where neither side has rows
-    totals = days.groupBy("window_date", "field").agg(F.sum("n").alias("_t"))
-    grid = totals.join(edges, "field").select("window_date", "field", "_t", F.explode(F.sequence(F.lit(-1), F.size("edges"))).alias("bin"))
-    cells = grid.join(days, ["window_date", "field", "bin"], "left").join(shares, ["field", "bin"], "left")
+    top = F.element_at(F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(len(cuts.get(c, ()))))]), F.col("field"))
+    found = days.groupBy("window_date", "field").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_m"), F.sum("n").alias("_t"))
+    cells = found.select("window_date", "field", "_t", "_m", F.explode(F.sequence(F.lit(-1), top)).alias("bin")).withColumn("n", F.try_element_at("_m", F.col("bin")))
+    # bins x fields rows: small by construction
+    cells = cells.join(F.broadcast(shares), ["field", "bin"], "left")
     term = psi_term(F.coalesce("n", F.lit(0)) / F.col("_t"), F.col("_b"), eps)
     out = cells.groupBy("window_date", F.col("field").alias("field_name")).agg(F.sum(term).alias("psi_score"), F.max("_t").alias("n_rows"))
     return out.withColumn("band", bucket_below(F.col("psi_score")))

@@ -46,12 +46,9 @@ def auc(df: DataFrame, keys: Sequence[str] = (), score: str = "score", buckets:
     src = df.where(F.col("y_true").isNotNull()).select(
         *keys, F.col(score).cast("double").alias("_s"), (F.col("y_true") == 1).cast("long").alias("pos"), (F.col("y_true") == 0).cast("long").alias("neg")
     )
-    if not keys:
-        src = src.withColumn("_all", F.lit(1))
-    by = keys or ["_all"]
-    runs = running_totals(src, by, "_s", ["pos", "neg"], buckets)
+    runs = running_totals(src, keys, "_s", ["pos", "neg"], buckets)
     won = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
-    return runs.groupBy(*by).agg(ratio(won, F.sum("pos").cast("double") * F.sum("neg")).alias("auc_roc")).select(*keys, "auc_roc")
+    return runs.groupBy(*keys).agg(ratio(won, F.max("pos_total").cast("double") * F.max("neg_total")).alias("auc_roc"))
 
 
 def evaluate(df: DataFrame, keys: Sequence[str] = (), score: str | None = None) -> DataFrame:

@@ -56,21 +56,25 @@ def replace_rows(current: DataFrame, replacement: DataFrame, keys: Sequence[str]
     return current.join(replacement.select(*keys).distinct(), list(keys), "left_anti").unionByName(replacement)
 
 
-def next_versions(current: DataFrame, new: DataFrame, key: str, version: str, order: str) -> DataFrame:
-    """Number new rows of a key onward from its highest version, in the order of a unique numeric column."""
+def next_versions(current: DataFrame, new: DataFrame, key: str, version: str, order: str, newest: str | None = None) -> DataFrame:
+    """Number new rows of a key onward from its highest version, in the order of a unique numeric column.
+
+    ``newest`` names an extra column that marks the last row of each key.
+    """
     top = current.groupBy(key).agg(F.max(version).alias("_top"))
     placed = running_totals(new.select(key, F.col(order).cast("double").alias("_o"), F.lit(1).alias("_one")), [key], "_o", ["_one"])
-    numbered = new.withColumn("_o", F.col(order).cast("double")).join(placed.select(key, "_o", "_one_below"), [key, "_o"]).drop("_o")
-    return numbered.join(top, key, "left").select(*new.columns, (F.coalesce("_top", F.lit(0)) + F.col("_one_below") + 1).alias(version))
+    numbered = new.withColumn("_o", F.col(order).cast("double")).join(placed, [key, "_o"]).drop("_o")
+    cols = [*new.columns, (F.coalesce("_top", F.lit(0)) + F.col("_one_below") + 1).alias(version)]
+    if newest:
+        cols.append((F.col("_one_below") + 1 == F.col("_one_total")).alias(newest))
+    return numbered.join(top, key, "left").select(*cols)
 
 
 def supersede(current: DataFrame, new: DataFrame, key: str, version: str, order: str, active: str = "is_active") -> DataFrame:
     """Close the active rows of the keys with new rows and add these as the following versions; the newest is active."""
-    numbered = next_versions(current, new, key, version, order)
-    newest = numbered.groupBy(key).agg(F.max(version).alias("_newest"))
-    kept = current.join(newest, key, "left").withColumn(active, F.col(active) & F.col("_newest").isNull()).drop("_newest")
-    added = numbered.join(newest, key).withColumn(active, F.col(version) == F.col("_newest")).drop("_newest")
-    return kept.unionByName(added, allowMissingColumns=True)
+    replaced = new.select(key).distinct().withColumn("_replaced", F.lit(True))
+    kept = current.join(replaced, key, "left").withColumn(active, F.col(active) & F.col("_replaced").isNull()).drop("_replaced")
+    return kept.unionByName(next_versions(current, new, key, version, order, newest=active), allowMissingColumns=True)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:

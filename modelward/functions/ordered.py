@@ -14,7 +14,14 @@ from pyspark.sql import functions as F
 from modelward.functions.relational import null_safe_join
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str], buckets: int = 64) -> DataFrame:
+def _edges_below(edges: str, value: str, stride: int = 16) -> Column:
+    """How many of the sorted edges are smaller: a look at every ``stride``-th, then at the few after the last hit."""
+    smaller = lambda e: e < F.col(value)
+    skipped = F.size(F.filter(F.filter(edges, lambda _, i: i % stride == stride - 1), smaller)) * stride
+    return skipped + F.size(F.filter(F.slice(edges, skipped + 1, stride), smaller))
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str], buckets: int = 256) -> DataFrame:
     """Per key and distinct value: each weight ``w`` summed, ``w_below`` over smaller values and ``w_total`` over the key.
 
     Bucket edges come from a quantile sketch of the values, so equal values always share a bucket and a retried task
@@ -29,7 +36,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, weights: Sequ
         placed = null_safe_join(counts, df.groupBy(*keys).agg(sketch.alias("_edges")), keys)
     else:
         placed = counts.withColumn("_edges", df.agg(sketch).scalar())
-    placed = placed.withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    placed = placed.withColumn("_bucket", _edges_below("_edges", value)).drop("_edges")
     # one row per (key, bucket) from here: without keys that is one small partition
     whole = Window.partitionBy(*keys)
     along = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,7 +54,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, weights: Sequ
     )
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int = 256) -> DataFrame:
     """Interpolated quantiles per key, spread over value buckets. One output column per entry of ``probs``.
 
     Position ``p * (n - 1)`` falls on or between two neighbouring values; each is found by its count range.
@@ -93,7 +100,7 @@ def count_in_trailing(df: DataFrame, keys: Sequence[str], ts: str, seconds: int,
     )
 
 
-def with_previous(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], columns: dict[str, str], bucket_seconds: int = 86400) -> DataFrame:
+def with_previous(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], columns: dict[str, str], bucket_seconds: int = 3600) -> DataFrame:
     """Add, under the names in ``columns``, each column's value in the key's previous row by (ts, tie)."""
     keys = list(keys)
     rows = df.withColumn("_b", _time_bucket(ts, bucket_seconds)).withColumn("_now", F.struct(*columns))
@@ -109,7 +116,7 @@ def with_previous(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str
     return found.select(*df.columns, *[was[c].alias(name) for c, name in columns.items()])
 
 
-def max_before(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], value: str, out: str, bucket_seconds: int = 86400) -> DataFrame:
+def max_before(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], value: str, out: str, bucket_seconds: int = 3600) -> DataFrame:
     """Add the largest ``value`` among the key's earlier rows by (ts, tie)."""
     keys = list(keys)
     rows = df.withColumn("_b", _time_bucket(ts, bucket_seconds))
@@ -121,7 +128,7 @@ def max_before(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str],
     return found.select(*df.columns, F.greatest("_in", "_carry").alias(out))
 
 
-def islands(df: DataFrame, key: str, ts: str, tie: str, flag: str, bucket_seconds: int = 86400) -> DataFrame:
+def islands(df: DataFrame, key: str, ts: str, tie: str, flag: str, bucket_seconds: int = 3600) -> DataFrame:
     """Runs of consecutive rows with ``flag`` set, per key in time order: first and last time and row count.
 
     A run may span buckets: each bucket learns the last flag before it and how many runs began before it.
@@ -154,7 +161,7 @@ def latest_before(
     right_ts: str,
     right_tie: str,
     take: Sequence[str],
-    bucket_seconds: int = 86400,
+    bucket_seconds: int = 3600,
     lookback_seconds: int | None = None,
 ) -> DataFrame:
     """As-of left join: each left row gets the ``take`` columns of the latest right row at or before its time.

@@ -71,7 +71,7 @@ def baseline(df: DataFrame, columns: Sequence[str], categorical: Sequence[str] =
     )
 
 
-def ks_test(base: DataFrame, current: DataFrame, columns: Sequence[str], threshold: float = 0.1, buckets: int = 64) -> DataFrame:
+def ks_test(base: DataFrame, current: DataFrame, columns: Sequence[str], threshold: float = 0.1, buckets: int = 256) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic and p-value per field; drift is a statistic above the threshold."""
     sides = long_form(base, columns, as_type="double").select("field", "value", F.lit(1).cast("long").alias("b"), F.lit(0).cast("long").alias("c")).unionByName(
         long_form(current, columns, as_type="double").select("field", "value", F.lit(0).cast("long").alias("b"), F.lit(1).cast("long").alias("c"))
@@ -216,7 +216,7 @@ def sliced_monitor(df: DataFrame, ts: str, size: str, key: str, slices: Sequence
     )
 
 
-def sustained_breaches(df: DataFrame, key: str, ts: str, tie: str, breach: str, seconds: int, bucket_seconds: int = 86400) -> DataFrame:
+def sustained_breaches(df: DataFrame, key: str, ts: str, tie: str, breach: str, seconds: int, bucket_seconds: int = 3600) -> DataFrame:
     """Runs of consecutive breaches that last at least ``seconds``."""
     runs = islands(df, key, ts, tie, breach, bucket_seconds)
     return runs.withColumn("duration_s", F.timestamp_diff("SECOND", F.col("run_start"), F.col("run_end"))).where(F.col("duration_s") >= seconds)

@@ -40,7 +40,7 @@ def _metrics() -> dict[str, Column]:
     }
 
 
-def auc(df: DataFrame, keys: Sequence[str] = (), score: str = "score", buckets: int = 64) -> DataFrame:
+def auc(df: DataFrame, keys: Sequence[str] = (), score: str = "score", buckets: int = 256) -> DataFrame:
     """Area under the ROC curve by rank sums over distinct scores; NULL when one class is missing."""
     keys = list(keys)
     src = df.where(F.col("y_true").isNotNull()).select(

@@ -109,7 +109,7 @@ def training_set(base: DataFrame, lookups: Sequence[tuple[DataFrame, Sequence[st
     return out.drop(*exclude)
 
 
-def point_in_time_set(labels: DataFrame, features: DataFrame, keys: Sequence[str], label_ts: str, feature_ts: str, tie: str, take: Sequence[str], lookback_days: int | None = None, bucket_seconds: int = 86400) -> DataFrame:
+def point_in_time_set(labels: DataFrame, features: DataFrame, keys: Sequence[str], label_ts: str, feature_ts: str, tie: str, take: Sequence[str], lookback_days: int | None = None, bucket_seconds: int = 3600) -> DataFrame:
     """Each label with the feature values known at its time."""
     lookback = None if lookback_days is None else lookback_days * 86400
     return latest_before(labels, features, keys, label_ts, feature_ts, tie, take, bucket_seconds, lookback)

@@ -87,7 +87,7 @@ def duplicate_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def outlier_counts(df: DataFrame, columns: Sequence[str], factor: float = 3.0, buckets: int = 64) -> DataFrame:
+def outlier_counts(df: DataFrame, columns: Sequence[str], factor: float = 3.0, buckets: int = 256) -> DataFrame:
     """Values outside [Q1 - factor*IQR, Q3 + factor*IQR] per column, with exact quartiles."""
     cells = long_form(df, columns, as_type="double")
     fences = exact_quantiles(cells, ["field"], "value", {"q1": 0.25, "q3": 0.75}, buckets).select(

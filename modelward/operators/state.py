@@ -45,6 +45,15 @@ def merge_upsert(
     return both.select(*cols)
 
 
+def upsert_touched(current: DataFrame, changes: DataFrame, keys: Sequence[str], update: Sequence[str], order: Sequence[Column], partition: str) -> DataFrame:
+    """Next rows of the partitions that ``changes`` touches; the others need no rewrite.
+
+    Write the result with ``tables.overwrite_partitions``.
+    """
+    touched = changes.select(partition).distinct()
+    return merge_upsert(current.join(touched, partition, "left_semi").select(*current.columns), changes, keys, update, order)
+
+
 def insert_if_absent(current: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
     """Rows of ``new`` whose key ``current`` does not hold, one per key: what a write should append."""
     one = top_per_key(new, keys, order) if order else new

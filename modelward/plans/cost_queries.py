@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from modelward.operators import cost
+from modelward.operators.state import upsert_touched
 from modelward.plans.registry import Registry
+from modelward.session import fresh_folder
+from modelward.sources.tables import overwrite_partitions
 from modelward.sources.workload import AS_OF, check_with
 
 R = Registry()
@@ -54,6 +57,18 @@ def cost_merge(w):
     return out.select("project_id", F.col("date").cast("string").alias("date"), usd("total_cost_usd"), "merge_action")
 
 
+@R.add("cost_merge_touched_months", cost_sql("""SELECT project_id, strftime(date, '%Y-%m-%d') AS date, round(CASE WHEN date >= DATE '2001-08-01' - INTERVAL 400 DAY THEN total ELSE 1 END, 4) AS total_cost_usd
+    FROM costs WHERE date < DATE '2001-01-01' OR date >= DATE '2001-08-01' - INTERVAL 400 DAY"""))
+def cost_merge_touched_months(w):
+    path = fresh_folder(w.spark, "cost_tracking")
+    old = all_costs(w).where("date < '2001-01-01'").select("project_id", "date", F.lit(1.0).alias("total_cost_usd"), F.date_format("date", "yyyy-MM").alias("month"))
+    overwrite_partitions(old, path, ["month"])
+    fresh = cost.project_costs(w.tagged_usage(), w.nested_prices(), AS_OF, 400).select("project_id", "date", "total_cost_usd", F.date_format("date", "yyyy-MM").alias("month"))
+    held = w.spark.read.schema(old.schema).parquet(path)
+    overwrite_partitions(upsert_touched(held, fresh, ["project_id", "date"], ["total_cost_usd"], [F.desc("total_cost_usd")], "month"), path, ["month"])
+    return w.spark.read.schema(old.schema).parquet(path).select("project_id", F.col("date").cast("string").alias("date"), usd("total_cost_usd"))
+
+
 @R.add("cost_by_project", cost_sql("SELECT project_id, round(sum(total), 4) AS total_usd FROM costs WHERE date >= DATE '2001-08-01' - INTERVAL 365 DAY GROUP BY project_id"))
 def cost_by_project(w):
     return cost.rollup_by_project(all_costs(w), AS_OF, 365).select("project_id", usd("total_usd"))

@@ -45,6 +45,11 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
     return int(seen.get["rows"])
 
 
+def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Replace only the partitions that ``df`` holds; each is swapped in when the whole write has succeeded."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
 def import_csv(spark: SparkSession, path: str, contract_id: str) -> tuple[DataFrame, DataFrame]:
     """(rows, contract columns) of a CSV file with a header; types are detected from the values."""
     df = spark.read.csv(path, header=True, inferSchema=True, multiLine=False)

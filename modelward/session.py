@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def build_session(app: str = "modelward", cores: str | int = "*", shuffle_partitions: int | None = None) -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     builder = (
@@ -31,14 +34,15 @@ def shared_root(spark: SparkSession) -> str:
 
     A temporary folder stands in only for a local master, where driver and executors share the disk.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="modelward-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="modelward-")
+    return _LOCAL_ROOTS[app]
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:

@@ -29,7 +29,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, weights: Sequ
     """
     keys = list(keys)
     df = df.where(F.col(value).isNotNull())
-    probs = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
+    probs = F.expr("array(" + ", ".join(f"{(i + 1) / buckets}D" for i in range(buckets - 1)) + ")")
     sketch = F.array_distinct(F.percentile_approx(value, probs, F.lit(buckets * 20)))
     counts = df.groupBy(*keys, value).agg(*[F.sum(w).alias(w) for w in weights])
     if keys:

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelward.functions.columns import ON_DUE_ACTIONS, count_where, instant, ladder_level, level_rank, ratio, share, strictest, within_days
+from modelward.functions.columns import CLASSIFICATIONS, ON_DUE_ACTIONS, count_where, instant, ladder_level, level_rank, ratio, row_id, share, strictest, within_days
 from modelward.functions.relational import top_per_key
+from modelward.operators.state import merge_upsert
 
 # Oldest review date that still counts as reviewed, in days.
 VALUE_FN_MAX_AGE_DAYS = 365
@@ -110,6 +111,47 @@ def revalidation_block(flags: DataFrame) -> DataFrame:
     return flags.where(F.col("status").isin("due", "in_revalidation")).groupBy("project_id").agg(strictest(F.col("on_due_action"), ON_DUE_ACTIONS).alias("block_action"))
 
 
+def revalidation_candidates(projects: DataFrame, models: DataFrame, versions: DataFrame) -> DataFrame:
+    """Registered models of projects that have a risk tier, each once."""
+    named = versions.where(F.col("uc_full_name").isNotNull()).select("model_id", "uc_full_name").distinct()
+    tiered = projects.where(F.col("risk_tier").isNotNull()).select("project_id")
+    return named.join(models, "model_id").join(tiered, "project_id").select("project_id", "uc_full_name").distinct()
+
+
+def start_revalidation(flags: DataFrame, gates: DataFrame, models: DataFrame, requested_by: str, as_of) -> tuple[DataFrame, DataFrame]:
+    """Open the gate re-runs of all due flags: (new approval requests, flags under review with their request ids).
+
+    A project without required gates or without a tracked model stays due.
+    """
+    keys = ["project_id", "uc_full_name"]
+    model = models.groupBy("project_id").agg(F.min("model_id").alias("model_id"))
+    due = flags.where("status = 'due'").select(*keys).join(gates.distinct(), "project_id").join(model, "project_id")
+    opened = due.select(
+        *keys, "model_id", "approval_gate", row_id(F.lit("revalidation"), *keys, "approval_gate", F.lit(str(as_of))).alias("approval_id"), F.lit("pending").alias("status"),
+        F.lit(1).alias("required_count"), F.lit(requested_by).alias("requested_by"), instant(as_of).alias("requested_timestamp"),
+    )
+    # as many ids as the project has gates
+    ids = opened.groupBy(*keys).agg(F.sort_array(F.collect_set("approval_id")).alias("_ids"))
+    moved = flags.join(ids, keys, "left")
+    started = F.col("_ids").isNotNull()
+    out = moved.withColumn("status", F.when(started, "in_revalidation").otherwise(F.col("status"))).withColumn("revalidation_approval_ids", F.coalesce("_ids", "revalidation_approval_ids"))
+    return opened, out.select(*flags.columns)
+
+
+def clear_completed(flags: DataFrame, complete: DataFrame, as_of) -> DataFrame:
+    """Flags after the completion check: those whose gates are all approved are cleared now."""
+    keys = ["project_id", "uc_full_name"]
+    done = complete.where("is_complete").select(*keys).withColumn("_done", F.lit(True))
+    hit = F.coalesce("_done", F.lit(False)) & (F.col("status") == "in_revalidation")
+    out = flags.join(done, keys, "left").withColumn("cleared_timestamp", F.when(hit, instant(as_of)).otherwise(F.col("cleared_timestamp"))).withColumn("status", F.when(hit, "cleared").otherwise(F.col("status")))
+    return out.select(*flags.columns)
+
+
+def dataset_classification(columns: DataFrame, key: str, level: str = "classification") -> DataFrame:
+    """Classification of each data set: the most restrictive among its columns; unknown levels do not count."""
+    return columns.groupBy(key).agg(strictest(F.col(level), CLASSIFICATIONS).alias("classification"))
+
+
 def revalidate(champions: DataFrame, tiers: DataFrame, flags: DataFrame, as_of) -> DataFrame:
     """Next revalidation flag of every champion, with the transition taken.
 
@@ -235,8 +277,6 @@ def duty_conflicts(deployments: DataFrame, votes: DataFrame, approvals: DataFram
 
 def sync_packs(current: DataFrame, packs: DataFrame) -> DataFrame:
     """Upsert the requirement rows, one per pack and tier."""
-    from modelward.operators.state import merge_upsert
-
     keys = ["policy_pack_id", "risk_tier"]
     return merge_upsert(current, packs, keys, [c for c in current.columns if c not in keys], [F.asc("source_file")] if "source_file" in packs.columns else [F.asc("risk_tier")])
 

@@ -262,3 +262,10 @@ def data_version_manifest(w):
     parts = w.lineitem.select(F.concat(F.lit("p"), F.col("l_suppkey")).alias("project_id"), "l_partkey").distinct().groupBy("project_id").agg(F.count(F.lit(1)).alias("parts"))
     quality = w.projects.select("project_id", F.lit("good").alias("quality_status"))
     return sn.version_manifest(rows, parts, quality, "c0de").select("project_id", "total_rows", F.size("sources").alias("sources"), "parts")
+
+
+@R.add("recorded_pass", "SELECT 'score' AS job_name, count(*) AS rows_examined, count(*) FILTER (o_orderstatus = 'P') AS rows_changed, 'ok' AS status FROM orders")
+def recorded_pass(w):
+    root = fresh_folder(w.spark, "passes")
+    tb.record_pass("score", w.orders, lambda df: df.where("o_orderstatus = 'P'").select("o_orderkey"), f"{root}/out", f"{root}/log", AS_OF)
+    return st.run_health(w.spark.read.parquet(f"{root}/log")).select("job_name", "rows_examined", "rows_changed", "status")

@@ -181,6 +181,35 @@ def revalidation_complete(w):
     return g.revalidation_complete(reviewing, w.approvals).drop("uc_full_name")
 
 
+@R.add("revalidation_candidates", check_sql("projects models model_versions", "SELECT DISTINCT p.project_id, v.uc_full_name FROM projects p JOIN models m ON m.project_id = p.project_id JOIN model_versions v ON v.model_id = m.model_id WHERE p.risk_tier IS NOT NULL AND v.uc_full_name IS NOT NULL"))
+def revalidation_candidates(w):
+    return g.revalidation_candidates(w.projects, w.models, w.model_versions)
+
+
+OPENED = f"{TIERS}, fl AS ({FLAGS}), op AS (SELECT fl.project_id, fl.uc_full_name, m.model_id, req.approval_gate, sha256(concat('revalidation:', fl.project_id, ':', fl.uc_full_name, ':', approval_gate, ':2001-08-01 00:00:00')) AS approval_id FROM fl JOIN req ON req.project_id = fl.project_id JOIN models m ON m.project_id = fl.project_id WHERE fl.status = 'due')"
+
+
+def _started(w):
+    held = flags(w).withColumn("revalidation_approval_ids", F.array().cast("array<string>"))
+    return g.start_revalidation(held, g.required_gates(tiers(w)), w.models, "ops", AS_OF)
+
+
+@R.add("revalidation_requests", check_with("projects models", OPENED, "SELECT project_id, model_id, approval_gate, approval_id FROM op"))
+def revalidation_requests(w):
+    return _started(w)[0].select("project_id", "model_id", "approval_gate", "approval_id")
+
+
+@R.add("revalidation_flags_started", check_with("projects models", OPENED, "SELECT fl.project_id, CASE WHEN count(op.approval_id) > 0 THEN 'in_revalidation' ELSE fl.status END AS status, count(op.approval_id) AS requests FROM fl LEFT JOIN op ON op.project_id = fl.project_id GROUP BY fl.project_id, fl.status"))
+def revalidation_flags_started(w):
+    return _started(w)[1].select("project_id", "status", F.size("revalidation_approval_ids").alias("requests"))
+
+
+@R.add("dataset_classification", """SELECT l_suppkey AS dataset, CASE max(CASE l_returnflag WHEN 'R' THEN CASE WHEN l_tax > 0.07 AND l_quantity > 48 THEN 3 ELSE 2 END WHEN 'N' THEN 1 END) WHEN 3 THEN 'restricted' WHEN 2 THEN 'sensitive' WHEN 1 THEN 'internal' END AS classification FROM lineitem GROUP BY 1""")
+def dataset_classification(w):
+    level = F.when(F.col("l_returnflag") == "R", F.when((F.col("l_tax") > 0.07) & (F.col("l_quantity") > 48), "restricted").otherwise("sensitive")).when(F.col("l_returnflag") == "N", "internal").otherwise("unheard of")
+    return g.dataset_classification(w.lineitem.select(F.col("l_suppkey").alias("dataset"), level.alias("classification")), "dataset")
+
+
 ALERTS = """ev AS (SELECT concat('al', CAST(user_id AS STRING)) AS alert_id, ts AS triggered_timestamp, CASE WHEN value > 150 THEN 'critical' ELSE 'warning' END AS alert_severity,
     value < 80 AS resolved, event_id FROM events WHERE event_type = 'error')"""
 

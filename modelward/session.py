@@ -20,6 +20,7 @@ def build_session(app: str = "modelward", cores: str | int = "*", shuffle_partit
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", os.environ.get("MODELWARD_DRIVER_MEMORY", "12g"))

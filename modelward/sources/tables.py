@@ -45,6 +45,28 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
     return int(seen.get["rows"])
 
 
+def record_pass(job: str, source: DataFrame, run, path: str, log_path: str, as_of) -> DataFrame:
+    """Run one pass, append its result and log rows examined and rows changed.
+
+    ``run`` maps the source to the rows to append. Both counts are observed while the result is written; an error is
+    logged as such and not raised. ``state.run_health`` turns the log into statuses.
+    """
+    spark = source.sparkSession
+    seen, examined, changed, error = Observation(), 0, 0, None
+    try:
+        counted = source.observe(seen, F.count(F.lit(1)).alias("rows"))
+        changed = append(run(counted), path)
+        examined = int(seen.get["rows"])
+    except Exception as e:
+        error = str(e)
+    row = spark.range(1).select(
+        F.lit(job).alias("job_name"), F.sha2(F.lit(f"{job}:{as_of}"), 256).alias("run_id"), F.lit(examined).cast("long").alias("rows_examined"), F.lit(changed).cast("long").alias("rows_changed"),
+        F.lit(error).cast("string").alias("error"), F.lit(str(as_of)).cast("timestamp_ntz").alias("run_timestamp"),
+    )
+    row.coalesce(1).write.mode("append").parquet(log_path)
+    return row
+
+
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     """Replace only the partitions that ``df`` holds; each is swapped in when the whole write has succeeded."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)

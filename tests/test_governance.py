@@ -107,6 +107,19 @@ def test_revalidation_complete(spark):
     assert {r.uc_full_name: r.is_complete for r in g.revalidation_complete(flags, done).collect()} == {"all": True, "pending": False, "missing": False, "none": False}
 
 
+def test_starting_and_clearing_a_revalidation(spark):
+    flags = spark.sql("SELECT p AS project_id, 'm' AS uc_full_name, s AS status, CAST(array() AS ARRAY<STRING>) AS revalidation_approval_ids, CAST(NULL AS TIMESTAMP_NTZ) AS cleared_timestamp FROM VALUES ('p', 'due'), ('q', 'due'), ('r', 'cleared') AS v(p, s)")
+    gates = spark.createDataFrame([("p", "legal"), ("p", "risk"), ("r", "legal")], "project_id STRING, approval_gate STRING")
+    models = spark.createDataFrame([("m1", "p"), ("m3", "r")], "model_id STRING, project_id STRING")
+    opened, moved = g.start_revalidation(flags, gates, models, "ann", NOW)
+    assert sorted(r.approval_gate for r in opened.collect()) == ["legal", "risk"]
+    assert {r.project_id: (r.status, len(r.revalidation_approval_ids)) for r in moved.collect()} == {"p": ("in_revalidation", 2), "q": ("due", 0), "r": ("cleared", 0)}
+    voted = opened.withColumn("status", F.lit("approved"))
+    out = {r.project_id: r.status for r in g.clear_completed(moved, g.revalidation_complete(moved, voted), NOW).collect()}
+    assert out == {"p": "cleared", "q": "due", "r": "cleared"}
+    assert {r.project_id: r.status for r in g.clear_completed(moved, g.revalidation_complete(moved, opened), NOW).collect()}["p"] == "in_revalidation"
+
+
 # ── votes ──
 
 VOTES = "approval_id STRING, voter STRING, decision STRING, event_id BIGINT"

@@ -56,6 +56,17 @@ def test_overwrite_swaps_only_its_partitions(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 2, 3, 5, 100]
 
 
+def test_passes_are_logged_also_when_they_fail(spark, tmp_path):
+    from modelward.operators.state import run_health
+
+    out, log = f"{tmp_path}/o", f"{tmp_path}/l"
+    tb.record_pass("j", spark.range(9), lambda df: df.where("id < 4"), out, log, "2024-01-01")
+    tb.record_pass("j", spark.range(9), lambda df: df.select(F.raise_error(F.lit("boom"))), out, log, "2024-01-02")
+    tb.record_pass("j", spark.range(9), lambda df: df.where("id < 0"), out, log, "2024-01-03")
+    rows = run_health(spark.read.parquet(log)).orderBy("run_timestamp").collect()
+    assert [(r.status, r.rows_examined, r.rows_changed) for r in rows] == [("ok", 9, 4), ("failed", 0, 0), ("warning", 9, 0)]
+
+
 def test_generated_rows_repeat(spark):
     df = tb.generated_rows(spark, 500, {"age": 10})
     assert df.collect() == tb.generated_rows(spark, 500, {"age": 10}).collect()

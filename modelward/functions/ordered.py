@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from modelward.functions.relational import null_safe_join
 
 
-def _edges_below(edges: str, value: str, stride: int = 16) -> Column:
-    """How many of the sorted edges are smaller: a look at every ``stride``-th, then at the few after the last hit."""
+_STRIDE = 16
+
+
+def _edges_below(edges: str, value: str) -> Column:
+    """How many of the sorted edges are smaller: a look at the coarse ones, then at the few after the last hit."""
     smaller = lambda e: e < F.col(value)
-    skipped = F.size(F.filter(F.filter(edges, lambda _, i: i % stride == stride - 1), smaller)) * stride
-    return skipped + F.size(F.filter(F.slice(edges, skipped + 1, stride), smaller))
+    skipped = F.size(F.filter(F.col(edges)["coarse"], smaller)) * _STRIDE
+    return skipped + F.size(F.filter(F.slice(F.col(edges)["fine"], skipped + 1, _STRIDE), smaller))
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str], buckets: int = 256) -> DataFrame:
@@ -30,7 +33,8 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, weights: Sequ
     keys = list(keys)
     df = df.where(F.col(value).isNotNull())
     probs = F.expr("array(" + ", ".join(f"{(i + 1) / buckets}D" for i in range(buckets - 1)) + ")")
-    sketch = F.array_distinct(F.percentile_approx(value, probs, F.lit(buckets * 20)))
+    fine = F.array_distinct(F.percentile_approx(value, probs, F.lit(buckets * 20)))
+    sketch = F.struct(fine.alias("fine"), F.filter(fine, lambda _, i: i % _STRIDE == _STRIDE - 1).alias("coarse"))
     counts = df.groupBy(*keys, value).agg(*[F.sum(w).alias(w) for w in weights])
     if keys:
         placed = null_safe_join(counts, df.groupBy(*keys).agg(sketch.alias("_edges")), keys)

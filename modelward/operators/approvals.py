@@ -17,7 +17,7 @@ _WHEN = ("event_time", "event_id")
 
 def first_votes(votes: DataFrame) -> DataFrame:
     """The vote of each voter per gate that counts: the first with an accepted decision."""
-    ok = votes.where(F.col("decision").isin(*GATE_DECISIONS))
+    ok = votes.where(F.col("decision").isin(*GATE_DECISIONS) & F.col("approval_id").isNotNull())
     return ok.groupBy("approval_id", "voter").agg(F.min(F.struct(*_WHEN, "decision")).alias("_v")).select("approval_id", "voter", "_v.*")
 
 
@@ -28,23 +28,20 @@ def closings(votes: DataFrame, gates: DataFrame, max_required: int | None = None
     ships only k of them per task.
     """
     need = F.greatest(F.coalesce(F.col("required_count"), F.lit(1)), F.lit(1))
-    wanted = gates.select("approval_id", need.alias("_need"))
+    wanted = gates.select("approval_id", need.alias("required_count"))
     if max_required is None:
-        max_required = wanted.agg(F.max("_need")).first()[0] or 1
-    counted = first_votes(votes)
-    stops = counted.where("decision = 'reject'").groupBy("approval_id").agg(F.min(F.struct(*_WHEN)).alias("_reject"))
-    ranked = top_per_key(counted.where("decision = 'approve'"), ["approval_id"], [F.asc(c) for c in _WHEN], int(max_required), rank="_rank")
-    reached = ranked.join(wanted, "approval_id").where("_rank = _need").select("approval_id", F.struct(*_WHEN).alias("_approve"))
-    at = F.least("_reject", "_approve")
-    return (
-        wanted.join(stops, "approval_id", "left")
-        .join(reached, "approval_id", "left")
-        .select(
-            "approval_id",
-            F.col("_need").alias("required_count"),
-            at.alias("closed_at"),
-            F.when(at.isNull(), "pending").when(at == F.col("_reject"), "rejected").otherwise("approved").alias("status"),
-        )
+        max_required = wanted.agg(F.max("required_count")).first()[0] or 1
+    closing = first_votes(votes).where("decision <> 'request_changes'")
+    ranked = top_per_key(closing, ["approval_id", "decision"], [F.asc(c) for c in _WHEN], int(max_required), rank="_rank")
+    at = F.struct(*_WHEN)
+    stop = F.min(F.when((F.col("decision") == "reject") & (F.col("_rank") == 1), at))
+    reached = F.min(F.when((F.col("decision") == "approve") & (F.col("_rank") == F.col("required_count")), at))
+    closed = wanted.join(ranked, "approval_id", "left").groupBy("approval_id", "required_count").agg(stop.alias("_stop"), reached.alias("_reached"))
+    return closed.select(
+        "approval_id",
+        "required_count",
+        F.least("_stop", "_reached").alias("closed_at"),
+        F.when(F.coalesce("_stop", "_reached").isNull(), "pending").when(F.least("_stop", "_reached") == F.col("_stop"), "rejected").otherwise("approved").alias("status"),
     )
 
 

@@ -19,25 +19,31 @@ def stream(w, table):
     return jobs.read_stream(w.spark, f"{w.folder}/{table}.parquet")
 
 
+def drain(w, df, mode="append", keys=()):
+    # on one machine, more state partitions than cores only cost time
+    sc = w.spark.sparkContext
+    return jobs.drain(df, mode, keys, state_partitions=sc.defaultParallelism if sc.master.startswith("local") else None)
+
+
 def ltz(c):
     return F.col(c).cast("timestamp")
 
 
 @R.add("stream_scoring", "SELECT event_id, round(value * 0.5 + 1, 6) AS prediction FROM events")
 def stream_scoring(w):
-    return jobs.drain(jobs.score_stream(stream(w, "events"), F.round(F.col("value") * 0.5 + 1, 6)).select("event_id", "prediction"))
+    return drain(w, jobs.score_stream(stream(w, "events"), F.round(F.col("value") * 0.5 + 1, 6)).select("event_id", "prediction"))
 
 
 @R.add("stream_once_per_id", "SELECT DISTINCT l_orderkey FROM lineitem")
 def stream_once_per_id(w):
     rows = stream(w, "lineitem").select("l_orderkey", ltz("l_shipdate").alias("ts"))
-    return jobs.drain(jobs.once_per_id(rows, "l_orderkey", "ts", "4000 days").select("l_orderkey"))
+    return drain(w, jobs.once_per_id(rows, "l_orderkey", "ts", "4000 days").select("l_orderkey"))
 
 
 @R.add("stream_metric_windows", "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, round(avg(value), 6) AS mean_value, max(value) AS max_value, round(avg(CASE WHEN value > 120 THEN 1.0 ELSE 0.0 END), 6) AS error_rate FROM events GROUP BY 1, 2")
 def stream_metric_windows(w):
     rows = stream(w, "events").withColumn("ts", ltz("ts")).withColumn("slow", F.col("value") > 120)
-    out = jobs.drain(jobs.metric_windows(rows, "ts", "1 hour", "event_type", "value", "slow", "1 hour"), "update", ["window_start", "event_type"])
+    out = drain(w, jobs.metric_windows(rows, "ts", "1 hour", "event_type", "value", "slow", "1 hour"), "update", ["window_start", "event_type"])
     return out.select("event_type", stamp("window_start").alias("window_start"), "n", F.round("mean_value", 6).alias("mean_value"), "max_value", F.round("error_rate", 6).alias("error_rate"))
 
 
@@ -45,7 +51,7 @@ def stream_metric_windows(w):
 g AS (SELECT model_id, ws, count(*) AS n, count(*) FILTER (bad) AS errors FROM x GROUP BY 1, 2) SELECT model_id, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, n, errors FROM g WHERE errors >= 2 OR errors / CAST(n AS DOUBLE) > 0.5""")
 def stream_rollback_triggers(w):
     rows = stream(w, "events").select(ltz("ts").alias("ts"), F.lit("all").alias("model_id"), (F.col("value") > 60).alias("bad"))
-    out = jobs.drain(jobs.rollback_triggers(rows, "ts", "model_id", "bad", "10 minutes", max_errors=2, max_rate=0.5), "update", ["window_start", "model_id"])
+    out = drain(w, jobs.rollback_triggers(rows, "ts", "model_id", "bad", "10 minutes", max_errors=2, max_rate=0.5), "update", ["window_start", "model_id"])
     return out.withColumn("window_start", stamp("window_start"))
 
 
@@ -55,7 +61,7 @@ def stream_rollback_triggers(w):
 def stream_feedback_join(w):
     asked = stream(w, "orders").select(F.col("o_orderkey").cast("string").alias("prediction_id"), ltz("o_orderdate").alias("predicted_at"), F.col("o_orderstatus").alias("predicted_value"))
     labels = stream(w, "lineitem").select(F.col("l_orderkey").cast("string").alias("label_id"), ltz("l_shipdate").alias("arrived_at"), F.col("l_linestatus").alias("actual_label"))
-    out = jobs.drain(jobs.feedback_stream(asked, labels, latency="90 DAYS", prediction_delay="4000 days", label_delay="4000 days"))
+    out = drain(w, jobs.feedback_stream(asked, labels, latency="90 DAYS", prediction_delay="4000 days", label_delay="4000 days"))
     return out.select("prediction_id", "predicted_value", "actual_label", stamp("arrived_at", "yyyy-MM-dd").alias("arrived"), F.round("latency_days", 6).alias("latency_days"), "correct")
 
 
@@ -65,7 +71,7 @@ def stream_feedback_join(w):
 def stream_sla_breaches(w):
     presented = stream(w, "orders").select(F.col("o_orderkey").cast("string").alias("prediction_id"), ltz("o_orderdate").alias("presented_at"))
     decided = stream(w, "lineitem").where("l_returnflag <> 'A'").select(F.col("l_orderkey").cast("string").alias("decided_id"), ltz("l_shipdate").alias("decided_at"))
-    out = jobs.drain(jobs.sla_breaches(presented, decided, sla="30 DAYS", delay="0 seconds"))
+    out = drain(w, jobs.sla_breaches(presented, decided, sla="30 DAYS", delay="0 seconds"))
     return out.select("prediction_id", stamp("presented_at", "yyyy-MM-dd").alias("presented"))
 
 
@@ -86,15 +92,15 @@ def stream_gate_states(w):
 @R.add("stream_alert_once_per_day", "SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type = 'error'")
 def stream_alert_once_per_day(w):
     rows = stream(w, "events").where("event_type = 'error'").select("user_id", ltz("ts").alias("ts"))
-    return jobs.drain(jobs.once_per_period(rows, "user_id", "ts", "1 day", "2 days")).select("user_id", stamp("period_start", "yyyy-MM-dd").alias("day"))
+    return drain(w, jobs.once_per_period(rows, "user_id", "ts", "1 day", "2 days")).select("user_id", stamp("period_start", "yyyy-MM-dd").alias("day"))
 
 
 @R.add("stream_review_sample", f"SELECT event_id FROM events WHERE {DRAW.format(k='event_id')} < 500")
 def stream_review_sample(w):
-    return jobs.drain(review_sample(stream(w, "events").select("event_id"), "event_id", 0.05))
+    return drain(w, review_sample(stream(w, "events").select("event_id"), "event_id", 0.05))
 
 
 @R.add("stream_low_confidence", "SELECT o_orderkey, o_totalprice / 500000 AS confidence FROM orders WHERE o_totalprice / 500000 < 0.1")
 def stream_low_confidence(w):
     rows = stream(w, "orders").select("o_orderkey", (F.col("o_totalprice") / 500000).alias("confidence"))
-    return jobs.drain(low_confidence(rows, "confidence", 0.1))
+    return drain(w, low_confidence(rows, "confidence", 0.1))

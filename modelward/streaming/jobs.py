@@ -27,14 +27,28 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
     return reader.parquet(path[:-1] + f"[{path[-1]}]")
 
 
-def start(stream: DataFrame, folder: str, mode: str = "append", once: bool = False):
+def _start(writer, spark: SparkSession, once: bool, state_partitions: int | None):
+    """Start a query. Its state keeps for good the number of partitions it starts with, so that can be given here; the
+    session's own setting is put back at once, as a started query holds a copy.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    try:
+        if state_partitions:
+            spark.conf.set(name, state_partitions)
+        return (writer.trigger(availableNow=True) if once else writer).start()
+    finally:
+        spark.conf.set(name, before)
+
+
+def start(stream: DataFrame, folder: str, mode: str = "append", once: bool = False, state_partitions: int | None = None):
     """Start writing a stream's batches below ``folder``; ``once`` stops when the source is read."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/data/batch_id={batch_id}")
 
     writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    return _start(writer, stream.sparkSession, once, state_partitions)
 
 
 def results(spark: SparkSession, folder: str, schema, keys: Sequence[str] = ()) -> DataFrame:
@@ -46,12 +60,14 @@ def results(spark: SparkSession, folder: str, schema, keys: Sequence[str] = ())
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*value), "batch_id").alias("_v")).select(*keys, "_v.*")
 
 
-def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), folder: str | None = None) -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), folder: str | None = None, state_partitions: int | None = None) -> DataFrame:
     """Run a stream over all that is there and return its results."""
     spark = stream.sparkSession
     folder = folder or fresh_folder(spark, "streams")
-    query = start(stream, folder, mode, once=True)
+    query = start(stream, folder, mode, True, state_partitions)
     query.awaitTermination()
+    if query.lastProgress is None:  # the source held nothing
+        return spark.createDataFrame([], stream.schema)
     return results(spark, folder, stream.schema, keys)
 
 
@@ -148,7 +164,7 @@ def start_vote_fold(votes: DataFrame, gates: DataFrame, folder: str, max_require
         counting.join(still, "approval_id", "left_semi").write.mode("overwrite").parquet(f"{folder}/open/{here}")
 
     writer = votes.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/checkpoint")
-    return (writer.trigger(availableNow=True) if once else writer).start(), state_schema
+    return _start(writer, spark, once, None), state_schema
 
 
 def drain_votes(votes: DataFrame, gates: DataFrame, max_required: int | None = None) -> DataFrame:

@@ -17,12 +17,12 @@ PERIOD_DAYS = {"monthly": 30, "quarterly": 90, "annual": 365}
 PERIOD_DAYS_ELSE = 30
 
 
-def price_in_force(usage: DataFrame, prices: DataFrame, bucket_days: int = 365) -> DataFrame:
+def price_in_force(usage: DataFrame, prices: DataFrame, bucket_days: int = 365, salts: int = 1) -> DataFrame:
     """Each usage row with every price whose window [start, end) holds its start time; an open end has no limit.
 
     Windows are cut into time buckets so that the join key is (SKU, bucket): usage of one dominant SKU spreads over the
-    buckets, and a row meets only the windows of its own bucket. The price list is broadcast only if Spark measures it
-    as small.
+    buckets, and a row meets only the windows of its own bucket. ``salts`` deals each bucket's usage out once more, at
+    the price of as many copies of the price list. The list is broadcast only if Spark measures it as small.
     """
     size = bucket_days * 86400
 
@@ -39,9 +39,14 @@ def price_in_force(usage: DataFrame, prices: DataFrame, bucket_days: int = 365)
         F.col("pricing.effective_list.default").alias("unit_price"),
         F.explode(F.sequence(first, end)).alias("_pb"),
     )
+    dealt, pairing = usage, F.lit(True)
+    if salts > 1:
+        windows = windows.withColumn("_ps", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        dealt = usage.withColumn("_s", F.pmod(F.xxhash64("usage_start_time", "usage_quantity", "usage_date"), F.lit(salts)).cast("int"))
+        pairing = F.col("_s") == F.col("_ps")
     at = F.col("usage_start_time")
     held = (F.col("sku_name") == F.col("_sku")) & (F.col("_b") == F.col("_pb")) & (at >= F.col("_from")) & (F.col("_to").isNull() | (at < F.col("_to")))
-    return usage.withColumn("_b", bucket(at)).join(windows, held).drop("_b", "_pb", "_sku", "_from", "_to")
+    return dealt.withColumn("_b", bucket(at)).join(windows, held & pairing).drop("_b", "_pb", "_s", "_ps", "_sku", "_from", "_to")
 
 
 def overlapping_prices(prices: DataFrame) -> DataFrame:

@@ -175,7 +175,9 @@ def downstream_lineage(w):
 
 
 WEIGHTS = ("l_quantity", "l_discount", "l_tax", "l_linenumber")
-_CELLS = " UNION ALL ".join(f"SELECT l_orderkey, l_partkey, l_suppkey, '{c}' AS feature, CAST({e} AS DOUBLE) AS weight FROM lineitem" for c, e in zip(WEIGHTS, ("25 - l_quantity", "l_discount * 100", "l_tax * 300", "l_linenumber")))
+# line items have no key of their own, so the twin numbers them
+_ROWS = "li AS (SELECT row_number() OVER () AS rid, * FROM lineitem)"
+_CELLS = " UNION ALL ".join(f"SELECT rid, '{c}' AS feature, CAST({e} AS DOUBLE) AS weight FROM li" for c, e in zip(WEIGHTS, ("25 - l_quantity", "l_discount * 100", "l_tax * 300", "l_linenumber")))
 
 
 def contributions(w):
@@ -184,7 +186,7 @@ def contributions(w):
     return w.lineitem.select(F.struct("l_orderkey", "l_partkey", "l_suppkey").alias("row"), F.create_map(*cells).alias("weights"))
 
 
-_TOP = f"x AS ({_CELLS}), t AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey ORDER BY abs(weight) DESC, feature) AS rn FROM x)"
+_TOP = f"{_ROWS}, x AS ({_CELLS}), t AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY abs(weight) DESC, feature) AS rn FROM x)"
 
 
 @R.add("top_features_per_prediction", f"WITH {_TOP} SELECT feature, CAST(rn AS INT) AS \"rank\", count(*) AS n, round(sum(weight), 3) AS weight FROM t WHERE rn <= 2 GROUP BY 1, 2")
@@ -192,7 +194,7 @@ def top_features_per_prediction(w):
     return ln.top_contributions(contributions(w), "row", "weights", 2).groupBy("feature", "rank").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 3).alias("weight"))
 
 
-@R.add("top_features_overall", f"WITH x AS ({_CELLS}) SELECT feature, round(avg(abs(weight)), 6) AS mean_abs_weight FROM x GROUP BY 1 ORDER BY avg(abs(weight)) DESC, feature LIMIT 3")
+@R.add("top_features_overall", f"WITH {_ROWS}, x AS ({_CELLS}) SELECT feature, round(avg(abs(weight)), 6) AS mean_abs_weight FROM x GROUP BY 1 ORDER BY avg(abs(weight)) DESC, feature LIMIT 3")
 def top_features_overall(w):
     return ln.mean_contributions(contributions(w), "weights", 3).withColumn("mean_abs_weight", F.round("mean_abs_weight", 6))
 

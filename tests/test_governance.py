@@ -68,8 +68,8 @@ def test_control_plane_budget(spark):
 def test_prices_in_force(spark):
     usage = spark.sql("SELECT 's' AS sku_name, t AS usage_start_time, CAST(t AS DATE) AS usage_date, 2.0D AS usage_quantity, map('project_id', 'p') AS custom_tags FROM VALUES (TIMESTAMP_NTZ '2023-12-31 23:59:59'), (TIMESTAMP_NTZ '2024-01-01 00:00:00'), (TIMESTAMP_NTZ '2030-05-05 00:00:00'), (TIMESTAMP_NTZ '2019-01-01 00:00:00') AS v(t)")
     prices = spark.sql("SELECT 's' AS sku_name, a AS price_start_time, b AS price_end_time, named_struct('effective_list', named_struct('default', p)) AS pricing FROM VALUES (TIMESTAMP_NTZ '2020-01-01 00:00:00', TIMESTAMP_NTZ '2024-01-01 00:00:00', 1.0D), (TIMESTAMP_NTZ '2024-01-01 00:00:00', NULL, 3.0D) AS v(a, b, p)")
-    for days in (7, 365, 4000):
-        rows = cost.price_in_force(usage, prices, bucket_days=days).collect()
+    for days, salts in ((7, 1), (365, 5), (4000, 1)):
+        rows = cost.price_in_force(usage, prices, days, salts).collect()
         assert sorted((r.usage_start_time.year, r.unit_price) for r in rows) == [(2023, 1.0), (2024, 3.0), (2030, 3.0)]
     assert cost.overlapping_prices(prices).count() == 0
     wide = prices.withColumn("price_end_time", F.lit(None).cast("timestamp_ntz"))

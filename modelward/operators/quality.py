@@ -80,11 +80,20 @@ def value_counts(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()
 
 
 def duplicate_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``count(c) - count(distinct c)`` of every column in one job."""
-    counted = value_counts(df, columns).agg(*[F.sum(F.when(F.col("field") == c, F.col("n") - 1)).alias(f"_dup_{c}") for c in columns])
-    return wide_to_rows(
-        counted, [(c, {"duplicate_count": F.coalesce(F.col(f"_dup_{c}"), F.lit(0).cast("long"))}) for c in columns], name="column_name"
-    )
+    """``count(c) - count(distinct c)`` of every column in one job.
+
+    Whole numbers stay numbers in the (column, value) count; all else is compared as text.
+    """
+    whole = {f.name for f in df.schema.fields if f.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")}
+
+    def cell(i, c):
+        number, text = (F.col(c).cast("bigint"), F.lit(None).cast("string")) if c in whole else (F.lit(None).cast("bigint"), F.col(c).cast("string"))
+        return F.struct(F.lit(i).alias("at"), number.alias("number"), text.alias("text"))
+
+    cells = df.select(F.explode(F.array(*[cell(i, c) for i, c in enumerate(columns)])).alias("_c")).where("_c.number IS NOT NULL OR _c.text IS NOT NULL")
+    counts = cells.groupBy("_c.at", "_c.number", "_c.text").agg((F.count(F.lit(1)) - 1).alias("n"))
+    wide = counts.agg(*[F.sum(F.when(F.col("at") == i, F.col("n"))).alias(f"_dup_{c}") for i, c in enumerate(columns)])
+    return wide_to_rows(wide, [(c, {"duplicate_count": F.coalesce(F.col(f"_dup_{c}"), F.lit(0).cast("long"))}) for c in columns], name="column_name")
 
 
 def outlier_counts(df: DataFrame, columns: Sequence[str], factor: float = 3.0, buckets: int = 256) -> DataFrame:
@@ -107,62 +116,71 @@ def outlier_counts(df: DataFrame, columns: Sequence[str], factor: float = 3.0, b
     )
 
 
-def contract_checks(df: DataFrame, contract: Contract, all_rules: bool = False) -> DataFrame:
-    """One row per check run: column, check, broken rows, verdict and explanation.
+def _one_row(df: DataFrame) -> Column:
+    """A one-row frame as a struct, computed beside the pass that uses it."""
+    return df.select(F.struct(*df.columns)).scalar()
 
-    Null and uniqueness checks always run; ``all_rules`` adds range, allowed values, format, mean and outlier checks.
+
+def _checked(df: DataFrame, contract: Contract, all_rules: bool) -> tuple[DataFrame, list[str]]:
+    """One row with the row count and the array of checks, and the column each check belongs to.
+
+    One pass serves all column rules; uniqueness and outliers are one further job each, read as scalars.
     """
     cols = gated(contract)
-    aggs, entries = [F.count(F.lit(1)).alias("_n")], []
+    aggs, checks, owners = [F.count(F.lit(1)).alias("row_count")], [], []
+
+    def check(col, name, bad, failed, detail):
+        owners.append(col)
+        checks.append(F.struct(F.lit(col).alias("column"), F.lit(name).alias("check"), bad.cast("long").alias("issue_rows"), failed.alias("failed"), detail.alias("detail")))
 
-    def entry(col, check, bad, failed, detail):
-        cells = {"column": F.lit(col), "check": F.lit(check), "row_count": F.col("_n"), "issue_rows": bad, "failed": failed, "detail": detail}
-        entries.append((f"{col}.{check}", cells))
+    unique = [c["column_name"] for c in cols if _must_be_unique(c)]
+    fences = {c["column_name"]: float(_rules(c)["outlier_check"].get("iqr_factor", 3.0)) for c in cols if all_rules and _rules(c).get("outlier_check")}
+    if unique:
+        rows = duplicate_counts(df, unique)
+        dup = _one_row(rows.agg(*[F.max(F.when(F.col("column_name") == c, F.col("duplicate_count"))).alias(c) for c in unique]))
+    outliers = {}
+    for factor in sorted(set(fences.values())):
+        names = [c for c, f in fences.items() if f == factor]
+        rows = outlier_counts(df, names, factor)
+        found = _one_row(rows.agg(*[F.max(F.when(F.col("column_name") == c, F.col("outlier_count"))).alias(c) for c in names]))
+        outliers.update({c: F.coalesce(found[c], F.lit(0)) for c in names})
 
     for col in cols:
         name = col["column_name"]
         limit = _max_null_pct(col)
         if limit is not None:
+            nulls = F.col(f"_null_{name}")
             aggs.append(count_where(F.col(name).isNull()).alias(f"_null_{name}"))
-            pct = ratio_or_zero(F.col(f"_null_{name}") * 100, F.col("_n"))
-            entry(name, "null_check", F.col(f"_null_{name}"), pct > limit, F.format_string("%.1f%% null, exceeds max " + f"{limit:.1f}%%", pct))
-        if all_rules:
-            for check, bad in value_rules(col).items():
-                key = f"_{check}_{name}"
-                aggs.append(count_where(bad).alias(key))
-                entry(name, check, F.col(key), F.col(key) > 0, F.concat(F.col(key).cast("string"), F.lit(" value(s) break the rule")))
-            dist = _rules(col).get("distribution_check")
-            if dist and dist.get("expected_mean"):
-                key = f"_mean_{name}"
-                aggs.append(F.avg(name).alias(key))
-                off = F.abs(F.col(key) - F.lit(float(dist["expected_mean"]))) / abs(float(dist["expected_mean"])) * 100
-                entry(
-                    name, "distribution_check", F.lit(0).cast("long"), F.coalesce(off > float(dist.get("tolerance_pct", 10.0)), F.lit(False)),
-                    F.concat(F.lit("mean is off by "), F.round(off, 1).cast("string"), F.lit("%")),
-                )
-    # even without entries the pass yields the row count
-    entries.append(("", {"column": F.lit(None).cast("string"), "check": F.lit("row_count"), "row_count": F.col("_n"), "issue_rows": F.lit(0).cast("long"), "failed": F.lit(False), "detail": F.lit("")}))
-    out = wide_to_rows(df.agg(*aggs), entries, name="_id").drop("_id")
+            pct = ratio_or_zero(nulls * 100, F.col("row_count"))
+            check(name, "null_check", nulls, pct > limit, F.format_string("%.1f%% null, exceeds max " + f"{limit:.1f}%%", pct))
+        if name in unique:
+            check(name, "uniqueness_check", dup[name], dup[name] > 0, F.concat(dup[name].cast("string"), F.lit(" duplicate value(s)")))
+        if not all_rules:
+            continue
+        for rule, bad in value_rules(col).items():
+            hits = F.col(f"_{rule}_{name}")
+            aggs.append(count_where(bad).alias(f"_{rule}_{name}"))
+            check(name, rule, hits, hits > 0, F.concat(hits.cast("string"), F.lit(" value(s) break the rule")))
+        dist = _rules(col).get("distribution_check")
+        if dist and dist.get("expected_mean"):
+            aggs.append(F.avg(name).alias(f"_mean_{name}"))
+            want = float(dist["expected_mean"])
+            off = F.abs(F.col(f"_mean_{name}") - want) / abs(want) * 100
+            far = F.coalesce(off > float(dist.get("tolerance_pct", 10.0)), F.lit(False))
+            check(name, "distribution_check", F.lit(0), far, F.concat(F.lit("mean is off by "), F.round(off, 1).cast("string"), F.lit("%")))
+        if name in outliers:
+            check(name, "outlier_check", outliers[name], outliers[name] > 0, F.concat(outliers[name].cast("string"), F.lit(" outlier(s)")))
+    empty = F.array().cast("array<struct<column:string,check:string,issue_rows:bigint,failed:boolean,detail:string>>")
+    return df.agg(*aggs).select("row_count", (F.array(*checks) if checks else empty).alias("checks")), owners
 
-    unique = [c["column_name"] for c in cols if _must_be_unique(c)]
-    if unique:
-        dup = F.col("duplicate_count")
-        out = out.unionByName(
-            duplicate_counts(df, unique).select(
-                F.col("column_name").alias("column"), F.lit("uniqueness_check").alias("check"), F.lit(None).cast("long").alias("row_count"),
-                dup.alias("issue_rows"), (dup > 0).alias("failed"), F.concat(dup.cast("string"), F.lit(" duplicate value(s)")).alias("detail"),
-            )
-        )
-    fenced = {c["column_name"]: float(_rules(c)["outlier_check"].get("iqr_factor", 3.0)) for c in cols if all_rules and _rules(c).get("outlier_check")}
-    for factor in sorted(set(fenced.values())):
-        bad = F.col("outlier_count")
-        out = out.unionByName(
-            outlier_counts(df, [c for c, f in fenced.items() if f == factor], factor).select(
-                F.col("column_name").alias("column"), F.lit("outlier_check").alias("check"), F.lit(None).cast("long").alias("row_count"),
-                bad.alias("issue_rows"), (bad > 0).alias("failed"), F.concat(bad.cast("string"), F.lit(" outlier(s)")).alias("detail"),
-            )
-        )
-    return out
+
+def contract_checks(df: DataFrame, contract: Contract, all_rules: bool = False) -> DataFrame:
+    """One row per check run: column, check, broken rows, verdict and explanation.
+
+    Null and uniqueness checks always run; ``all_rules`` adds range, allowed values, format, mean and outlier checks.
+    """
+    one, _ = _checked(df, contract, all_rules)
+    return one.select("row_count", F.explode("checks").alias("_c")).select("row_count", "_c.*")
 
 
 def assess_contract(
@@ -173,37 +191,33 @@ def assess_contract(
     The score is the share of passed checks, 1.0 when none ran; ``checks_run`` tells the two apart.
     """
     check_table(table_name)
-    checks = contract_checks(df, contract, all_rules)
-    ran = F.col("check") != "row_count"
-    per_column = checks.groupBy("column").agg(
-        F.max("row_count").alias("row_count"),
-        count_where(ran).alias("checks"),
-        count_where(F.col("failed")).alias("failures"),
-        F.array_compact(F.collect_list(F.when(F.col("failed"), F.struct("column", "check", "detail")))).alias("broken"),
-        *[count_where(F.col("failed") & (F.col("check") == c)).alias(f"_{c}") for c in CHECKS],
-    )
+    one, owners = _checked(df, contract, all_rules)
+    failed = lambda *names: F.filter("checks", lambda c: c["failed"] & c["check"].isin(*names))
+    of = lambda col: F.size(F.filter("checks", lambda c: c["failed"] & (c["column"] == col)))
+    scores = [x for col in sorted(set(owners)) for x in (F.lit(col), 1.0 - of(col) / F.lit(float(owners.count(col))))]
     pii = [c["column_name"] for c in contract if c.get("pii_level") and c["pii_level"] != "none"]
-    total, bad = F.sum("checks"), F.sum("failures")
-    scored = F.when(F.col("column").isNotNull(), F.struct("column", (1.0 - F.col("failures") / F.col("checks")).alias("score")))
-    issues = {"null": "null_check", "uniqueness": "uniqueness_check", "format": "format_check", "outlier": "outlier_check", "distribution": "distribution_check"}
-    return per_column.agg(
-        F.max("row_count").alias("row_count"),
-        total.alias("checks_run"),
-        bad.alias("issues_found"),
-        F.when(total > 0, 1.0 - bad / total).otherwise(F.lit(1.0)).alias("quality_score"),
-        F.map_from_entries(F.sort_array(F.array_compact(F.collect_list(scored)))).alias("column_quality_scores"),
-        F.sort_array(F.flatten(F.collect_list("broken"))).alias("failed_checks"),
-        *[F.sum(f"_{c}").alias(f"{n}_issues_found") for n, c in issues.items()],
-        (F.sum("_range_check") + F.sum("_allowed_values")).alias("range_issues_found"),
-    ).select(
-        row_id(F.lit(project_id), F.lit(contract_id), F.lit(table_name), F.lit(str(as_of))).alias("assessment_id"),
-        F.lit(project_id).alias("project_id"),
-        F.lit(contract_id).alias("contract_id"),
-        F.lit(table_name).alias("table_name"),
-        instant(as_of).alias("assessment_timestamp"),
-        "*",
-        bucket_at_least(F.col("quality_score")).alias("quality_status"),
-        F.array(*[F.lit(c) for c in pii]).cast("array<string>").alias("pii_columns_detected"),
+    found = F.col("issues_found")
+    issues = {"null": ["null_check"], "uniqueness": ["uniqueness_check"], "format": ["format_check"], "outlier": ["outlier_check"], "distribution": ["distribution_check"], "range": ["range_check", "allowed_values"]}
+    return (
+        one.withColumn("checks_run", F.size("checks"))
+        .withColumn("issues_found", F.size(failed(*CHECKS)))
+        .withColumn("quality_score", F.when(F.col("checks_run") > 0, 1.0 - found / F.col("checks_run")).otherwise(F.lit(1.0)))
+        .select(
+            row_id(F.lit(project_id), F.lit(contract_id), F.lit(table_name), F.lit(str(as_of))).alias("assessment_id"),
+            F.lit(project_id).alias("project_id"),
+            F.lit(contract_id).alias("contract_id"),
+            F.lit(table_name).alias("table_name"),
+            instant(as_of).alias("assessment_timestamp"),
+            "row_count",
+            "checks_run",
+            "issues_found",
+            "quality_score",
+            bucket_at_least(F.col("quality_score")).alias("quality_status"),
+            (F.create_map(*scores) if scores else F.create_map()).cast("map<string,double>").alias("column_quality_scores"),
+            F.sort_array(F.transform(failed(*CHECKS), lambda c: F.struct(c["column"].alias("column"), c["check"].alias("check"), c["detail"].alias("detail")))).alias("failed_checks"),
+            *[F.size(failed(*names)).alias(f"{kind}_issues_found") for kind, names in issues.items()],
+            F.array(*[F.lit(c) for c in pii]).cast("array<string>").alias("pii_columns_detected"),
+        )
     )
 
 
@@ -424,9 +438,10 @@ PROXY_WORDS = {
     "birth": "Age",
 }
 
-# Personal data in free text; whole texts are searched.
+# Personal data in free text; whole texts are searched. Lengths are bounded (as in addresses themselves), so
+# that a long run of letters costs a fixed number of steps per character.
 PII_PATTERNS = {
-    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "@"),
+    "email": (r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,}", "@"),
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-"),
     "phone": (r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", None),
     "card": (r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", None),

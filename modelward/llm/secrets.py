@@ -1,0 +1,121 @@
+"""Secrets in texts: fixed forms, and long strings whose characters are spread as in random keys."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# The base forms.
+ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+ACCESS = "AKIA[A-Z0-9]+"
+HEX = "[0-9a-f]+"
+MIN_ASSIGNED, MIN_ACCESS, MIN_HEX = 6, 20, 24
+
+KINDS = ("assign", "access", "hex", "entropy")
+WINDOW = 20
+#: Bits per character that a window must exceed, by the class of characters that the candidate is made of.
+THRESHOLDS = {"hex": 3.05, "mixed": 3.81}
+CANDIDATE = f"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
+MIN_DIGITS = 3
+#: Candidates that match are never reported: identifiers of rows, sample values, alphabets.
+ALLOWED = (
+    "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+    "(?i)example|sample|placeholder|changeme|xxxx",
+    "(?i)0123456789abcdef|abcdefghijklmnopqrstuvwxyz|1234567890123456",
+    "^[0-9_=/+-]+$",
+)
+
+
+def found(text: Column, pattern: str, group: int = 0) -> Column:
+    """Leftmost non-overlapping matches as structs of ``start, end, value``; value is the given group.
+
+    The lengths of the pieces between matches give the places, in code points.
+    """
+    whole, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x).cast("long"))
+    steps = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("CAST(array() AS array<struct<start:bigint,end:bigint,value:string>>)").alias("done"))
+
+    def step(state, x):
+        begin = state["at"] + x["gap"]
+        end = begin + F.coalesce(F.char_length(x["whole"]).cast("long"), F.lit(0).cast("long"))
+        return F.struct(end.alias("at"), F.concat(state["done"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("done"))
+
+    # The last piece has no match after it.
+    return F.filter(F.aggregate(steps, start, step, lambda s: s["done"]), lambda x: x["value"].isNotNull())
+
+
+def peak_entropy(candidate: Column, window: int = WINDOW) -> Column:
+    """The largest Shannon entropy, in bits, of the characters of a window sliding over the candidate.
+
+    Character counts are carried from window to window: one character comes in, one goes out, and the sum of
+    ``c * log2(c)`` changes by the two counts that changed.
+    """
+    chars = F.split(candidate, "")
+    alphabet = F.array_distinct(chars)
+    weight = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
+    at = lambda i: F.array_position(alphabet, F.get(chars, i)).cast("int") - 1
+    start = F.struct(F.transform(alphabet, lambda _: F.lit(0)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+
+    def step(state, i):
+        come, go = at(i), F.when(i >= window, at(i - window)).otherwise(F.lit(-1))
+        grown = F.get(state["counts"], come)
+        counts = F.transform(state["counts"], lambda c, k: c + (k == come).cast("int") - (k == go).cast("int"))
+        plus = F.get(weight, grown + 1) - F.get(weight, grown)
+        shrunk = F.when(go == come, grown + 1).otherwise(F.get(state["counts"], go))
+        minus = F.when(go < 0, F.lit(0.0)).otherwise(F.get(weight, shrunk) - F.get(weight, shrunk - 1))
+        total = state["sum"] + plus - minus
+        bits = F.when(i >= window - 1, F.lit(math.log2(window)) - total / window).otherwise(F.lit(0.0))
+        return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(state["best"], bits).alias("best"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.char_length(candidate) - 1), start, step, lambda s: s["best"])
+
+
+def suspicious(candidate: Column) -> Column:
+    """Whether a candidate has digits and letters, is not allowed by name, and has a window above its class's threshold."""
+    plausible = (F.char_length(F.regexp_replace(candidate, "[^0-9]", "")) >= MIN_DIGITS) & candidate.rlike("[A-Za-z]")
+    for pattern in ALLOWED:
+        plausible &= ~candidate.rlike(pattern)
+    threshold = F.when(candidate.rlike("^[0-9a-fA-F]+$"), F.lit(THRESHOLDS["hex"])).otherwise(F.lit(THRESHOLDS["mixed"]))
+    return F.when(plausible, peak_entropy(candidate) > threshold).otherwise(F.lit(False))
+
+
+def secret_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per input row: the id and ``secrets``, an array of ``start, rank, end, kind, value`` by start, then kind.
+
+    Kinds are ``assign``, ``access`` and ``hex`` by their forms, and ``entropy`` for other strings that pass
+    ``suspicious`` and overlap none of the former. Places are code points of the whole text, the end exclusive.
+
+    Null and empty texts have no secrets. A null id and repeated rows are kept as they are; other columns are not read; an
+    empty table gives no rows. A text's length is bounded only by Spark's limit for a string.
+    """
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    none = F.expr("CAST(array() AS array<struct<start:bigint,end:bigint,value:string>>)")
+    # A plain test goes first: few texts hold a form, and the test stops at its first place.
+    assign = F.when(text.rlike("(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]"), F.filter(found(text, ASSIGN, 2), lambda x: F.char_length(x["value"]) >= MIN_ASSIGNED)).otherwise(none)
+    access = F.when(text.contains("AKIA"), F.filter(found(text, ACCESS), lambda x: F.char_length(x["value"]) >= MIN_ACCESS)).otherwise(none)
+    runs = F.when(text.rlike(f"[0-9a-f]{{{MIN_HEX}}}"), F.filter(found(text, HEX), lambda x: F.char_length(x["value"]) >= MIN_HEX)).otherwise(none)
+    dense = F.when(text.rlike(CANDIDATE), F.filter(found(text, CANDIDATE), lambda x: suspicious(x["value"]))).otherwise(none)
+    named = lambda spans, rank: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(KINDS[rank]).alias("kind"), x["value"].alias("value")))
+    base = F.concat(named(F.col("_assign"), 0), named(F.col("_access"), 1), named(F.col("_hex"), 2))
+    apart = F.filter(F.col("_dense"), lambda x: ~F.exists(F.col("_base"), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    rows = docs.select(F.col(id_column).alias("doc_id"), assign.alias("_assign"), access.alias("_access"), runs.alias("_hex"), dense.alias("_dense"))
+    rows = rows.withColumn("_base", base)
+    return rows.select("doc_id", F.array_sort(F.concat(F.col("_base"), named(apart, 3))).alias("secrets"))
+
+
+def joined_spans(spans: Column) -> Column:
+    """``kind:start:end`` of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def secret_digest(secrets: DataFrame) -> DataFrame:
+    """Counts of the base kinds, a hash of their spans, and all spans as text."""
+    of = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
+    base = F.filter("secrets", lambda x: x["rank"] < 3)
+    return secrets.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(joined_spans(base).cast("binary"), 256).alias("base_sha256"), joined_spans(F.col("secrets")).alias("spans"),
+    )

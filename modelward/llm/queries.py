@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelward.llm import exact_dedup, mixing, secrets
+from modelward.llm import exact_dedup, mixing, secrets, token_counts, token_files
 from modelward.llm.sql import ORACLES
-from modelward.session import ensure_checkpoint_dir
+from modelward.session import ensure_checkpoint_dir, fresh_folder, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; what its queries run in Python on the executors is sent along."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,4 +36,29 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op3_mixing, op8_exact_dedup)}
+def vocabulary() -> str:
+    """The tokenizer file of the token queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def token_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Writes the documents' ids to files of a new shared folder, reads them back and places every document."""
+    ensure_checkpoint_dir(spark)
+    folder = fresh_folder(spark, "token_files")
+    token_files.write_token_files(docs, folder, vocabulary())
+    return token_files.token_starts(token_files.read_token_files(spark, folder).checkpoint())
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, from the files."""
+    return token_digest(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op3_mixing, op8_exact_dedup, op9_token_counts, op10_token_files)}

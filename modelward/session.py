@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -56,3 +57,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_root(spark))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python once per application, for clusters where it is not installed."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="modelward-code-")
+        for base, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    to = os.path.join(folder, "code", os.path.relpath(base, os.path.dirname(package)))
+                    os.makedirs(to, exist_ok=True)
+                    shutil.copy(os.path.join(base, name), to)
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "modelward_code"), "zip", os.path.join(folder, "code")))
+        _SHIPPED.add(sc.applicationId)

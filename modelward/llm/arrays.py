@@ -44,12 +44,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = EXACT) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one running sum over the block."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = EXACT, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """A 64-bit hash of each byte span, from one running sum over the block.
+
+    With ``prefixes``, a row per span: the hash of the whole, then those of its first so many bytes, 0 where it is no longer.
+    """
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, _U)
     np.cumsum(table[data] * up[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+    of = lambda ends: mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+    if not prefixes:
+        return of(ends)
+    out = np.zeros((len(starts), 1 + len(prefixes)), _U)
+    out[:, 0] = of(ends)
+    for k, n in enumerate(prefixes):
+        # The salt keeps a prefix apart from a word of the same letters.
+        out[:, k + 1] = np.where(ends - starts > n, of(np.minimum(starts + n, ends)) ^ _U(_BASE), _U(0))
+    return out
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,13 +99,9 @@ def cuts(data: np.ndarray, breakable, size: int = BLOCK) -> Iterator[tuple[int,
         first = last
 
 
-def _white_start(data: np.ndarray) -> np.ndarray:
-    return WHITE[data]
-
-
-def word_spans(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a block; ``breaks`` are the offsets where a row begins."""
-    solid = ~WHITE[data]
+def word_spans(data: np.ndarray, breaks: np.ndarray, gaps: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a block; ``breaks`` are the offsets where a row begins, ``gaps`` the bytes between words."""
+    solid = ~gaps[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     inner = breaks[(breaks > 0) & (breaks < len(data))]
@@ -105,11 +112,11 @@ def word_spans(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(begins), np.flatnonzero(finish) + 1
 
 
-def word_blocks(texts: pa.Array, table: np.ndarray = EXACT) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def word_blocks(texts: pa.Array, table: np.ndarray = EXACT, gaps: np.ndarray = WHITE, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, word hashes, number of words per row, word starts, word ends), by blocks of whole rows.
 
     Starts and ends count bytes from the beginning of the first row. A row longer than a block is hashed in parts cut
-    before white space and still comes as one block.
+    before a gap and still comes as one block.
     """
     data, offsets = buffers(texts)
     for first, last in row_blocks(offsets):
@@ -117,14 +124,14 @@ def word_blocks(texts: pa.Array, table: np.ndarray = EXACT) -> Iterator[tuple[in
         block = data[base:stop]
         if len(block) <= 2 * BLOCK:
             breaks = offsets[first : last + 1] - base
-            starts, ends = word_spans(block, breaks)
+            starts, ends = word_spans(block, breaks, gaps)
             counts = np.diff(np.searchsorted(starts, breaks))
-            yield first, last, span_hashes(block, starts, ends, table), counts, starts, ends
+            yield first, last, span_hashes(block, starts, ends, table, prefixes), counts, starts, ends
         else:
             parts = []
-            for a, b in cuts(block, _white_start):
-                s, e = word_spans(block[a:b], np.zeros(0, np.int64))
-                parts.append((span_hashes(block[a:b], s, e, table), s + a, e + a))
+            for a, b in cuts(block, gaps.__getitem__):
+                s, e = word_spans(block[a:b], np.zeros(0, np.int64), gaps)
+                parts.append((span_hashes(block[a:b], s, e, table, prefixes), s + a, e + a))
             h, s, e = (np.concatenate(x) for x in zip(*parts))
             yield first, last, h, np.array([len(h)]), s, e
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelward.llm import exact_dedup, mixing, secrets, token_counts, token_files
+from modelward.llm import exact_dedup, mixing, near_dedup, quality, secret_scan, token_counts, token_files, toxicity
 from modelward.llm.sql import ORACLES
 from modelward.session import ensure_checkpoint_dir, fresh_folder, ship_package
 
@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
-    return secrets.secret_digest(secrets.secret_scan(table(spark, sf_dir, "documents")))
+    return secret_scan.secret_digest(secret_scan.secret_scan(table(spark, sf_dir, "documents")))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,25 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sampled_mix(sized, size_column="words").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality_scores(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document, on word pairs."""
+    ensure_checkpoint_dir(spark)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity.toxicity_scores(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", "held_out", "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of equal texts of every document."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
@@ -61,4 +80,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op3_mixing, op8_exact_dedup, op9_token_counts, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_quality, op3_mixing, op5_near_dedup, op7_toxicity, op8_exact_dedup, op9_token_counts, op10_token_files)}

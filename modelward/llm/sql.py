@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from modelward.llm import secrets
+from modelward.llm import secret_scan
 
 EXACT_DEDUP = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents),
@@ -35,22 +35,22 @@ SELECT doc_id, '{kind}' AS kind, {rank} AS rank, starts[i]::BIGINT AS s, (starts
 
 
 def _spans(rank: int, pattern: str, group: int = 0) -> str:
-    return _SPANS.format(kind=secrets.KINDS[rank], rank=rank, group=group, pattern=pattern.replace("'", "''"))
+    return _SPANS.format(kind=secret_scan.KINDS[rank], rank=rank, group=group, pattern=pattern.replace("'", "''"))
 
 
 SECRETS = f"""
 WITH base AS (
-  SELECT * FROM ({_spans(0, secrets.ASSIGN, 2)}) WHERE length(v) >= {secrets.MIN_ASSIGNED}
-  UNION ALL SELECT * FROM ({_spans(1, secrets.ACCESS)}) WHERE length(v) >= {secrets.MIN_ACCESS}
-  UNION ALL SELECT * FROM ({_spans(2, secrets.HEX)}) WHERE length(v) >= {secrets.MIN_HEX}),
-candidate AS (SELECT row_number() OVER () AS c, * FROM ({_spans(3, f'[A-Za-z0-9+/_=-]{{{secrets.WINDOW},}}')})
-  WHERE length(regexp_replace(v, '[^0-9]', '', 'g')) >= {secrets.MIN_DIGITS} AND regexp_matches(v, '[A-Za-z]')
-  {' '.join(f"AND NOT regexp_matches(v, '{p}')" for p in secrets.ALLOWED)}),
-w AS (SELECT c, v, unnest(range(1, length(v) - {secrets.WINDOW} + 2)) AS o FROM candidate),
-ch AS (SELECT c, o, substring(v, o + k, 1) AS x, count(*) AS n FROM w, range({secrets.WINDOW}) r(k) GROUP BY ALL),
-bits AS (SELECT c, max(h) AS best FROM (SELECT c, o, log2({secrets.WINDOW}) - sum(n * log2(n)) / {secrets.WINDOW} AS h FROM ch GROUP BY c, o) GROUP BY c),
+  SELECT * FROM ({_spans(0, secret_scan.ASSIGN, 2)}) WHERE length(v) >= {secret_scan.MIN_ASSIGNED}
+  UNION ALL SELECT * FROM ({_spans(1, secret_scan.ACCESS)}) WHERE length(v) >= {secret_scan.MIN_ACCESS}
+  UNION ALL SELECT * FROM ({_spans(2, secret_scan.HEX)}) WHERE length(v) >= {secret_scan.MIN_HEX}),
+candidate AS (SELECT row_number() OVER () AS c, * FROM ({_spans(3, f'[A-Za-z0-9+/_=-]{{{secret_scan.WINDOW},}}')})
+  WHERE length(regexp_replace(v, '[^0-9]', '', 'g')) >= {secret_scan.MIN_DIGITS} AND regexp_matches(v, '[A-Za-z]')
+  {' '.join(f"AND NOT regexp_matches(v, '{p}')" for p in secret_scan.ALLOWED)}),
+w AS (SELECT c, v, unnest(range(1, length(v) - {secret_scan.WINDOW} + 2)) AS o FROM candidate),
+ch AS (SELECT c, o, substring(v, o + k, 1) AS x, count(*) AS n FROM w, range({secret_scan.WINDOW}) r(k) GROUP BY ALL),
+bits AS (SELECT c, max(h) AS best FROM (SELECT c, o, log2({secret_scan.WINDOW}) - sum(n * log2(n)) / {secret_scan.WINDOW} AS h FROM ch GROUP BY c, o) GROUP BY c),
 dense AS (SELECT doc_id, kind, rank, s, e, v FROM candidate JOIN bits USING (c)
-  WHERE best > CASE WHEN regexp_matches(v, '^[0-9a-fA-F]+$') THEN {secrets.THRESHOLDS['hex']} ELSE {secrets.THRESHOLDS['mixed']} END
+  WHERE best > CASE WHEN regexp_matches(v, '^[0-9a-fA-F]+$') THEN {secret_scan.THRESHOLDS['hex']} ELSE {secret_scan.THRESHOLDS['mixed']} END
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = candidate.doc_id AND b.s < candidate.e AND candidate.s < b.e)),
 spans AS (SELECT * FROM base UNION ALL SELECT * FROM dense)
 SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,

@@ -2,9 +2,62 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from modelward.llm import decontamination, mixing, near_dedup, queries, toxicity
+from modelward.session import ensure_checkpoint_dir, fresh_folder
+
+#: No SQL: the first stage is a trained model. Stages are tested against brute force instead.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject."""
+    model = toxicity.trained(docs, queries.table(spark, sf_dir, "labels"))
+    return toxicity.filtered(docs, model)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, on shingles of five words."""
+    ensure_checkpoint_dir(spark)
+    queries.table(spark, sf_dir, "documents")
+    kept = near_dedup.near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    ensure_checkpoint_dir(spark)
+    found = decontamination.contaminated(docs, queries.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.repeated_rows(mixing.sampled_mix(docs), docs.columns)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in files; the place, length and checksum of every document's ids, from the files."""
+    queries.table(spark, sf_dir, "documents")
+    return queries.token_digest(spark, docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_dedup", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("mixing", mixed_sources),
+    ("token_files", token_files),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each returns is written to a new shared folder and read again."""
+    ensure_checkpoint_dir(spark)
+    docs, folder = queries.table(spark, sf_dir, "documents"), fresh_folder(spark, "pipeline")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelward.llm import exact_dedup, mixing, near_dedup, quality, secret_scan, token_counts, token_files, toxicity
+from modelward.llm import decontamination, exact_dedup, html_text, mixing, near_dedup, quality, secret_scan, token_counts, token_files, toxicity
 from modelward.llm.sql import ORACLES
 from modelward.session import ensure_checkpoint_dir, fresh_folder, ship_package
 
@@ -37,12 +37,23 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold."""
+    ensure_checkpoint_dir(spark)
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document, on word pairs."""
     ensure_checkpoint_dir(spark)
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extracted_text(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -80,4 +91,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_quality, op3_mixing, op5_near_dedup, op7_toxicity, op8_exact_dedup, op9_token_counts, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_quality, op3_mixing, op4_decontamination, op5_near_dedup, op6_html_text, op7_toxicity, op8_exact_dedup, op9_token_counts, op10_token_files)}

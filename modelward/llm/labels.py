@@ -24,5 +24,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     known = labels.where(F.col(label).isNotNull() & ~held_out(F.col(id_column))).groupBy(F.col(id_column).alias("_id")).agg(F.round(F.avg(label)).cast("int").alias("label"))
     # As many rows as the bound says, so it can be sent to all tasks and no text is shuffled.
     known = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(rows))
-    taken = docs.where(F.octet_length(text_column) <= max_bytes).join(known, F.col(id_column) == F.col("_id"))
-    return taken.groupBy("_id").agg(F.min(text_column).alias("text"), F.min("label").alias("label")).orderBy("_id").select("text", "label").toArrow()
+    texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text")).where(F.octet_length("text") <= max_bytes)
+    return texts.join(known, "_id").groupBy("_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).orderBy("_id").select("text", "label").toArrow()

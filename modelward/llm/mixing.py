@@ -89,7 +89,12 @@ def sampled_mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return both.select(*[F.col(f"`{c}`") for c in kept], F.col("_size").alias("size"), "source_size", "target", (F.col("_whole") * F.col("_size") + F.col("_extra")).cast("long").alias("taken"))
 
 
-def repeated_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix as rows: each document as often as whole texts come nearest to the words taken of it."""
+def repeated_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
+    """The mix as rows with the columns of ``docs``: each document as often as whole texts come nearest to the words taken.
+
+    Documents without words weigh nothing and stay as they are. Columns may have any names.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    mixed = sampled_mix(docs.select(whole, F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(source_column).alias("origin")), source_column="origin", **options)
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
-    return mixed.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in columns])
+    return mixed.select("row", copies.alias("copies")).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -1,0 +1,134 @@
+"""Held-out accuracy of the trained models, and their odd cases."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from modelward.llm import html_text, quality, toxicity
+from modelward.llm.labels import held_out, labelled_sample
+
+
+@pytest.fixture(scope="module")
+def made(corpus):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice(["th", "er", "an", "on", "in", "re", "st"]) for _ in range(rnd.randint(1, 4)))
+    docs, labels = [], []
+    for i in range(1200):
+        sentences = [" ".join(word() for _ in range(rnd.randint(3, 12))) for _ in range(rnd.randint(1, 40))]
+        toxic, good = int(rnd.random() < 0.2), int(rnd.random() > 0.2)
+        if toxic:
+            k = rnd.randrange(len(sentences))
+            sentences[k] += " " + rnd.choice(["Vilezz" + word(), "scumm"])
+        text = ". ".join(sentences) + "."
+        if not good:
+            text = text.replace(" ", rnd.choice(["%% ", " | "]))
+        docs.append((i, text))
+        labels.append((i, good, toxic))
+    return corpus.createDataFrame(docs, "doc_id long, text string").repartition(3), corpus.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_on_held_out_rows(made):
+    docs, labels = made
+    scored = toxicity.toxicity_scores(docs, toxicity.trained(docs, labels)).join(labels, "doc_id").join(docs, "doc_id")
+    rows = scored.where("held_out").collect()
+    assert np.mean([r.predicted == r.toxic for r in rows]) > 0.95
+    for r in rows:
+        for s in r.offending:
+            assert re.search("vilezz|scumm", r.text[s.start : s.end].lower())
+
+
+def test_quality_on_held_out_rows(made):
+    docs, labels = made
+    rows = quality.quality_scores(docs, quality.trained(docs, labels)).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
+
+
+def test_sample_is_bounded_and_leaves_the_fold_out(made):
+    docs, labels = made
+    assert len(labelled_sample(docs, labels, "toxic", 100, 10_000)) == 100
+    held = docs.where(held_out(F.col("doc_id")))
+    assert len(labelled_sample(held, labels, "toxic", 100, 10_000)) == 0
+
+
+def test_models_on_odd_rows(odd, none, labels):
+    for scores, model in ((toxicity.toxicity_scores, toxicity.trained(odd, labels)), (quality.quality_scores, quality.trained(odd, labels))):
+        rows = scores(odd, model).collect()
+        assert len(rows) == 11 and all(0 <= r.score <= 1 for r in rows)
+        assert scores(none, model).count() == 0
+    empty = labels.where("false")
+    assert toxicity.trained(odd, empty).constant == quality.trained(odd, empty).constant == 0.5
+    assert toxicity.filtered(odd, toxicity.trained(odd, empty)).columns == odd.columns
+
+
+def test_score_of_a_long_text_in_parts():
+    """A text of several blocks scores as its responses taken at once would."""
+    network = quality.started()
+    data = np.random.default_rng(2).integers(32, 120, 700_001).astype(np.uint8)
+    whole = quality.patches(network.params["embed"][data]) @ network.params["filters"]
+    want = np.maximum.reduceat(whole, np.arange(0, len(whole), quality.PIECE))
+    assert np.allclose(quality.piece_peaks(network.params, data), want, atol=1e-4)
+
+
+def test_slopes_are_the_loss_slopes():
+    rng = np.random.default_rng(1)
+    network = quality.started()
+    network.params = {k: v.astype(np.float64) for k, v in network.params.items()}
+    texts, y = [rng.integers(40, 60, n).astype(np.uint8) for n in (5, 90, 400)], np.array([1, 0, 1])
+
+    def loss():
+        p = [np.clip(quality.document_score(network, t), 1e-9, 1 - 1e-9) for t in texts]
+        return -np.mean(y * np.log(p) + (1 - y) * np.log1p(-np.array(p)))
+
+    got = quality.slopes(network.params, texts, y)
+    for name in network.params:
+        flat = network.params[name].reshape(-1)
+        for k in rng.choice(len(flat), min(6, len(flat)), replace=False):
+            kept, step = flat[k], 1e-5
+            flat[k] = kept + step
+            above = loss()
+            flat[k] = kept - step
+            below = loss()
+            flat[k] = kept
+            assert got[name].reshape(-1)[k] == pytest.approx((above - below) / (2 * step), abs=2e-3)
+
+
+def test_viterbi_is_the_best_path():
+    from itertools import product
+
+    field = html_text.Field({"a": 0.7, "b": -1.1}, np.array([[0.2, -0.9], [-0.3, 0.5]]))
+    seen = [(("a",), ()), (("b",), ()), (("b",), ("a",)), (("a",), ("a",)), (("b",), ())]
+    lean = [field.sum(x) + field.sum(y) for x, y in seen]
+    value = lambda s: sum(x for x, on in zip(lean, s) if on) + sum(field.turns[i, j] for i, j in zip(s, s[1:]))
+    assert [int(x) for x in field.decoded(seen)] == list(max(product((0, 1), repeat=5), key=value))
+
+
+def test_pages_made_with_another_seed():
+    import html
+
+    rng, model = np.random.default_rng(77), html_text.trained()
+    pages = [html_text.labelled_page(rng) for _ in range(150)]
+    right = [html_text.main_text(p, model) == "\n".join(" ".join(html.unescape(t).split()) for t in good) for p, good in pages]
+    assert np.mean(right) > 0.9
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("", ""), ("<a", ""), ("<article><p>x &amp y &lt;b&gt; &#8364;&nbsp;z</article", "x & y <b> € z"),
+        ('<nav><ul><li><a href="/a">a</a></ul></nav><article><h1>T</h1><p><b>One  two.<br><p>Three\n four. <i>Fi</i>ve.</article><footer>&copy; x</footer>', "T\nOne two.\nThree four. Five."),
+        ('<script>var t="</p><article><p>no</p>";</script><article><p>Yes it is.</p><!-- <p>no</p> --></article>', "Yes it is."),
+        ("<article><p>One two three.</p><form><p>Name here.</p></form><p>Four five.</p></article><section id=comments><p>I think so. Yes.</p></section>", "One two three.\nFour five."),
+    ],
+)
+def test_pages_by_hand(page, want):
+    assert html_text.main_text(page, html_text.trained()) == want
+
+
+def test_odd_pages(corpus):
+    rows = [(1, "u", None, 1), (1, "u", None, 1), (None, None, "<article><p>Long text. " + "word " * 200_000 + "</article>", 2)]
+    got = html_text.extracted_text(corpus.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()
+    assert sorted(r.n_chars for r in got)[:2] == [0, 0] and max(r.n_chars for r in got) > 900_000
+    assert html_text.extracted_text(corpus.createDataFrame([], "page_id long, url string, html string")).count() == 0

@@ -22,8 +22,10 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """One document of each group of near copies, on shingles of five words."""
     ensure_checkpoint_dir(spark)
     queries.table(spark, sf_dir, "documents")
-    kept = near_dedup.near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    key = lambda name: F.coalesce(F.col(name).cast("long"), F.lit(near_dedup.NO_ID)).alias("key")
+    kept = near_dedup.near_duplicates(docs, words=5, percent=80).where("kept").select(key("doc_id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key("doc_id"))
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,6 +37,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    ensure_checkpoint_dir(spark)
     return mixing.repeated_rows(docs)
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Documents of a source are ordered by a seeded hash; so many ranges of it are summed before any document is ranked.
 BUCKETS = 4096
+#: Sources whose plan is sent to all tasks; more are joined by a shuffle.
+SENT_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -79,7 +81,9 @@ def sampled_mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     edges = ranges.withColumn("_before", F.coalesce(F.sum("_words").over(so_far), F.lit(0))).join(plan, "_key")
     # One range per source: the last that begins before the rest is used up.
     edge = edges.where(F.col("_before") <= F.col("_rest")).groupBy("_key", "source_size", "target", "_whole", "_rest").agg(F.max(F.struct("_bucket", "_before")).alias("_edge"))
-    placed = rows.join(edge, "_key")
+    # The plan has a row per source. Up to a checked number it is sent to all tasks, and no text is shuffled for it.
+    edge = edge.checkpoint()
+    placed = rows.join(F.broadcast(edge) if edge.count() <= SENT_SOURCES else edge, "_key")
     inside = F.col("_bucket") == F.col("_edge._bucket")
     early = placed.where(~inside).withColumn("_extra", F.when(F.col("_bucket") < F.col("_edge._bucket"), F.col("_size")).otherwise(F.lit(0)))
     by_place = Window.partitionBy("_key").orderBy("_place", "_size").rowsBetween(Window.unboundedPreceding, -1)

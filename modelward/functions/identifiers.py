@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 
 # Accepted name patterns.
-TABLE_NAME = re.compile(r"^[A-Za-z0-9_]+(\.[A-Za-z0-9_]+){0,2}$")
-COLUMN_NAME = re.compile(r"^[A-Za-z0-9_]+$")
-ALIAS_NAME = re.compile(r"^[A-Za-z0-9_\-]+$")
+TABLE_NAME = re.compile(r"[A-Za-z0-9_]+(\.[A-Za-z0-9_]+){0,2}")
+COLUMN_NAME = re.compile(r"[A-Za-z0-9_]+")
+ALIAS_NAME = re.compile(r"[A-Za-z0-9_\-]+")
 
 
 class UnsafeName(ValueError):
@@ -15,17 +15,17 @@ class UnsafeName(ValueError):
 
 
 def check_table(name: str) -> str:
-    if not name or not TABLE_NAME.match(name):
+    if not name or not TABLE_NAME.fullmatch(name):
         raise UnsafeName(f"unsafe table name: {name!r}")
     return name
 
 
 def check_column(name: str) -> str:
-    if not name or not COLUMN_NAME.match(name):
+    if not name or not COLUMN_NAME.fullmatch(name):
         raise UnsafeName(f"unsafe column name: {name!r}")
     return name
 
 
 def usable_columns(names: list[str]) -> list[str]:
     """Columns with an acceptable name; the others are skipped, not refused."""
-    return [n for n in names if n and COLUMN_NAME.match(n)]
+    return [n for n in names if n and COLUMN_NAME.fullmatch(n)]

@@ -186,12 +186,13 @@ def performance_drift(base: DataFrame, current: DataFrame, keys: Sequence[str],
 def service_anomalies(requests: DataFrame, ts: str, key: str, latency: str, is_error: str, *, days: int = 7, latency_times: float = 2.0, max_error_rate: float = 0.01, sigmas: float = 3.0) -> DataFrame:
     """Days on which a model is slow, failing or off its usual volume, against the days before.
 
-    Requests are first summed per model and day, so the rolling window sees one row per day.
+    Requests are first summed per model and day, so the rolling window sees one row per day; it goes by calendar days, and
+    days without requests count for nothing.
     """
     daily = requests.groupBy(key, F.to_date(ts).alias("day")).agg(
         F.count(F.lit(1)).alias("volume"), F.avg(latency).alias("mean_latency"), share(F.col(is_error)).alias("error_rate")
     )
-    before = Window.partitionBy(key).orderBy("day").rowsBetween(-days, -1)
+    before = Window.partitionBy(key).orderBy(F.unix_date("day")).rangeBetween(-days, -1)
     base, usual, spread = F.avg("mean_latency").over(before), F.avg("volume").over(before), F.stddev("volume").over(before)
     return daily.select(
         "*", base.alias("baseline_latency"), F.coalesce(F.col("mean_latency") > base * latency_times, F.lit(False)).alias("latency_spike"),

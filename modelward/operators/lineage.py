@@ -116,8 +116,12 @@ def point_in_time_set(labels: DataFrame, features: DataFrame, keys: Sequence[str
 
 
 def pinned_features(features: DataFrame, pins: DataFrame) -> DataFrame:
-    """Feature rows at the version a project pinned; projects without a pin see the newest version."""
-    newest = features.groupBy("feature_id").agg(F.max("feature_version").alias("_newest"))
+    """Feature rows at the version a project pinned; projects without a pin see the newest version.
+
+    Versions are ordered by the first number in them, v9 before v10, and then as text.
+    """
+    order = F.struct(F.expr(r"try_cast(regexp_extract(feature_version, '([0-9]+)', 1) AS bigint)"), F.col("feature_version"))
+    newest = features.groupBy("feature_id").agg(F.max_by("feature_version", order).alias("_newest"))
     chosen = pins.join(newest, "feature_id").select("project_id", "feature_id", F.coalesce("pinned_version", "_newest").alias("feature_version"))
     return chosen.join(features, ["feature_id", "feature_version"])
 

@@ -84,10 +84,13 @@ def duplicate_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Whole numbers stay numbers in the (column, value) count; all else is compared as text.
     """
-    whole = {f.name for f in df.schema.fields if f.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")}
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    whole = {c for c, kind in kinds.items() if kind in ("tinyint", "smallint", "int", "bigint")}
+    # Adding zero makes -0.0 the same text as 0.0.
+    plain = lambda c: (F.col(c) + F.lit(0.0)).cast(kinds[c]) if kinds[c] in ("float", "double") else F.col(c)
 
     def cell(i, c):
-        number, text = (F.col(c).cast("bigint"), F.lit(None).cast("string")) if c in whole else (F.lit(None).cast("bigint"), F.col(c).cast("string"))
+        number, text = (F.col(c).cast("bigint"), F.lit(None).cast("string")) if c in whole else (F.lit(None).cast("bigint"), plain(c).cast("string"))
         return F.struct(F.lit(i).alias("at"), number.alias("number"), text.alias("text"))
 
     cells = df.select(F.explode(F.array(*[cell(i, c) for i, c in enumerate(columns)])).alias("_c")).where("_c.number IS NOT NULL OR _c.text IS NOT NULL")
@@ -295,7 +298,8 @@ def row_summary(df: DataFrame) -> DataFrame:
 
     Rows are grouped by two independent 64-bit hashes, so the shuffle carries 16 bytes a row instead of the row.
     """
-    cols = [F.col(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    # a map is hashed by its entries in order, as maps themselves can't be
+    cols = [F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in df.schema.fields]
     missing = sum((F.col(c).isNull().cast("int") for c in df.columns), F.lit(0))
     # a NULL does not change a running hash, so its position is hashed as well
     marks = [c.isNull() for c in cols]

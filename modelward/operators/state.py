@@ -125,8 +125,9 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 
 def text_fingerprint(df: DataFrame, columns: Sequence[str], digits: int = 12) -> DataFrame:
-    """As ``fingerprint``, from leading digits of MD5 sums, which other engines can recompute."""
-    part = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns])), 1, digits), 16, 10)
+    """As ``fingerprint``, from leading digits of MD5 sums, which other engines can recompute; NULL has a mark of its own."""
+    marked = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("!")) for c in columns]
+    part = F.conv(F.substring(F.md5(F.concat_ws("|", *marked)), 1, digits), 16, 10)
     return df.agg(F.count(F.lit(1)).alias("row_count"), F.sum(part.cast("decimal(20,0)")).cast("string").alias("checksum"))
 
 

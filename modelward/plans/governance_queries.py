@@ -434,7 +434,7 @@ def stale_passes(w):
     return out.select("job_name", day("last_good_run").alias("last_good"), "hours_since", "is_stale")
 
 
-@R.add("table_fingerprint", """SELECT count(*) AS row_count, CAST(CAST(sum(CAST(concat('0x', substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag)), 1, 12)) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS checksum FROM lineitem""")
+@R.add("table_fingerprint", """SELECT count(*) AS row_count, CAST(CAST(sum(CAST(concat('0x', substr(md5(concat_ws('|', coalesce('=' || l_orderkey, '!'), coalesce('=' || l_linenumber, '!'), coalesce('=' || l_partkey, '!'), coalesce('=' || l_suppkey, '!'), coalesce('=' || l_returnflag, '!'))), 1, 12)) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS checksum FROM lineitem""")
 def table_fingerprint(w):
     return st.text_fingerprint(w.lineitem, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"])
 

@@ -275,7 +275,7 @@ def performance_drift(w):
 
 
 @R.add("service_anomalies", check_with("requests", """dd AS (SELECT model_id, CAST(ts AS DATE) AS day, count(*) AS volume, avg(latency_ms) AS ml, avg(CASE WHEN slow THEN 1.0 ELSE 0.0 END) AS er FROM requests GROUP BY 1, 2),
-w AS (SELECT *, avg(ml) OVER x AS bl, avg(volume) OVER x AS bv, stddev(volume) OVER x AS sv FROM dd WINDOW x AS (PARTITION BY model_id ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))""",
+w AS (SELECT *, avg(ml) OVER x AS bl, avg(volume) OVER x AS bv, stddev(volume) OVER x AS sv FROM dd WINDOW x AS (PARTITION BY model_id ORDER BY day RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING))""",
     """SELECT model_id, strftime(day, '%Y-%m-%d') AS day, volume, round(ml, 6) AS mean_latency, round(er, 6) AS error_rate, round(bl, 6) AS baseline_latency, coalesce(ml > bl * 1.1, false) AS latency_spike, er > 0.08 AS error_spike, coalesce(abs(volume - bv) > sv * 2, false) AS volume_anomaly FROM w"""))
 def service_anomalies(w):
     out = d.service_anomalies(w.requests, "ts", "model_id", "latency_ms", "slow", latency_times=1.1, max_error_rate=0.08, sigmas=2.0)

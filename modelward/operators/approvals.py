@@ -13,26 +13,27 @@ GATE_DECISIONS = ("approve", "reject", "request_changes")
 REVIEW_DECISIONS = ("approved", "overridden", "rejected")
 
 _WHEN = ("event_time", "event_id")
+_VOTE = ("approval_id", "voter", *_WHEN, "decision")
+_REVIEW = ("prediction_id", *_WHEN, "reviewer_email", "decision", "overridden_value")
 
 
 def first_votes(votes: DataFrame) -> DataFrame:
-    """The vote of each voter per gate that counts: the first with an accepted decision."""
-    ok = votes.where(F.col("decision").isin(*GATE_DECISIONS) & F.col("approval_id").isNotNull())
+    """The vote of each voter per gate that counts: the first with an accepted decision. A vote without a voter never counts."""
+    ok = votes.where(F.col("decision").isin(*GATE_DECISIONS) & F.col("approval_id").isNotNull() & F.col("voter").isNotNull())
     return ok.groupBy("approval_id", "voter").agg(F.min(F.struct(*_WHEN, "decision")).alias("_v")).select("approval_id", "voter", "_v.*")
 
 
-def closings(votes: DataFrame, gates: DataFrame, max_required: int | None = None) -> DataFrame:
+def closings(votes: DataFrame, gates: DataFrame) -> DataFrame:
     """When and how each gate closed: at its first rejection or at the approval that reached the required count.
 
     The k-th approval is found by a rank cut that Spark applies before the shuffle, so a gate with very many votes
-    ships only k of them per task.
+    ships only k of them per task; k is the largest count that any of the gates requires.
     """
     need = F.greatest(F.coalesce(F.col("required_count"), F.lit(1)), F.lit(1))
     wanted = gates.select("approval_id", need.alias("required_count"))
-    if max_required is None:
-        max_required = wanted.agg(F.max("required_count")).first()[0] or 1
+    most = wanted.agg(F.max("required_count")).first()[0] or 1
     closing = first_votes(votes).where("decision <> 'request_changes'")
-    ranked = top_per_key(closing, ["approval_id", "decision"], [F.asc(c) for c in _WHEN], int(max_required), rank="_rank")
+    ranked = top_per_key(closing, ["approval_id", "decision"], [F.asc(c) for c in _WHEN], int(most), rank="_rank")
     at = F.struct(*_WHEN)
     stop = F.min(F.when((F.col("decision") == "reject") & (F.col("_rank") == 1), at))
     reached = F.min(F.when((F.col("decision") == "approve") & (F.col("_rank") == F.col("required_count")), at))
@@ -45,36 +46,39 @@ def closings(votes: DataFrame, gates: DataFrame, max_required: int | None = None
     )
 
 
-def fold_votes(votes: DataFrame, gates: DataFrame, max_required: int | None = None) -> DataFrame:
+def fold_votes(votes: DataFrame, gates: DataFrame) -> DataFrame:
     """Every vote with its outcome: recorded, or refused with the reason.
 
     A voter counts once per gate; votes after the close are refused; asking for changes is recorded and changes nothing.
+    A log row delivered again is one vote and gets one outcome. A vote without a voter is refused.
     """
-    closed = closings(votes, gates, max_required).select("approval_id", "status", "closed_at")
-    counted = first_votes(votes).select("approval_id", "voter", F.struct(*_WHEN).alias("_first"))
+    closed = closings(votes, gates).select("approval_id", "status", "closed_at")
+    counted = first_votes(votes).select("approval_id", "voter", F.struct(*_WHEN).alias("_first"), F.col("decision").alias("_decision"))
     at = F.struct(*_WHEN)
     known = F.col("status").isNotNull()
-    valid = F.col("decision").isin(*GATE_DECISIONS)
+    valid = F.coalesce(F.col("decision").isin(*GATE_DECISIONS), F.lit(False))
     in_time = F.col("closed_at").isNull() | (F.col("_first") <= F.col("closed_at"))
-    mine = F.col("_first").isNotNull() & (at == F.col("_first")) & valid
+    mine = F.col("_first").isNotNull() & (at == F.col("_first")) & (F.col("decision") == F.col("_decision"))
     recorded = known & mine & in_time
     reason = (
         F.when(~known, "unknown gate")
         .when(~valid, "invalid decision")
+        .when(F.col("voter").isNull(), "no voter")
         .when(recorded, "")
-        .when(in_time & F.col("_first").isNotNull() & (at > F.col("_first")), "already voted")
+        .when(in_time & ~mine, "already voted")
         .otherwise(F.concat(F.lit("gate already "), F.col("status")))
     )
     return (
-        votes.join(counted, ["approval_id", "voter"], "left")
+        votes.dropDuplicates([*_VOTE])
+        .join(counted, ["approval_id", "voter"], "left")
         .join(closed, "approval_id", "left")
         .select(*votes.columns, F.coalesce(recorded, F.lit(False)).alias("recorded"), reason.alias("reason"))
     )
 
 
-def gate_state(votes: DataFrame, gates: DataFrame, max_required: int | None = None) -> DataFrame:
+def gate_state(votes: DataFrame, gates: DataFrame) -> DataFrame:
     """Current state of each gate: status, counts of recorded votes and the time it closed."""
-    closed = closings(votes, gates, max_required)
+    closed = closings(votes, gates)
     in_time = first_votes(votes).join(closed.select("approval_id", "closed_at"), "approval_id").where(F.col("closed_at").isNull() | (F.struct(*_WHEN) <= F.col("closed_at")))
     counts = in_time.groupBy("approval_id").agg(
         F.count_if(F.col("decision") == "approve").alias("approved_count"), F.count_if(F.col("decision") == "reject").alias("rejected_count"), F.count(F.lit(1)).alias("responses")
@@ -135,17 +139,17 @@ def enqueue_reviews(queue: DataFrame, predictions: DataFrame, as_of) -> DataFram
 def fold_decisions(decisions: DataFrame, queue: DataFrame) -> DataFrame:
     """Every review decision with its outcome; the first valid one of a queued, undecided prediction is accepted.
 
-    An override must carry its value.
+    An override must carry its value. A log row delivered again is one decision and gets one outcome.
     """
-    valid = F.col("decision").isin(*REVIEW_DECISIONS)
+    valid = F.coalesce(F.col("decision").isin(*REVIEW_DECISIONS), F.lit(False))
     complete = (F.col("decision") != "overridden") | (F.coalesce("overridden_value", F.lit("")) != "")
     winners = (
         decisions.where(valid & complete)
         .groupBy("prediction_id")
-        .agg(F.min(F.struct(*_WHEN, "reviewer_email", "decision")).alias("_w"))
+        .agg(F.min(F.struct(*_REVIEW[1:])).alias("_w"))
     )
     queued = queue.select("prediction_id", F.col("decision").alias("_held"))
-    at = F.struct(*_WHEN, "reviewer_email", "decision")
+    at = F.struct(*_REVIEW[1:])
     accepted = valid & complete & F.col("_queued") & F.col("_held").isNull() & (at == F.col("_w"))
     reason = (
         F.when(~valid, "invalid decision")
@@ -156,7 +160,8 @@ def fold_decisions(decisions: DataFrame, queue: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("already decided ("), F.col("_w.decision"), F.lit(") by "), F.col("_w.reviewer_email")))
     )
     return (
-        decisions.join(winners, "prediction_id", "left")
+        decisions.dropDuplicates([*_REVIEW])
+        .join(winners, "prediction_id", "left")
         .join(queued.withColumn("_queued", F.lit(True)), "prediction_id", "left")
         .select(*decisions.columns, F.coalesce(accepted, F.lit(False)).alias("accepted"), reason.alias("reason"))
     )

@@ -17,19 +17,20 @@ PERIOD_DAYS = {"monthly": 30, "quarterly": 90, "annual": 365}
 PERIOD_DAYS_ELSE = 30
 
 
-def price_in_force(usage: DataFrame, prices: DataFrame, bucket_days: int = 365, salts: int = 1) -> DataFrame:
+def price_in_force(usage: DataFrame, prices: DataFrame, bucket_days: int = 365, salts: int = 1, until=None) -> DataFrame:
     """Each usage row with every price whose window [start, end) holds its start time; an open end has no limit.
 
     Windows are cut into time buckets so that the join key is (SKU, bucket): usage of one dominant SKU spreads over the
     buckets, and a row meets only the windows of its own bucket. ``salts`` deals each bucket's usage out once more, at
-    the price of as many copies of the price list. The list is broadcast only if Spark measures it as small.
+    the price of as many copies of the price list. The list is broadcast only if Spark measures it as small. All time
+    after ``until`` (today, if not given) is one bucket: it bounds the buckets of an open window, not the rows.
     """
     size = bucket_days * 86400
+    last = F.floor(F.unix_seconds((instant(until) if until is not None else F.current_date()).cast("timestamp")) / F.lit(size)).cast("long")
 
     def bucket(c):
-        return F.floor(F.unix_seconds(c.cast("timestamp")) / F.lit(size)).cast("long")
+        return F.least(F.floor(F.unix_seconds(c.cast("timestamp")) / F.lit(size)).cast("long"), last)
 
-    last = usage.agg(F.max(bucket(F.col("usage_start_time"))).alias("b")).scalar()
     first = bucket(F.col("price_start_time"))
     end = F.greatest(F.coalesce(bucket(F.col("price_end_time")), last), first)
     windows = prices.where(F.col("price_start_time").isNotNull()).select(
@@ -61,13 +62,13 @@ def _tagged(usage: DataFrame, as_of, days_back: int | None) -> DataFrame:
     return usage.where(within_days("usage_date", as_of, days_back)) if days_back is not None else usage
 
 
-def project_costs(usage: DataFrame, prices: DataFrame, as_of, days_back: int | None = 7) -> DataFrame:
+def project_costs(usage: DataFrame, prices: DataFrame, as_of, days_back: int | None = 7, salts: int = 1) -> DataFrame:
     """Daily cost per project from usage that carries a project tag."""
     tag = F.col("custom_tags")["project_id"]
     rows = _tagged(usage, as_of, days_back).withColumn("project_id", tag).where(F.col("project_id").isNotNull()).drop("custom_tags")
     cost = F.sum(F.col("usage_quantity") * F.col("unit_price"))
     return (
-        price_in_force(rows, prices)
+        price_in_force(rows, prices, salts=salts, until=as_of)
         .groupBy("project_id", F.col("usage_date").alias("date"))
         .agg(cost.alias("total_cost_usd"))
         .withColumn("compute_cost_usd", F.col("total_cost_usd"))
@@ -75,10 +76,10 @@ def project_costs(usage: DataFrame, prices: DataFrame, as_of, days_back: int | N
     )
 
 
-def control_plane_costs(usage: DataFrame, prices: DataFrame, as_of, days_back: int | None = 30) -> DataFrame:
+def control_plane_costs(usage: DataFrame, prices: DataFrame, as_of, days_back: int | None = 30, salts: int = 1) -> DataFrame:
     """Daily cost of the control plane's own usage."""
     rows = _tagged(usage, as_of, days_back).where(F.col("custom_tags")["component"] == "control_plane").drop("custom_tags")
-    return price_in_force(rows, prices).groupBy(F.col("usage_date").alias("date")).agg(F.sum(F.col("usage_quantity") * F.col("unit_price")).alias("total_cost_usd"))
+    return price_in_force(rows, prices, salts=salts, until=as_of).groupBy(F.col("usage_date").alias("date")).agg(F.sum(F.col("usage_quantity") * F.col("unit_price")).alias("total_cost_usd"))
 
 
 def refresh_costs(current: DataFrame, fresh: DataFrame, keys: Sequence[str] = ("project_id", "date"), action: str | None = None) -> DataFrame:

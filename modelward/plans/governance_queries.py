@@ -281,7 +281,7 @@ def portfolio_risk(w):
 
 # ── approval and review logs ──
 
-FIRST = """fv AS (SELECT approval_id, voter, event_time, event_id, decision FROM (SELECT *, row_number() OVER (PARTITION BY approval_id, voter ORDER BY event_time, event_id, decision) AS rn FROM vote_log) z WHERE rn = 1),
+FIRST = """fv AS (SELECT approval_id, voter, event_time, event_id, decision FROM (SELECT *, row_number() OVER (PARTITION BY approval_id, voter ORDER BY event_time, event_id, decision) AS rn FROM vote_log WHERE voter IS NOT NULL) z WHERE rn = 1),
 rj AS (SELECT approval_id, min((event_time, event_id)) AS stop FROM fv WHERE decision = 'reject' GROUP BY approval_id),
 ka AS (SELECT r.approval_id, (r.event_time, r.event_id) AS yes FROM (SELECT *, row_number() OVER (PARTITION BY approval_id ORDER BY event_time, event_id) AS rn FROM fv WHERE decision = 'approve') r
        JOIN approvals g ON g.approval_id = r.approval_id AND g.required_count = r.rn),
@@ -290,11 +290,10 @@ cl AS (SELECT g.approval_id, g.required_count, CASE WHEN stop IS NULL THEN yes W
        FROM approvals g LEFT JOIN rj ON rj.approval_id = g.approval_id LEFT JOIN ka ON ka.approval_id = g.approval_id)"""
 
 
-@R.add("vote_outcomes", check_with("vote_log approvals", FIRST, """SELECT v.approval_id, v.voter, v.event_id, v.decision,
-    (v.event_time, v.event_id) = (f.event_time, f.event_id) AND (cl.closed_at IS NULL OR (f.event_time, f.event_id) <= cl.closed_at) AS recorded,
-    CASE WHEN (v.event_time, v.event_id) = (f.event_time, f.event_id) AND (cl.closed_at IS NULL OR (f.event_time, f.event_id) <= cl.closed_at) THEN ''
-         WHEN (cl.closed_at IS NULL OR (f.event_time, f.event_id) <= cl.closed_at) THEN 'already voted' ELSE 'gate already ' || cl.status END AS reason
-    FROM vote_log v JOIN fv f ON f.approval_id = v.approval_id AND f.voter = v.voter JOIN cl ON cl.approval_id = v.approval_id"""))
+@R.add("vote_outcomes", check_with("vote_log approvals", FIRST, """SELECT v.approval_id, v.voter, v.event_id, v.decision, v.voter IS NOT NULL AND mine AND in_time AS recorded,
+    CASE WHEN v.voter IS NULL THEN 'no voter' WHEN mine AND in_time THEN '' WHEN in_time THEN 'already voted' ELSE 'gate already ' || status END AS reason
+    FROM (SELECT l.*, cl.status, (l.event_time, l.event_id, l.decision) = (f.event_time, f.event_id, f.decision) AS mine, cl.closed_at IS NULL OR (f.event_time, f.event_id) <= cl.closed_at AS in_time
+          FROM (SELECT DISTINCT * FROM vote_log) l JOIN cl ON cl.approval_id = l.approval_id LEFT JOIN fv f ON f.approval_id = l.approval_id AND f.voter = l.voter) v"""))
 def vote_outcomes(w):
     return ap.fold_votes(w.vote_log, w.approvals).select("approval_id", "voter", "event_id", "decision", "recorded", "reason")
 
@@ -339,12 +338,12 @@ def revocation_decisions(w):
     return ap.revocation_decisions(made, revocations(w), w.vote_log).select("revocation_id", "decider", "event_id", "reason", "recorded")
 
 
-@R.add("review_outcomes", check_with("review_decisions hitl_reviews", """ok AS (SELECT *, decision IN ('approved', 'overridden', 'rejected') AS valid, decision <> 'overridden' OR overridden_value <> '' AS complete FROM review_decisions),
-wn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prediction_id ORDER BY event_time, event_id, reviewer_email, decision) AS rn FROM ok WHERE valid AND complete) z WHERE rn = 1)""",
-    """SELECT o.prediction_id, o.reviewer_email, o.event_id, o.valid AND o.complete AND h.decision IS NULL AND (o.event_time, o.event_id, o.reviewer_email, o.decision) = (w.event_time, w.event_id, w.reviewer_email, w.decision) AS accepted,
+@R.add("review_outcomes", check_with("review_decisions hitl_reviews", """ok AS (SELECT DISTINCT *, decision IN ('approved', 'overridden', 'rejected') AS valid, decision <> 'overridden' OR overridden_value <> '' AS complete FROM review_decisions),
+wn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prediction_id ORDER BY event_time, event_id, reviewer_email, decision, overridden_value) AS rn FROM ok WHERE valid AND complete) z WHERE rn = 1)""",
+    """SELECT o.prediction_id, o.reviewer_email, o.event_id, o.valid AND o.complete AND h.decision IS NULL AND (o.event_time, o.event_id, o.reviewer_email, o.decision, o.overridden_value) = (w.event_time, w.event_id, w.reviewer_email, w.decision, w.overridden_value) AS accepted,
     CASE WHEN NOT o.valid THEN 'invalid decision' WHEN NOT o.complete THEN 'override needs a value' WHEN h.decision IS NOT NULL THEN 'already decided (' || h.decision || ')'
-         WHEN (o.event_time, o.event_id, o.reviewer_email, o.decision) = (w.event_time, w.event_id, w.reviewer_email, w.decision) THEN '' ELSE 'already decided (' || w.decision || ') by ' || w.reviewer_email END AS reason
-    FROM ok o JOIN hitl_reviews h ON h.prediction_id = o.prediction_id LEFT JOIN wn w ON w.prediction_id = o.prediction_id""").replace("SELECT o.prediction_id, o.reviewer_email, o.event_id, o.valid", "SELECT o.prediction_id, o.reviewer_email, o.event_id, coalesce(o.valid").replace("(w.event_time, w.event_id, w.reviewer_email, w.decision) AS accepted", "(w.event_time, w.event_id, w.reviewer_email, w.decision), false) AS accepted"))
+         WHEN (o.event_time, o.event_id, o.reviewer_email, o.decision, o.overridden_value) = (w.event_time, w.event_id, w.reviewer_email, w.decision, w.overridden_value) THEN '' ELSE 'already decided (' || w.decision || ') by ' || w.reviewer_email END AS reason
+    FROM ok o JOIN hitl_reviews h ON h.prediction_id = o.prediction_id LEFT JOIN wn w ON w.prediction_id = o.prediction_id""").replace("SELECT o.prediction_id, o.reviewer_email, o.event_id, o.valid", "SELECT o.prediction_id, o.reviewer_email, o.event_id, coalesce(o.valid").replace("(w.event_time, w.event_id, w.reviewer_email, w.decision, w.overridden_value) AS accepted", "(w.event_time, w.event_id, w.reviewer_email, w.decision, w.overridden_value), false) AS accepted"))
 def review_outcomes(w):
     return ap.fold_decisions(w.review_decisions, w.hitl_reviews).select("prediction_id", "reviewer_email", "event_id", "accepted", "reason")
 

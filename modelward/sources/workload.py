@@ -92,7 +92,16 @@ VIEWS = {
                CASE l_returnflag WHEN 'N' THEN 'approve' WHEN 'R' THEN CASE WHEN l_tax < 0.03 THEN 'reject' ELSE 'approve' END
                                  ELSE 'request_changes' END AS decision,
                l_shipdate AS event_time, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey AS event_id
-        FROM {lineitem}""",
+        FROM {lineitem}
+        UNION ALL  -- rows delivered again
+        SELECT concat('a', CAST(l_orderkey AS STRING)), concat('v', CAST(l_suppkey AS STRING)),
+               CASE l_returnflag WHEN 'N' THEN 'approve' WHEN 'R' THEN CASE WHEN l_tax < 0.03 THEN 'reject' ELSE 'approve' END
+                                 ELSE 'request_changes' END,
+               l_shipdate, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey
+        FROM {lineitem} WHERE l_discount > 0.07
+        UNION ALL  -- votes without a voter
+        SELECT concat('a', CAST(l_orderkey AS STRING)), CAST(NULL AS STRING), 'approve', l_shipdate, CAST(l_partkey AS BIGINT)
+        FROM {lineitem} WHERE l_discount < 0.02""",
     "features": """
         SELECT concat('f', CAST(p_partkey AS STRING)) AS feature_id, p_name AS feature_name, p_type AS feature_description,
                p_brand AS owner_team, p_size > 20 AS is_shared, p_retailprice < 1600 AS is_active,
@@ -112,7 +121,7 @@ VIEWS = {
                                  ELSE CASE WHEN l_tax < 0.02 THEN 'maybe' ELSE 'overridden' END END AS decision,
                CASE WHEN l_discount > 0.03 THEN CAST(l_linenumber AS STRING) ELSE '' END AS overridden_value,
                l_shipdate AS event_time, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey AS event_id
-        FROM {lineitem}""",
+        FROM (SELECT * FROM {lineitem} UNION ALL SELECT * FROM {lineitem} WHERE l_discount > 0.07) delivered""",
     "telemetry": """
         SELECT CAST(event_id AS STRING) AS client_request_id, event_type AS resolved_alias,
                CASE WHEN value < 20 THEN 'low' WHEN value < 60 THEN 'medium' ELSE 'high' END AS confidence_bucket

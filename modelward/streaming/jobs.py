@@ -135,7 +135,7 @@ def sla_breaches(presented: DataFrame, decisions: DataFrame, *, sla: str, delay:
     return p.join(d, near, "left_outer").where(F.col("decided_id").isNull()).select("prediction_id", "presented_at")
 
 
-def start_vote_fold(votes: DataFrame, gates: DataFrame, folder: str, max_required: int | None = None, once: bool = False):
+def start_vote_fold(votes: DataFrame, gates: DataFrame, folder: str, once: bool = False):
     """Fold a stream of votes into gate states, one folder of changed states per micro-batch.
 
     What is carried between batches is the counting votes of gates still open; a closed gate stays closed. Within a batch
@@ -144,7 +144,7 @@ def start_vote_fold(votes: DataFrame, gates: DataFrame, folder: str, max_require
     spark = votes.sparkSession
     columns = ["approval_id", "voter", "event_time", "event_id", "decision"]
     carried = votes.select(*columns).schema
-    state_schema = approvals.gate_state(votes.select(*columns), gates, 1).schema
+    state_schema = approvals.gate_state(votes.select(*columns), gates).schema
 
     def past(name, schema, batch_id):
         # only earlier batches count, so a repeated batch sees what it saw before
@@ -159,7 +159,7 @@ def start_vote_fold(votes: DataFrame, gates: DataFrame, folder: str, max_require
         fresh = batch.select(*columns).join(closed, "approval_id", "left_anti")
         counting = approvals.first_votes(held.unionByName(fresh)).select(*columns)
         touched = counting.select("approval_id").distinct()
-        approvals.gate_state(counting, gates.join(touched, "approval_id", "left_semi"), max_required).write.mode("overwrite").parquet(f"{folder}/data/{here}")
+        approvals.gate_state(counting, gates.join(touched, "approval_id", "left_semi")).write.mode("overwrite").parquet(f"{folder}/data/{here}")
         still = spark.read.parquet(f"{folder}/data/{here}").where("status = 'pending'").select("approval_id")
         counting.join(still, "approval_id", "left_semi").write.mode("overwrite").parquet(f"{folder}/open/{here}")
 
@@ -167,9 +167,9 @@ def start_vote_fold(votes: DataFrame, gates: DataFrame, folder: str, max_require
     return _start(writer, spark, once, None), state_schema
 
 
-def drain_votes(votes: DataFrame, gates: DataFrame, max_required: int | None = None) -> DataFrame:
+def drain_votes(votes: DataFrame, gates: DataFrame) -> DataFrame:
     """Run the vote fold over all that is there; the last state of each gate that had a vote."""
     folder = fresh_folder(votes.sparkSession, "votes")
-    query, schema = start_vote_fold(votes, gates, folder, max_required, once=True)
+    query, schema = start_vote_fold(votes, gates, folder, once=True)
     query.awaitTermination()
     return results(votes.sparkSession, folder, schema, ["approval_id"])

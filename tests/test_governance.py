@@ -262,3 +262,30 @@ def test_lineage_stops_on_cycles(spark):
     assert out == {"b": 1, "c": 2, "d": 3}
     with pytest.raises(ValueError):
         ln.downstream(edges, spark.createDataFrame([("a",)], "source STRING"), max_hops=1)
+
+
+def test_repeated_rows_missing_voters_and_a_large_gate(spark):
+    rows = [("big", f"v{i}", "approve", i) for i in range(1, 5)] + [("big", "v1", "approve", 1), ("one", None, "approve", 1), ("one", "x", "approve", 2), ("one", "x", "approve", 2), ("one", "y", "reject", 3)]
+    gates = spark.createDataFrame([("big", 5), ("one", 1)], "approval_id STRING, required_count INT")
+    got = sorted((r.approval_id, r.voter or "", r.recorded, r.reason) for r in ap.fold_votes(vote_frame(spark, rows), gates).collect())
+    assert got == [("big", f"v{i}", True, "") for i in range(1, 5)] + [("one", "", False, "no voter"), ("one", "x", True, ""), ("one", "y", False, "gate already approved")]
+    states = {r.approval_id: (r.status, r.approved_count, r.responses) for r in ap.gate_state(vote_frame(spark, rows), gates).collect()}
+    assert states == {"big": ("pending", 4, 4), "one": ("approved", 1, 1)}
+
+
+def test_repeated_review_decisions_count_once(spark):
+    queue = spark.createDataFrame([("1", None)], "prediction_id STRING, decision STRING")
+    rows = [("1", "a", "approved", "", 1)] * 2 + [("1", "b", None, "", 0), ("1", "c", "overridden", "x", 2)]
+    made = spark.createDataFrame(rows, "prediction_id STRING, reviewer_email STRING, decision STRING, overridden_value STRING, event_id BIGINT").withColumn("event_time", F.timestamp_seconds("event_id"))
+    got = sorted((r.reviewer_email, r.accepted, r.reason) for r in ap.fold_decisions(made, queue).collect())
+    assert got == [("a", True, ""), ("b", False, "invalid decision"), ("c", False, "already decided (approved) by a")]
+
+
+def test_open_price_reaches_past_the_last_bucket(spark):
+    from modelward.operators import cost
+
+    usage = spark.sql("SELECT 's' AS sku_name, timestamp_ntz'2001-01-01' + make_interval(0, 6 * id) AS usage_start_time, 1.0D AS usage_quantity, date'2001-01-01' AS usage_date FROM range(40)")
+    prices = spark.sql("SELECT 's' AS sku_name, timestamp_ntz'2002-01-01' AS price_start_time, cast(NULL AS TIMESTAMP_NTZ) AS price_end_time, named_struct('effective_list', named_struct('default', 2.0D)) AS pricing")
+    for until in (None, "1999-01-01", "2003-05-05", "2100-01-01"):
+        for salts in (1, 3):
+            assert cost.price_in_force(usage, prices, salts=salts, until=until).count() == 38

@@ -218,7 +218,8 @@ def cells(rows: DataFrame, size: int) -> DataFrame:
     Large components get blocks of their own, small ones share blocks, of about ``size`` rows; a cell takes two blocks, or
     one shared block by itself. Two blocks of one component never meet. Result: ``family, x, y, side, id, component``.
     """
-    counts = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    # Written, so that the rows of a large component can be split where they are joined to its count.
+    counts = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n")).checkpoint()
     pool = F.when(F.col("n") > size, F.col("component"))
     pools = counts.groupBy("family", pool.alias("pool")).agg(F.ceil(F.sum("n") / F.lit(size)).cast("int").alias("parts"))
     named = F.concat_ws(".", F.coalesce(F.col("pool").cast("string"), F.lit("s")), F.col("part"))

@@ -126,3 +126,18 @@ def test_contaminated_documents_are_found_and_clean_ones_are_not(corpus, odd, no
     assert sorted(r.doc_id for r in decontamination.contaminated(odd, bench).collect()) == [1, 1, 5]
     assert decontamination.contaminated(none, bench).count() == 0 and decontamination.contaminated(odd, bench.where("false")).count() == 0
     assert decontamination.common_subsequence(*[__import__("numpy").array(x) for x in ([1, 2, 3, 4, 2], [2, 9, 3, 2, 4])]) == 3
+
+
+def test_common_words_and_short_items_amid_unknown_words(corpus):
+    """What is sought of an item doesn't depend on how many words around it, or documents, the benchmark knows nothing of."""
+    rnd = random.Random(8)
+    word = lambda: f"c{rnd.randrange(60)}"
+    unknown = lambda n: [f"u{rnd.randrange(10**9)}" for _ in range(n)]
+    items = [(i, [word() for _ in range(24)]) for i in range(12)] + [(100 + i, [word() for _ in range(6 + i % 6)]) for i in range(24)]
+    docs = [(1000 + d, " ".join(word() for _ in range(15))) for d in range(3000)]
+    for i, words in items:
+        part = [w if i >= 100 or k % 3 else unknown(1)[0] for k, w in enumerate(words)]
+        docs.append((i, " ".join(unknown(15) + part + unknown(15))))
+    bench = corpus.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = decontamination.contaminated(corpus.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {i for i, _ in items} <= {r.doc_id for r in found if r.doc_id == r.item_id}

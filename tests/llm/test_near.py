@@ -141,3 +141,20 @@ def test_common_words_and_short_items_amid_unknown_words(corpus):
     bench = corpus.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
     found = decontamination.contaminated(corpus.createDataFrame(docs, "doc_id long, text string"), bench).collect()
     assert {i for i, _ in items} <= {r.doc_id for r in found if r.doc_id == r.item_id}
+
+
+def test_items_whose_words_the_fitted_sample_lacks(corpus, monkeypatch):
+    """Recall holds when the sample is far smaller than the corpus and has none of an item's words."""
+    monkeypatch.setattr(decontamination, "FIT_DOCUMENTS", 20)
+    rnd = random.Random(4)
+    word = lambda: f"c{min(int(rnd.paretovariate(0.5)), 3000)}"
+    rare = lambda i, k: f"z{i}q{k}"
+    # Half the items are in words of their own, half have common words between them.
+    items = [(i, [rare(i, k) if i % 2 or k % 2 else word() for k in range(30)]) for i in range(40)]
+    docs = [(1000 + d, " ".join(word() for _ in range(rnd.randint(20, 80)))) for d in range(3000)]
+    for i, words in items:
+        part = words if i % 4 < 2 else [w if k % 4 else f"p{rnd.randrange(10**9)}" for k, w in enumerate(words)]
+        docs.append((i, " ".join([word() for _ in range(40)] + part + [word() for _ in range(40)])))
+    bench = corpus.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = decontamination.contaminated(corpus.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {i for i, _ in items} == {r.doc_id for r in found} and all(r.doc_id == r.item_id for r in found)

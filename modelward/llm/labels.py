@@ -15,14 +15,28 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_bytes: int, id_column: str = "doc_id", text_column: str = "text") -> pa.Table:
-    """``text, label`` of at most ``rows`` labelled documents that are not held out, in the order of a hash of their ids.
+    """``text, label`` of at most ``rows`` labelled documents that are not held out, of ``rows * max_bytes`` bytes together.
 
-    Texts of more than ``max_bytes`` are not taken, whole ones only; so the table is at most ``rows * max_bytes`` large. A
-    document with several labels has their rounded mean, one with several texts the first in order. Null labels and texts
-    give no row.
+    The documents are the first in the order of a hash of their ids, of those that have a text. If their texts are too large
+    together, the longest are left out, whole ones only, and the next ones of up to ``max_bytes`` taken instead. A document
+    with several labels has their rounded mean, one with several texts the shortest, the first in order of these. Null labels
+    and texts give no row.
     """
+    room = rows * max_bytes
     known = labels.where(F.col(label).isNotNull() & ~held_out(F.col(id_column))).groupBy(F.col(id_column).alias("_id")).agg(F.round(F.avg(label)).cast("int").alias("label"))
-    # As many rows as the bound says, so it can be sent to all tasks and no text is shuffled.
-    known = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(rows))
-    texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text")).where(F.octet_length("text") <= max_bytes)
-    return texts.join(known, "_id").groupBy("_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).orderBy("_id").select("text", "label").toArrow()
+    texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text"), F.octet_length(text_column).alias("size"))
+    # Ids and lengths only; no text is shuffled.
+    sized = texts.where(F.col("size") <= room).groupBy("_id").agg(F.min("size").alias("size")).join(known, "_id")
+    first = lambda found: found.orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    both = first(sized).withColumn("short", F.lit(0)).union(first(sized.where(F.col("size") <= max_bytes)).withColumn("short", F.lit(1)))
+    # At most 2 * rows rows.
+    found = both.select("_id", "size", "label", "short").orderBy("short", F.xxhash64("_id"), "_id").collect()
+    taken, left = {}, room
+    for r in sorted((r for r in found if not r.short), key=lambda r: r["size"]) + [r for r in found if r.short]:
+        if r["_id"] not in taken and len(taken) < rows and r["size"] <= left:
+            taken[r["_id"]] = r
+            left -= r["size"]
+    # As many rows as the bound says, so they can be sent to all tasks.
+    kinds = sized.select("_id", "size", "label").schema
+    chosen = F.broadcast(docs.sparkSession.createDataFrame([(r["_id"], r["size"], r["label"]) for r in taken.values()], kinds))
+    return texts.join(chosen, ["_id", "size"]).groupBy("_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).orderBy("_id").select("text", "label").toArrow()

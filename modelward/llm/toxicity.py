@@ -215,17 +215,21 @@ def toxicity_scores(docs: DataFrame, model: Model, id_column: str = "doc_id", te
 
 
 def filtered(docs: DataFrame, model: Model, text_column: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose text scores below ``threshold``; rows are filtered batch by batch."""
-    known = (model.keys, model.weights, model.bias, model.constant)
+    """The rows, with all their columns, whose text scores below ``threshold``; rows are filtered batch by batch.
+
+    With nothing to learn from, all rows are kept.
+    """
+    if model.constant is not None:
+        return docs
+    known = (model.keys, model.weights, model.bias)
     place = docs.columns.index(text_column)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*known)
         for batch in batches:
-            scores = np.full(len(batch), own.constant if own.constant is not None else 0.0)
-            if own.constant is None:
-                for first, last, hashes, heads, sentences, _, _ in instances(batch.column(place)):
-                    scores[first:last] = -np.expm1(clean_odds(sentence_logits(own, hashes, heads), sentences))
+            scores = np.zeros(len(batch))
+            for first, last, hashes, heads, sentences, _, _ in instances(batch.column(place)):
+                scores[first:last] = -np.expm1(clean_odds(sentence_logits(own, hashes, heads), sentences))
             yield batch.filter(pa.array(scores < threshold))
 
     return docs.mapInArrow(clean, docs.schema)

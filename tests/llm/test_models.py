@@ -63,6 +63,23 @@ def test_models_on_odd_rows(odd, none, labels):
     assert toxicity.filtered(odd, toxicity.trained(odd, empty)).columns == odd.columns
 
 
+def test_sample_takes_ids_with_texts_and_long_texts(made):
+    docs, labels = made
+    beyond = labels.union(labels.selectExpr("doc_id + 1000000", "quality", "toxic"))
+    assert len(labelled_sample(docs, beyond, "toxic", 300, 10_000)) == 300
+    long = docs.selectExpr("doc_id", "if(doc_id % 2 = 0, repeat(text, 40), text) AS text")
+    got = labelled_sample(long, labels, "toxic", 200, 1000)["text"].to_pylist()
+    assert 0 < sum(map(len, got)) <= 200_000 and max(map(len, got)) > 1000
+    assert len(labelled_sample(docs.selectExpr("doc_id", "repeat(text, 2000) AS text"), labels, "toxic", 50, 16_000)) > 0
+    # Long texts that take all the room still leave the next short ones.
+    assert len(labelled_sample(long, labels, "toxic", 100, 4000)) == 100
+
+
+def test_nothing_to_learn_from_keeps_all_rows(odd, labels):
+    for few in (labels.where("false"), labels.where("toxic = 1")):
+        assert toxicity.filtered(odd, toxicity.trained(odd, few)).count() == 11
+
+
 def test_score_of_a_long_text_in_parts():
     """A text of several blocks scores as its responses taken at once would."""
     network = quality.started()

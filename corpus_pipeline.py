@@ -19,13 +19,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, on shingles of five words."""
+    """One text of each group of near copies, on shingles of five words; equal rows of an id and text are one."""
     ensure_checkpoint_dir(spark)
     queries.table(spark, sf_dir, "documents")
-    key = lambda name: F.coalesce(F.col(name).cast("long"), F.lit(near_dedup.NO_ID)).alias("key")
-    kept = near_dedup.near_duplicates(docs, words=5, percent=80).where("kept").select(key("doc_id"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key("doc_id"))
-    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    named = [F.coalesce(F.col("doc_id").cast("long"), F.lit(near_dedup.NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")]
+    kept = near_dedup.near_texts(docs, words=5, percent=80).where("kept").select("doc", "mark")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *named)
+    return rows.join(kept, ["doc", "mark"], "left_semi").dropDuplicates(["doc", "mark"]).select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -163,23 +163,57 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     those within the distance form families, and in a family all texts of different components are. Both happen inside
     tasks, over cells of bounded size, which hand on a spanning forest; no pairs of a whole bucket are written out.
 
-    Null and empty texts, and those of white space alone, have no shingles and are linked with nothing. A null id is an id
-    of its own, smaller than others. Rows that share an id are one document, read by the text with the smallest hash.
-    Other columns are not read; an empty table gives no rows.
+    Null and empty texts, and those of white space alone, have no shingles and are linked with nothing. Rows that share an id
+    are one document: it is linked with whatever one of its texts is, and has the shingles of the one with the smallest hash
+    of those that have any. Rows with a null id are a document for each distinct text; the smallest id is that of another
+    document where there is one, else null, and one of the rows is kept. Other columns are not read; an empty table gives
+    no rows.
+    """
+    back = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
+    found = near_texts(docs, id_column, text_column, words, percent, one_per_id=True)
+    return found.select(back("doc").alias("doc_id"), "n_shingles", back("component").alias("component_id"), "kept")
+
+
+def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, percent: int = 80, one_per_id: bool = False) -> DataFrame:
+    """One row per id and text: ``doc, mark, n_shingles, component, kept``; with ``one_per_id`` as `near_duplicates` says.
+
+    ``doc`` is the id, NO_ID for null, ``mark`` the hash of the text. Every id and text is a node of its own. ``component`` is
+    the smallest id of a component, NO_ID if all are null, and one of its texts is kept.
     """
     signed = signature_table(docs, words, id_column, text_column)
-    # One row per id; equal rows are alike in all columns.
-    one = signed.groupBy("id").agg(F.min(F.struct("mark", "n_shingles", "set_hi", "set_lo", "signature")).alias("s")).select("id", "s.*").checkpoint()
+    # One row per id and text; equal rows are alike in all columns.
+    texts = signed.groupBy(F.col("id").alias("doc"), "mark").agg(F.min(F.struct("n_shingles", "set_hi", "set_lo", "signature")).alias("s")).select("doc", "mark", "s.*").checkpoint()
+    named = texts.where(F.col("doc") != NO_ID)
+    first = F.min(F.struct((F.col("n_shingles") == 0).alias("bare"), "mark"))["mark"].alias("first")
+    # Ids of several texts: one of them is the node of that number, the others are numbered by a hash, as null ids are.
+    several = named.groupBy("doc").agg(first, F.min("mark").alias("x"), F.max("mark").alias("y")).where("x < y").select("doc", "first").checkpoint()
+    hashed = F.xxhash64("doc", "mark")
+    node = F.when(F.col("first") != F.col("mark"), hashed).otherwise(F.col("doc")).alias("id")
+    columns = ["doc", "mark", "n_shingles", "set_hi", "set_lo", "signature"]
+    one = named.join(several, "doc", "left").select(node, *columns).union(texts.where(F.col("doc") == NO_ID).select(hashed.alias("id"), *columns)).checkpoint()
     full = one.where("n_shingles > 0")
     classes = full.groupBy("n_shingles", "set_hi", "set_lo").agg(F.min("id").alias("class"))
-    members = full.select("id", "n_shingles", "set_hi", "set_lo").join(classes, ["n_shingles", "set_hi", "set_lo"]).select("id", "class")
-    heads = one.join(classes.select(F.col("class").alias("id")), "id", "left_semi").select("id", "mark", "n_shingles", "signature").checkpoint()
+    members = full.select("id", "doc", "n_shingles", "set_hi", "set_lo").join(classes, ["n_shingles", "set_hi", "set_lo"]).select("id", "doc", "class")
+    heads = one.join(classes.select(F.col("class").alias("id")), "id", "left_semi").select("id", "doc", "mark", "n_shingles", "signature").checkpoint()
     links = linked_classes(heads, texts_of(docs, id_column, text_column), words, percent)
+    odd = not one.where("id != doc").isEmpty()
+    if odd and one_per_id:
+        own = members.join(several, "doc", "left_semi").select("doc", "class").distinct().checkpoint()
+        least = own.groupBy("doc").agg(F.min("class").alias("a"))
+        links = links.union(own.join(least, "doc").where("a < class").select("a", F.col("class").alias("b"))).checkpoint()
     found = connected_components(links)
     per_class = members.join(found.withColumnRenamed("node", "class"), "class", "left").select("id", F.coalesce("component", "class").alias("component"))
-    result = one.select("id", "n_shingles").join(per_class, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
-    back = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
-    return result.select(back("id").alias("doc_id"), "n_shingles", back("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    result = one.select("id", "doc", "mark", "n_shingles").join(per_class, "id", "left").select("id", "doc", "mark", "n_shingles", F.coalesce("component", "id").alias("component"))
+    if not odd:
+        return result.select("doc", "mark", "n_shingles", "component", (F.col("id") == F.col("component")).alias("kept"))
+    # Components with hashed numbers get the smallest id that they have.
+    result = result.checkpoint()
+    shown = result.where((F.col("id") == F.col("doc")) | (F.col("doc") == NO_ID)) if one_per_id else result
+    of = result.where("id != doc").select("component").distinct()
+    best = F.min(F.struct((F.col("doc") == NO_ID).alias("none"), "doc", "mark"))
+    named_by = shown.join(of, "component", "left_semi").groupBy("component").agg(best.alias("head")).checkpoint()
+    kept = F.when(F.col("head").isNull(), F.col("id") == F.col("component")).otherwise((F.col("doc") == F.col("head.doc")) & (F.col("mark") == F.col("head.mark")))
+    return shown.join(named_by, "component", "left").select("doc", "mark", "n_shingles", F.coalesce("head.doc", "component").alias("component"), kept.alias("kept"))
 
 
 def linked_classes(heads: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -188,7 +222,8 @@ def linked_classes(heads: DataFrame, texts: DataFrame, words: int, percent: int)
     shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least")
     # Only buckets of two classes or more go on.
     buckets = keys.join(shared, "key").select("key", "id", "least").checkpoint()
-    chosen = texts.join(heads.select("id", "mark").join(buckets.select("id").distinct(), "id", "left_semi"), ["id", "mark"], "left_semi").select("id", "text").dropDuplicates(["id"])
+    wanted = heads.select("id", "doc", "mark").join(buckets.select("id").distinct(), "id", "left_semi")
+    chosen = texts.withColumnRenamed("id", "doc").join(wanted, ["doc", "mark"]).select("id", "text").dropDuplicates(["id"])
 
     # One comparison for each class to begin with: that with the smallest class it may be near.
     side = lambda name: heads.select(F.col("id").alias(name), F.col("signature").alias(f"{name}_signature"), F.col("n_shingles").alias(f"{name}_n"))

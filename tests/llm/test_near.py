@@ -1,14 +1,19 @@
 """Near dedup, components and decontamination against brute force."""
 
+import os
 import random
 import re
 
 import pytest
 
+import corpus_pipeline as pipeline
 from modelward.llm import decontamination, near_dedup
 from modelward.llm.components import connected_components
 
 
+FOLDER = os.environ.get("MODELWARD_TEST_DATA", "/root/testdata/sf0.001")
+
+
 def least(pairs, nodes):
     up = {n: n for n in nodes}
 
@@ -91,6 +96,20 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_null_and_repeated_ids(corpus):
+    """Every text of an id counts, and null ids don't make rows one document."""
+    t = [" ".join(f"t{n}w{k}" for k in range(40)) for n in range(6)]
+    near = lambda n: t[n] + " more"
+    rows = [(None, t[0]), (None, near(0)), (None, t[1]), (None, t[2]), (5, t[3]), (5, t[4]), (6, near(3)), (7, near(4)), (8, t[5]), (9, near(2)), (4, None), (4, near(5))]
+    docs = corpus.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dedup.near_duplicates(docs, words=2).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got if r.doc_id} == {(4, 4, True), (5, 5, True), (6, 5, False), (7, 5, False), (8, 4, False), (9, 9, True)}
+    assert sorted((r.component_id or 0, r.kept) for r in got if r.doc_id is None) == [(0, False), (0, True), (0, True), (9, False)]
+    clean = pipeline.without_near_copies(corpus, docs, FOLDER).collect()
+    left = sorted((r.text or "").removesuffix(" more") for r in clean)
+    assert left == sorted(["", *t]) and {(r.doc_id, r.text) for r in clean} <= set(rows)
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

@@ -29,10 +29,13 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; rows go by their text, whatever their id."""
     ensure_checkpoint_dir(spark)
-    found = decontamination.contaminated(docs, queries.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    mark = F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
+    marked = docs.select(mark, "text")
+    found = decontamination.contaminated(marked, queries.table(spark, sf_dir, "benchmark"), id_column="mark").select(F.col("doc_id").alias("mark")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), mark)
+    return rows.join(found, "mark", "left_anti").select("row.*")
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

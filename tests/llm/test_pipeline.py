@@ -37,3 +37,12 @@ def test_stages_keep_clean_rows_only(corpus):
 def test_run_places_every_document(corpus):
     rows = pipeline.run(corpus, FOLDER).orderBy("start").collect()
     assert rows and all(a.start + a.n_tokens == b.start and a.doc_id <= b.doc_id for a, b in zip(rows, rows[1:]))
+
+
+def test_decontamination_goes_by_rows(corpus):
+    """A null id keeps no contaminated row, and a shared id takes no clean one."""
+    items = [r.text for r in corpus.read.parquet(f"{FOLDER}/benchmark.parquet").limit(2).collect()]
+    rows = [(None, items[0]), (None, "clean words here"), (1, items[1]), (1, "other clean words"), (2, None), (3, "third clean text")]
+    docs = corpus.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {(r.doc_id, r.text) for r in pipeline.without_benchmark(corpus, docs, FOLDER).collect()}
+    assert got == {r for r in rows if r[1] not in items}

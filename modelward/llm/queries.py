@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelward.llm import decontamination, exact_dedup, html_text, mixing, near_dedup, quality, secret_scan, token_counts, token_files, toxicity
+from modelward.llm import decontamination, exact_dedup, hard_negatives, html_text, merkle_manifest, mixing, near_dedup, quality, secret_scan, token_counts, token_files, toxicity, url_filters
 from modelward.llm.sql import ORACLES
 from modelward.session import ensure_checkpoint_dir, fresh_folder, ship_package
 
 
+#: The rules of the url query.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; what its queries run in Python on the executors is sent along."""
     ship_package(spark)
@@ -91,4 +95,22 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_quality, op3_mixing, op4_decontamination, op5_near_dedup, op6_html_text, op7_toxicity, op8_exact_dedup, op9_token_counts, op10_token_files)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor; a seventh of the labels is changed first."""
+    vec_id, label = F.col("vec_id"), F.col("label")
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.hard_negatives(vectors, vec_id % 50 == 0)
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return url_filters.url_verdicts(table(spark, sf_dir, "pages"), rules)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document."""
+    return merkle_manifest.merkle_manifest(table(spark, sf_dir, "documents")).drop("proof")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_quality, op3_mixing, op4_decontamination, op5_near_dedup, op6_html_text, op7_toxicity, op8_exact_dedup, op9_token_counts, op10_token_files, op11_hard_negatives, op12_url_filters, op13_merkle_manifest)}

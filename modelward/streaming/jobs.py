@@ -6,6 +6,7 @@ a repeated batch overwrites its own folder, so each batch counts once.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,42 +14,63 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from modelward.functions.columns import count_where, days_between, ratio, share
-from modelward.operators import approvals
+from modelward.functions.identifiers import check_table
 from modelward.session import fresh_folder
 
 
-def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """An append-only parquet table as a stream; a missing source fails here and not after the start."""
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session for streams beside the given one: its settings, a state store on disk, and the number of state partitions.
+
+    A stream's state keeps for good the number of partitions it starts with, so that belongs to the stream's own session.
+    """
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    if state_partitions:
+        own.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    return own
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a path names one file and not a folder, in any store that Spark reads; an unknown one is refused."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not store.exists(place):
+        raise FileNotFoundError(path)
+    return store.getFileStatus(place).isFile()
+
+
+def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None, form: str = "parquet", **options: str) -> DataFrame:
+    """An append-only file, or folder of files, as a stream; a missing source fails here and not after the start."""
+    one = is_file(spark, path)
+    reader = spark.readStream.format(form).options(**options).schema(spark.read.format(form).options(**options).load(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    # a pattern, so that one file serves as well as a folder of files
-    return reader.parquet(path[:-1] + f"[{path[-1]}]")
+    if one:
+        # streams read folders or patterns; signs of a pattern in the name stand for themselves
+        path = re.sub(r"([*?\[\]{}\\])", r"\\\1", path[:-1]) + f"[{path[-1]}]"
+    return reader.load(path)
 
 
-def _start(writer, spark: SparkSession, once: bool, state_partitions: int | None):
-    """Start a query. Its state keeps for good the number of partitions it starts with, so that can be given here; the
-    session's own setting is put back at once, as a started query holds a copy.
-    """
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    try:
-        if state_partitions:
-            spark.conf.set(name, state_partitions)
-        return (writer.trigger(availableNow=True) if once else writer).start()
-    finally:
-        spark.conf.set(name, before)
+def read_stream_table(spark: SparkSession, name: str) -> DataFrame:
+    """A table of the catalog as a stream of the rows appended to it."""
+    return spark.readStream.table(check_table(name))
+
+
+def _start(writer, once: bool):
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def start(stream: DataFrame, folder: str, mode: str = "append", once: bool = False, state_partitions: int | None = None):
+def start(stream: DataFrame, folder: str, mode: str = "append", once: bool = False):
     """Start writing a stream's batches below ``folder``; ``once`` stops when the source is read."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/data/batch_id={batch_id}")
 
     writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
-    return _start(writer, stream.sparkSession, once, state_partitions)
+    return _start(writer, once)
 
 
 def results(spark: SparkSession, folder: str, schema, keys: Sequence[str] = ()) -> DataFrame:
@@ -60,11 +82,11 @@ def results(spark: SparkSession, folder: str, schema, keys: Sequence[str] = ())
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*value), "batch_id").alias("_v")).select(*keys, "_v.*")
 
 
-def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), folder: str | None = None, state_partitions: int | None = None) -> DataFrame:
-    """Run a stream over all that is there and return its results."""
-    spark = stream.sparkSession
+def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] = (), folder: str | None = None, spark: SparkSession | None = None) -> DataFrame:
+    """Run a stream over all that is there and return its results, in the given session or the stream's."""
+    spark = spark or stream.sparkSession
     folder = folder or fresh_folder(spark, "streams")
-    query = start(stream, folder, mode, True, state_partitions)
+    query = start(stream, folder, mode, True)
     query.awaitTermination()
     if query.lastProgress is None:  # the source held nothing
         return spark.createDataFrame([], stream.schema)
@@ -133,43 +155,3 @@ def sla_breaches(presented: DataFrame, decisions: DataFrame, *, sla: str, delay:
     d = decisions.withWatermark("decided_at", delay)
     near = F.expr(f"decided_id = prediction_id AND decided_at >= presented_at AND decided_at <= presented_at + INTERVAL {sla}")
     return p.join(d, near, "left_outer").where(F.col("decided_id").isNull()).select("prediction_id", "presented_at")
-
-
-def start_vote_fold(votes: DataFrame, gates: DataFrame, folder: str, once: bool = False):
-    """Fold a stream of votes into gate states, one folder of changed states per micro-batch.
-
-    What is carried between batches is the counting votes of gates still open; a closed gate stays closed. Within a batch
-    votes count in event order. The fold is the batch operator, so a busy gate is cut down before its shuffle.
-    """
-    spark = votes.sparkSession
-    columns = ["approval_id", "voter", "event_time", "event_id", "decision"]
-    carried = votes.select(*columns).schema
-    state_schema = approvals.gate_state(votes.select(*columns), gates).schema
-
-    def past(name, schema, batch_id):
-        # only earlier batches count, so a repeated batch sees what it saw before
-        if batch_id == 0:
-            return spark.createDataFrame([], StructType([*schema.fields, StructField("batch_id", LongType())]))
-        return spark.read.schema(StructType([*schema.fields, StructField("batch_id", LongType())])).parquet(f"{folder}/{name}").where(F.col("batch_id") < batch_id)
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        here = f"batch_id={batch_id}"
-        closed = past("data", state_schema, batch_id).where("status <> 'pending'").select("approval_id")
-        held = past("open", carried, batch_id).where(F.col("batch_id") == batch_id - 1).drop("batch_id")
-        fresh = batch.select(*columns).join(closed, "approval_id", "left_anti")
-        counting = approvals.first_votes(held.unionByName(fresh)).select(*columns)
-        touched = counting.select("approval_id").distinct()
-        approvals.gate_state(counting, gates.join(touched, "approval_id", "left_semi")).write.mode("overwrite").parquet(f"{folder}/data/{here}")
-        still = spark.read.parquet(f"{folder}/data/{here}").where("status = 'pending'").select("approval_id")
-        counting.join(still, "approval_id", "left_semi").write.mode("overwrite").parquet(f"{folder}/open/{here}")
-
-    writer = votes.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/checkpoint")
-    return _start(writer, spark, once, None), state_schema
-
-
-def drain_votes(votes: DataFrame, gates: DataFrame) -> DataFrame:
-    """Run the vote fold over all that is there; the last state of each gate that had a vote."""
-    folder = fresh_folder(votes.sparkSession, "votes")
-    query, schema = start_vote_fold(votes, gates, folder, once=True)
-    query.awaitTermination()
-    return results(votes.sparkSession, folder, schema, ["approval_id"])

@@ -1,6 +1,5 @@
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from modelward.functions.identifiers import UnsafeName
 from modelward.operators import approvals as ap
@@ -8,10 +7,10 @@ from modelward.schemas import TABLES, schema_of
 from modelward.session import shared_root
 from modelward.sources import snapshots as sn
 from modelward.sources import tables as tb
-from modelward.streaming import jobs
+from modelward.streaming import jobs, keyed
 
 
-def test_every_schema_parses():
+def test_every_schema_parses(spark):
     assert all(len(schema_of(t)) > 0 for t in TABLES)
 
 
@@ -110,10 +109,32 @@ def ticks(spark, path, parts):
 
 
 def test_missing_source_fails_before_the_start(spark, tmp_path):
-    with pytest.raises(AnalysisException):
+    with pytest.raises(FileNotFoundError):
         jobs.read_stream(spark, f"{tmp_path}/nothing")
 
 
+@pytest.mark.parametrize("name", ["plain", "odd né me=1"])
+def test_streams_read_files_folders_and_tables(spark, tmp_path, name):
+    folder = f"{tmp_path}/{name}"
+    spark.range(5).coalesce(1).write.json(folder)
+    assert jobs.drain(jobs.read_stream(spark, folder, form="json")).count() == 5
+    one = next(p for p in (tmp_path / name).iterdir() if p.suffix == ".json")
+    copy = tmp_path / f"one {name}"
+    copy.write_bytes(one.read_bytes())
+    assert jobs.drain(jobs.read_stream(spark, str(copy), form="json")).count() == 5
+
+
+def test_streams_read_tables(spark, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS streamed_rows")
+    spark.range(7).write.option("path", f"{tmp_path}/rows").saveAsTable("streamed_rows")
+    try:
+        assert jobs.drain(jobs.read_stream_table(spark, "streamed_rows")).count() == 7
+    finally:
+        spark.sql("DROP TABLE streamed_rows")
+    with pytest.raises(UnsafeName):
+        jobs.read_stream_table(spark, "a; drop")
+
+
 def test_windows_over_several_batches(spark, tmp_path):
     path = f"{tmp_path}/ev"
     rows = spark.range(60).select(F.timestamp_seconds(1704067200 + F.col("id") * 37).alias("ts"), F.lit("m").alias("k"), (F.col("id") % 4 == 0).alias("bad"), F.col("id").cast("double").alias("v"))
@@ -165,7 +186,74 @@ def test_vote_stream_in_event_order_matches_batch(spark, tmp_path):
     )
     gates = spark.range(40).select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("approval_id"), (F.col("id") % 4 + 1).cast("int").alias("required_count"))
     ticks(spark, f"{tmp_path}/v", [rows.where("event_id < 90"), rows.where("event_id >= 90 AND event_id < 200"), rows.where("event_id >= 200")])
-    got = {tuple(r) for r in jobs.drain_votes(jobs.read_stream(spark, f"{tmp_path}/v", 1), gates).select("approval_id", "status", "approved_count", "responses").collect()}
-    voted = rows.select("approval_id").distinct()
-    want = {tuple(r) for r in ap.gate_state(rows, gates).join(voted, "approval_id").select("approval_id", "status", "approved_count", "responses").collect()}
-    assert got == want
+    own, folder, columns = jobs.stream_session(spark, 3), f"{tmp_path}/out", ["approval_id", "status", "approved_count", "rejected_count", "responses", "completed_timestamp"]
+    voted = lambda seen: {tuple(r) for r in ap.gate_state(seen, gates).join(seen.select("approval_id").distinct(), "approval_id").select(*columns).collect()}
+
+    def run():
+        stream = keyed.gate_votes(jobs.read_stream(own, f"{tmp_path}/v", 1), own.createDataFrame(gates.collect(), gates.schema))
+        return {tuple(r) for r in jobs.drain(stream, "update", ["approval_id"], folder, spark).select(*columns).collect()}
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert run() == voted(rows)
+    # another run of the same query goes on from its state
+    more = rows.where("event_id < 60").withColumn("event_id", F.col("event_id") + 1000).withColumn("event_time", F.col("event_time") + F.expr("INTERVAL 1 HOUR")).withColumn("voter", F.concat("voter", F.lit("x")))
+    ticks(spark, f"{tmp_path}/v", [more])
+    assert run() == voted(rows.union(more.select(rows.columns)))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    # a batch writes the gates that it changed, and no others
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "data").iterdir())
+    assert spark.read.parquet(f"{folder}/data/batch_id={last}").count() <= more.select("approval_id").distinct().count()
+
+
+def test_votes_that_do_not_count(spark, tmp_path):
+    rows = [("a", None, "approve", 1), ("a", "v", "maybe", 2), ("a", "v", "approve", 3), ("a", "v", "reject", 4), ("b", "v", "approve", 5), (None, "v", "approve", 6), ("a", "w", "approve", 7), ("a", "x", "reject", 8)]
+    votes = spark.createDataFrame(rows, "approval_id string, voter string, decision string, event_id long").withColumn("event_time", F.timestamp_seconds(F.lit(1704067200) + F.col("event_id")))
+    ticks(spark, f"{tmp_path}/v", [votes.where("event_id < 5"), votes.where("event_id >= 5")])
+    own = jobs.stream_session(spark, 2)
+    gates = own.createDataFrame([("a", 2), ("c", 1)], "approval_id string, required_count int")
+    got = jobs.drain(keyed.gate_votes(jobs.read_stream(own, f"{tmp_path}/v", 1), gates), "update", ["approval_id"], spark=spark).collect()
+    assert [(r.approval_id, r.status, r.approved_count, r.rejected_count, r.responses) for r in got] == [("a", "approved", 2, 0, 2)]
+
+
+def fired_by_hand(times, silence):
+    last, out = None, []
+    for t in sorted(times):
+        if last is None or t - last >= silence:
+            out.append(t)
+            last = t
+    return out
+
+
+def test_alerts_are_silent_from_their_last_firing(spark, tmp_path):
+    day, noon = 86400, 1704067200
+    times = {"a": [noon + day - 60, noon + day + 60, noon + 2 * day - 61, noon + 2 * day - 60, noon + 5 * day], "b": [noon + k * 3600 for k in range(200)], "c": [noon, noon, noon]}
+    rows = [(k, t) for k, ts in times.items() for t in ts] + [(None, noon), ("d", None)]
+    events = spark.createDataFrame(rows, "k string, t long").select("k", F.timestamp_seconds("t").alias("ts"))
+    cut = noon + 2 * day
+    ticks(spark, f"{tmp_path}/e", [events.where(F.unix_seconds("ts") < cut), events.where(F.coalesce(F.unix_seconds("ts") >= cut, F.lit(True)))])
+    own = jobs.stream_session(spark, 2)
+    fired = keyed.firings(jobs.read_stream(own, f"{tmp_path}/e", 1), "k", "ts", day, "1 hour")
+    got = sorted((r.k, r.t) for r in jobs.drain(fired, spark=spark).select("k", F.unix_seconds("ts").alias("t")).collect())
+    assert got == sorted((k, t) for k, ts in times.items() for t in fired_by_hand(ts, day))
+
+
+def test_late_rows_are_kept_and_counted_once(spark, tmp_path):
+    start = 1704067200
+    parts = [[(1, start, 2**53 + 1), (2, start + 7200, None)], [(3, start + 7000, 5), (4, start + 100, 2**53 + 3), (5, start + 9000, None)], [(6, start + 3601, 1), (7, start + 5400, 2), (8, None, 3)]]
+    frames = [spark.createDataFrame(p, "id long, t long, v long").select("id", F.timestamp_seconds("t").alias("ts"), "v") for p in parts]
+    ticks(spark, f"{tmp_path}/e", frames[:2])
+    own, folder, listener = jobs.stream_session(spark, 2), f"{tmp_path}/out", keyed.LateRows()
+    own.streams.addListener(listener)
+    try:
+        for _ in range(2):
+            came = keyed.with_lateness(jobs.read_stream(own, f"{tmp_path}/e", 1), "ts", "1 hour", slots=4)
+            query = keyed.start_split(came, folder, once=True)
+            query.awaitTermination()
+            total = listener.settled(str(query.id), query.lastProgress["batchId"])
+            ticks(spark, f"{tmp_path}/e", frames[2:])
+    finally:
+        own.streams.removeListener(listener)
+    rows = {r.id: (r.late, r.v) for r in jobs.results(spark, folder, came.schema).collect()}
+    # the watermark stands at 1 h after the second batch's first row, then at 1.5 h
+    assert rows == {1: (False, 2**53 + 1), 2: (False, None), 3: (False, 5), 4: (True, 2**53 + 3), 5: (False, None), 6: (True, 1), 7: (False, 2), 8: (True, 3)}
+    assert total == 3

@@ -10,68 +10,90 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, DateType, IntegralType, LongType, TimestampNTZType, TimestampType
 
 from modelward.functions.relational import null_safe_join
 
 
-_STRIDE = 16
+#: Cells of a doubling of a number: coarse ones, and as a power of two the fine ones in each.
+_COARSE, _FINE = 1024, 20
+#: Bits of a whole number below a fine and below a coarse cell.
+_LOW, _HIGH = 16, 36
 
 
-def _edges_below(edges: str, value: str) -> Column:
-    """How many of the sorted edges are smaller: a look at the coarse ones, then at the few after the last hit."""
-    smaller = lambda e: e < F.col(value)
-    skipped = F.size(F.filter(F.col(edges)["coarse"], smaller)) * _STRIDE
-    return skipped + F.size(F.filter(F.slice(F.col(edges)["fine"], skipped + 1, _STRIDE), smaller))
+def _cells(value: str, kind: DataType) -> tuple[Column, Column]:
+    """Two whole numbers in the order of the values: a coarse cell, and a fine one inside it. Equal values share both."""
+    v = F.col(value)
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        v, kind = F.unix_micros(v.cast("timestamp")), LongType()
+    elif isinstance(kind, DateType):
+        v, kind = F.unix_date(v), LongType()
+    if isinstance(kind, (IntegralType, BooleanType)):
+        v = v.cast("long")
+        return F.shiftright(v, _HIGH), F.shiftright(v, _LOW).bitwiseAND(F.lit((1 << (_HIGH - _LOW)) - 1))
+    v = v.cast("double")
+    # the logarithm keeps the order, and numbers of any size spread over its cells
+    place = F.coalesce(F.signum(v) * (F.log2(F.abs(v)) + 1100) * _COARSE, F.lit(0.0))
+    place = F.when(F.isnan(v), F.lit(4e6)).otherwise(F.greatest(F.least(place, F.lit(3e6)), F.lit(-3e6)))
+    coarse = F.floor(place)
+    return coarse, F.floor((place - coarse) * (1 << _FINE))
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str], buckets: int = 256) -> DataFrame:
+def running_totals(df: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
     """Per key and distinct value: each weight ``w`` summed, ``w_below`` over smaller values and ``w_total`` over the key.
 
-    Bucket edges come from a quantile sketch of the values, so equal values always share a bucket and a retried task
-    puts rows where it put them before.
+    Values keep their own type. Rows shrink to (key, value) counts first. The values of a key are cut into coarse cells and
+    these into fine ones, by the value alone, so a retried task puts rows where it put them before and no edges have to be
+    found; totals run over the coarse cells of a key, over the fine cells of a coarse one, and over the values of a fine one.
+    A key with very many values lies in as many tasks as it has cells, and none of the three passes sees more than the
+    cells of one level. NULL values are left out.
     """
-    keys = list(keys)
-    df = df.where(F.col(value).isNotNull())
-    probs = F.expr("array(" + ", ".join(f"{(i + 1) / buckets}D" for i in range(buckets - 1)) + ")")
-    fine = F.array_distinct(F.percentile_approx(value, probs, F.lit(buckets * 20)))
-    sketch = F.struct(fine.alias("fine"), F.filter(fine, lambda _, i: i % _STRIDE == _STRIDE - 1).alias("coarse"))
-    counts = df.groupBy(*keys, value).agg(*[F.sum(w).alias(w) for w in weights])
-    if keys:
-        placed = null_safe_join(counts, df.groupBy(*keys).agg(sketch.alias("_edges")), keys)
-    else:
-        placed = counts.withColumn("_edges", df.agg(sketch).scalar())
-    placed = placed.withColumn("_bucket", _edges_below("_edges", value)).drop("_edges")
-    # one row per (key, bucket) from here: without keys that is one small partition
-    whole = Window.partitionBy(*keys)
-    along = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy(*keys, "_bucket").agg(*[F.sum(w).alias(w) for w in weights])
-    offsets = sums.select(
-        *keys, "_bucket", *[F.coalesce(F.sum(w).over(along), F.lit(0)).alias(f"_before_{w}") for w in weights], *[F.sum(w).over(whole).alias(f"{w}_total") for w in weights]
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return null_safe_join(placed, offsets, [*keys, "_bucket"]).select(
-        *keys,
-        value,
-        *weights,
-        *[(F.col(f"_before_{w}") + F.coalesce(F.sum(w).over(inside), F.lit(0))).alias(f"{w}_below") for w in weights],
-        *[f"{w}_total" for w in weights],
+    keys, kind = list(keys), df.schema[value].dataType
+    coarse, fine = _cells("_value", kind)
+    # one struct for all keys, in which NULLs meet each other; names of the caller's stay out of the way
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    sums = [F.sum(f"_w{i}").alias(f"_w{i}") for i in range(len(weights))]
+    rows = df.where(F.col(value).isNotNull()).select(key.alias("_k"), F.col(value).alias("_value"), *[F.col(w).alias(f"_w{i}") for i, w in enumerate(weights)])
+    # never NULL, and marked so: no level adds a filter of its own, and all of them read one shuffle of the counts
+    place = [F.coalesce(c, F.lit(0)).cast("long").alias(n) for c, n in ((coarse, "_c"), (fine, "_f"))]
+    counts = rows.groupBy("_k", "_value").agg(*sums).select("_k", *place, "_value", *[f"_w{i}" for i in range(len(weights))])
+    cells = counts.groupBy("_k", "_c", "_f").agg(*sums)
+    tops = cells.groupBy("_k", "_c").agg(*sums)
+
+    def before(level: DataFrame, inside: Sequence[str], order: str, *more: Column) -> DataFrame:
+        """Adds to a level's sums what lies before each of its rows, and drops the sums."""
+        along = Window.partitionBy(*inside).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        start = [F.coalesce(F.sum(f"_w{i}").over(along), F.lit(0)) + (F.col(f"_b{i}") if f"_b{i}" in level.columns else F.lit(0)) for i in range(len(weights))]
+        return level.select(*inside, order, *[b.alias(f"_b{i}") for i, b in enumerate(start)], *more)
+
+    totals = [f"_t{i}" for i in range(len(weights))]
+    whole = [F.sum(f"_w{i}").over(Window.partitionBy("_k")).alias(t) for i, t in enumerate(totals)]
+    over_tops = before(tops, ["_k"], "_c", *whole)
+    over_cells = before(cells.join(over_tops, ["_k", "_c"]), ["_k", "_c"], "_f", *totals)
+    found = before(counts.join(over_cells, ["_k", "_c", "_f"]), ["_k", "_c", "_f"], "_value", *totals, *[f"_w{i}" for i in range(len(weights))])
+    return found.select(
+        *[F.col("_k")[k].alias(k) for k in keys], F.col("_value").alias(value), *[F.col(f"_w{i}").alias(w) for i, w in enumerate(weights)],
+        *[F.col(f"_b{i}").alias(f"{w}_below") for i, w in enumerate(weights)], *[F.col(t).alias(f"{w}_total") for t, w in zip(totals, weights)],
     )
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int = 256) -> DataFrame:
-    """Interpolated quantiles per key, spread over value buckets. One output column per entry of ``probs``.
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles per key, spread over cells of values. One output column per entry of ``probs``.
 
     Position ``p * (n - 1)`` falls on or between two neighbouring values; each is found by its count range.
     """
     src = df.select(*keys, F.col(value).cast("double").alias("_v"), F.lit(1).alias("_n"))
-    runs = running_totals(src, keys, "_v", ["_n"], buckets)
-    picks = []
+    return quantiles_of(running_totals(src, keys, "_v", ["_n"]), keys, "_v", "_n", probs)
+
+
+def quantiles_of(runs: DataFrame, keys: Sequence[str], value: str, count: str, probs: dict[str, float]) -> DataFrame:
+    """The same from running totals of counts that are there already."""
+    picks, v, n, below, total = [], F.col(value), F.col(count), F.col(f"{count}_below"), F.col(f"{count}_total")
     for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_n_total") - 1)
+        pos = F.lit(float(p)) * (total - 1)
         for side, k in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (F.col("_n_below") <= k) & (k < F.col("_n_below") + F.col("_n"))
-            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{name}_{side}"))
-    found = runs.groupBy(*keys).agg(F.max("_n_total").alias("_n_total"), *picks)
+            picks.append(F.max(F.when((below <= k) & (k < below + n), v)).alias(f"_{name}_{side}"))
+    found = runs.groupBy(*keys).agg(F.max(total).alias("_n_total"), *picks)
     out = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_n_total") - 1)

@@ -71,12 +71,12 @@ def baseline(df: DataFrame, columns: Sequence[str], categorical: Sequence[str] =
     )
 
 
-def ks_test(base: DataFrame, current: DataFrame, columns: Sequence[str], threshold: float = 0.1, buckets: int = 256) -> DataFrame:
+def ks_test(base: DataFrame, current: DataFrame, columns: Sequence[str], threshold: float = 0.1) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic and p-value per field; drift is a statistic above the threshold."""
     sides = long_form(base, columns, as_type="double").select("field", "value", F.lit(1).cast("long").alias("b"), F.lit(0).cast("long").alias("c")).unionByName(
         long_form(current, columns, as_type="double").select("field", "value", F.lit(0).cast("long").alias("b"), F.lit(1).cast("long").alias("c"))
     )
-    runs = running_totals(sides, ["field"], "value", ["b", "c"], buckets)
+    runs = running_totals(sides, ["field"], "value", ["b", "c"])
     # one division at the end: whole counts stay exact, so a statistic equal to the threshold is not above it
     nb, nc = F.col("b_total").cast("double"), F.col("c_total").cast("double")
     gap = ratio(F.abs((F.col("b_below") + F.col("b")) * nc - (F.col("c_below") + F.col("c")) * nb), nb * nc)
@@ -92,28 +92,30 @@ def decile_edges(base: DataFrame, columns: Sequence[str], bins: int = 10) -> Dat
     return cut.select("field", F.array_distinct(F.array(*names)).alias("edges"))
 
 
-def _binned(df: DataFrame, columns: Sequence[str], edges: Mapping[str, Sequence[float]], keep: Sequence[str] = ()) -> DataFrame:
+def _binned(df: DataFrame, columns: Sequence[str], cuts: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows per field and bin; ``cuts`` maps a field to its edges."""
+
     def bin_of(c):
-        cuts = F.array(*[F.lit(float(e)) for e in edges.get(c, ())]).cast("array<double>")
-        return F.when(F.col(c).isNull(), F.lit(-1)).otherwise(F.size(F.filter(cuts, lambda e: e <= F.col(c).cast("double"))))
+        edges = F.coalesce(F.try_element_at("_cuts", F.lit(c)), F.array().cast("array<double>"))
+        return F.when(F.col(c).isNull(), F.lit(-1)).otherwise(F.size(F.filter(edges, lambda e: e <= F.col(c).cast("double"))))
 
     cells = F.array(*[F.struct(F.lit(c).alias("field"), bin_of(c).alias("bin")) for c in columns])
-    return df.select(*keep, F.explode(cells).alias("_c")).groupBy(*keep, "_c.field", "_c.bin").agg(F.count(F.lit(1)).alias("n"))
+    return df.withColumn("_cuts", cuts).select(*keep, F.explode(cells).alias("_c")).groupBy(*keep, "_c.field", "_c.bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def psi_daily(base: DataFrame, current: DataFrame, columns: Sequence[str], ts: str, bins: int = 10, eps: float = 1e-4, edges: DataFrame | None = None) -> DataFrame:
     """Population stability index per field and day against baseline deciles; NULL is a bin of its own.
 
-    The edges (a few numbers per field of the schema) are read once, or taken from those kept with the baseline; rows
-    then shrink to (day, field, bin) counts in the first aggregate.
+    The edges (a few numbers per field of the schema) are a scalar that the query itself finds, or that is kept with the
+    baseline; rows then shrink to (day, field, bin) counts in the first aggregate.
     """
-    kept = (edges if edges is not None else decile_edges(base, columns, bins)).collect()
-    cuts = {r["field"]: r["edges"] for r in kept}
+    kept = edges if edges is not None else decile_edges(base, columns, bins)
+    cuts = kept.agg(F.map_from_entries(F.collect_list(F.struct("field", "edges")))).scalar()
     shares = _binned(base, columns, cuts)
     shares = shares.withColumn("_b", F.col("n") / F.sum("n").over(Window.partitionBy("field"))).select("field", "bin", "_b")
     days = _binned(current.withColumn("window_date", F.to_date(ts)), columns, cuts, ["window_date"])
     # every bin counts on every day, also where neither side has rows
-    top = F.element_at(F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(len(cuts.get(c, ()))))]), F.col("field"))
+    top = F.coalesce(F.size(F.try_element_at(cuts, F.col("field"))), F.lit(0))
     found = days.groupBy("window_date", "field").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_m"), F.sum("n").alias("_t"))
     cells = found.select("window_date", "field", "_t", "_m", F.explode(F.sequence(F.lit(-1), top)).alias("bin")).withColumn("n", F.try_element_at("_m", F.col("bin")))
     # bins x fields rows: small by construction

@@ -40,13 +40,13 @@ def _metrics() -> dict[str, Column]:
     }
 
 
-def auc(df: DataFrame, keys: Sequence[str] = (), score: str = "score", buckets: int = 256) -> DataFrame:
+def auc(df: DataFrame, keys: Sequence[str] = (), score: str = "score") -> DataFrame:
     """Area under the ROC curve by rank sums over distinct scores; NULL when one class is missing."""
     keys = list(keys)
     src = df.where(F.col("y_true").isNotNull()).select(
         *keys, F.col(score).cast("double").alias("_s"), (F.col("y_true") == 1).cast("long").alias("pos"), (F.col("y_true") == 0).cast("long").alias("neg")
     )
-    runs = running_totals(src, keys, "_s", ["pos", "neg"], buckets)
+    runs = running_totals(src, keys, "_s", ["pos", "neg"])
     won = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     return runs.groupBy(*keys).agg(ratio(won, F.max("pos_total").cast("double") * F.max("neg_total")).alias("auc_roc"))
 

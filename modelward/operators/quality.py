@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from modelward.functions.columns import array_text, bucket_at_least, count_where, instant, ratio_or_zero, row_id
 from modelward.functions.identifiers import check_column, check_table, usable_columns
-from modelward.functions.ordered import exact_quantiles
+from modelward.functions.ordered import quantiles_of, running_totals
 from modelward.functions.relational import long_form, numeric_columns, top_per_key, wide_to_rows
+from modelward.operators.moments import moment_matrix, pair_rows
 
 Contract = Sequence[Mapping]
 
@@ -99,21 +100,26 @@ def duplicate_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide_to_rows(wide, [(c, {"duplicate_count": F.coalesce(F.col(f"_dup_{c}"), F.lit(0).cast("long"))}) for c in columns], name="column_name")
 
 
-def outlier_counts(df: DataFrame, columns: Sequence[str], factor: float = 3.0, buckets: int = 256) -> DataFrame:
-    """Values outside [Q1 - factor*IQR, Q3 + factor*IQR] per column, with exact quartiles."""
-    cells = long_form(df, columns, as_type="double")
-    fences = exact_quantiles(cells, ["field"], "value", {"q1": 0.25, "q3": 0.75}, buckets).select(
+def outlier_counts(df: DataFrame, columns: Sequence[str], factor: float = 3.0) -> DataFrame:
+    """Values outside [Q1 - factor*IQR, Q3 + factor*IQR] per column, with exact quartiles.
+
+    Quartiles and counts both come from the running totals of (column, value), so the table is read once.
+    """
+    cells = long_form(df, columns, as_type="double").select("field", "value", F.lit(1).alias("n"))
+    runs = running_totals(cells, ["field"], "value", ["n"])
+    fences = quantiles_of(runs, ["field"], "value", "n", {"q1": 0.25, "q3": 0.75}).select(
         "field", (F.col("q1") - factor * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + factor * (F.col("q3") - F.col("q1"))).alias("high")
     )
+    outside = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
     # one row per column of the schema: small by construction
     return (
-        cells.join(F.broadcast(fences), "field")
+        runs.join(F.broadcast(fences), "field")
         .groupBy("field")
         .agg(
             F.first("low").alias("low_fence"),
             F.first("high").alias("high_fence"),
-            F.count("value").alias("values_seen"),
-            count_where((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("outlier_count"),
+            F.sum("n").alias("values_seen"),
+            F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("outlier_count"),
         )
         .withColumnRenamed("field", "column_name")
     )
@@ -399,16 +405,9 @@ def freshness(df: DataFrame, ts: str, as_of, freshness_hours: float, keys: Seque
     return last.withColumn("hours_since", hours).withColumn("is_stale", F.coalesce(F.col("hours_since") > freshness_hours, F.lit(True)))
 
 
-def correlations(df: DataFrame, columns: Sequence[str], group: int = 40) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns; wide tables take one pass per ``group`` pairs."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    out = None
-    for at in range(0, len(pairs), group):
-        part = pairs[at : at + group]
-        wide = df.agg(*[F.corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(part)])
-        rows = wide_to_rows(wide, [(a, {"other_field": F.lit(b), "correlation": F.col(f"_c{i}")}) for i, (a, b) in enumerate(part)])
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every pair of numeric columns, each over the rows in which both have a value; one pass."""
+    return pair_rows(moment_matrix(df, columns), columns).drop("n")
 
 
 def histograms(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:

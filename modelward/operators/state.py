@@ -66,13 +66,13 @@ def replace_rows(current: DataFrame, replacement: DataFrame, keys: Sequence[str]
 
 
 def next_versions(current: DataFrame, new: DataFrame, key: str, version: str, order: str, newest: str | None = None) -> DataFrame:
-    """Number new rows of a key onward from its highest version, in the order of a unique numeric column.
+    """Number new rows of a key onward from its highest version, in the order of a unique column of numbers or times.
 
-    ``newest`` names an extra column that marks the last row of each key.
+    The order is that of the column's own type, so 64-bit numbers keep apart. ``newest`` names an extra column that marks the last row of each key.
     """
     top = current.groupBy(key).agg(F.max(version).alias("_top"))
-    placed = running_totals(new.select(key, F.col(order).cast("double").alias("_o"), F.lit(1).alias("_one")), [key], "_o", ["_one"])
-    numbered = new.withColumn("_o", F.col(order).cast("double")).join(placed, [key, "_o"]).drop("_o")
+    placed = running_totals(new.select(key, order, F.lit(1).alias("_one")), [key], order, ["_one"])
+    numbered = new.join(placed, [key, order])
     cols = [*new.columns, (F.coalesce("_top", F.lit(0)) + F.col("_one_below") + 1).alias(version)]
     if newest:
         cols.append((F.col("_one_below") + 1 == F.col("_one_total")).alias(newest))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from modelward.functions.columns import array_text, stamp
+from modelward.operators import moments as mo
 from modelward.operators import quality as q
+from modelward.operators import sketches as sk
 from modelward.plans.registry import Registry
-from modelward.sources.workload import AS_OF
+from modelward.session import fresh_folder
+from modelward.sources.workload import AS_OF, check_sql
 
 R = Registry()
 
@@ -122,10 +125,47 @@ def quick_stats(w):
 @R.add(
     "quick_stats_sketch",
     f"WITH t AS ({NULLED}) "
-    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS row_count, round((count(*) - count({c})) * 100.0 / count(*), 6) AS null_pct FROM t" for c in _COLS),
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS row_count, round((count(*) - count({c})) * 100.0 / count(*), 6) AS null_pct, count(DISTINCT {c}) AS exact_count, true AS in_bound FROM t" for c in _COLS),
 )
 def quick_stats_sketch(w):
-    return q.quick_stats(nulled(w)).select("column_name", "row_count", F.round("null_pct", 6).alias("null_pct"))
+    return checked_distinct(q.quick_stats(nulled(w)), q.quick_stats(nulled(w), exact=True), 0.05)
+
+
+def checked_distinct(estimated, exact, error):
+    """Estimates beside the exact counts; four times the error passes for chance."""
+    near = F.abs(F.col("distinct_count") - F.col("exact_count")) <= 4 * error * F.col("exact_count")
+    both = estimated.join(exact.select("column_name", F.col("distinct_count").alias("exact_count")), "column_name")
+    return both.select("column_name", "row_count", F.round("null_pct", 6).alias("null_pct"), "exact_count", near.alias("in_bound"))
+
+
+_STORED = ("l_orderkey", "l_quantity", "l_returnflag", "l_extendedprice", "discount")
+
+
+@R.add(
+    "distinct_sketch_error",
+    "WITH t AS (SELECT *, nullif(l_discount, 0) AS discount FROM lineitem) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS row_count, round((count(*) - count({c})) * 100.0 / count(*), 6) AS null_pct, count(DISTINCT {c}) AS exact_count, true AS in_bound FROM t" for c in _STORED),
+)
+def distinct_sketch_error(w):
+    rows = w.lineitem.withColumn("discount", F.nullif(F.col("l_discount"), F.lit(0.0))).withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
+    folder = fresh_folder(w.spark, "distinct_sketches")
+    sk.distinct_sketches(rows, _STORED, ["month"]).write.partitionBy("month").parquet(folder)
+    return checked_distinct(sk.united_distinct(w.spark.read.parquet(folder)), q.quick_stats(rows.select(*_STORED), exact=True), sk.distinct_error())
+
+
+@R.add(
+    "latency_sketch_error",
+    check_sql("requests", """SELECT model_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS requests, round(avg(CASE WHEN is_error THEN 1.0 ELSE 0.0 END), 6) AS error_rate,
+    true AS p50, true AS p95, true AS p99 FROM requests GROUP BY 1, 2"""),
+)
+def latency_sketch_error(w):
+    folder = fresh_folder(w.spark, "latency_sketches")
+    sk.latency_sketches(w.requests).write.parquet(folder)
+    days = sk.merged_latency(w.spark.read.parquet(folder))
+    errors = sk.rank_errors(days, w.requests.withColumn("window_start", F.window("ts", "1 day")["start"]), ["model_id", "window_start"], "latency_ms")
+    # twice the error of 99 in 100 passes for chance
+    near = errors.groupBy("model_id", "window_start").pivot("quantile", list(sk.QUANTILES)).agg(F.first(F.col("rank_error") <= 2 * sk.rank_error()))
+    return days.select("model_id", "window_start", "requests", F.round("error_rate", 6).alias("error_rate")).join(near, ["model_id", "window_start"]).withColumn("day", stamp("window_start", "yyyy-MM-dd")).drop("window_start")
 
 
 @R.add(
@@ -285,6 +325,23 @@ def column_correlations(w):
     return q.correlations(w.lineitem, _NUM).withColumn("correlation", F.round("correlation", 6))
 
 
+# numbers with NULLs in different rows, far from 0 or not
+_WIDE = {
+    "quantity": "l_quantity", "price": "CASE WHEN l_linenumber > 1 THEN l_extendedprice END", "discount": "CASE WHEN l_discount > 0 THEN l_discount END", "tax": "CASE WHEN l_tax < 0.07 THEN l_tax END",
+    "unit": "l_extendedprice / l_quantity", "far": "CASE WHEN l_partkey > 5 THEN 1000000 + l_quantity * l_tax END", "supplier": "CAST(l_suppkey AS DOUBLE)", "line": "CAST(l_linenumber AS DOUBLE)", "kept": "CASE WHEN l_returnflag = 'N' THEN l_extendedprice * (1 - l_discount) END",
+}
+
+
+@R.add(
+    "pairwise_correlations",
+    "WITH t AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _WIDE.items()) + " FROM lineitem) "
+    + " UNION ALL ".join(f"SELECT '{a}' AS field, '{b}' AS other_field, count(CASE WHEN {a} IS NOT NULL THEN {b} END) AS n, round(corr({a}, {b}), 6) AS correlation FROM t" for i, a in enumerate(_WIDE) for b in list(_WIDE)[i + 1 :]),
+)
+def pairwise_correlations(w):
+    t = w.lineitem.selectExpr(*[f"{e} AS {c}" for c, e in _WIDE.items()])
+    return mo.pair_rows(mo.moment_matrix(t, list(_WIDE)), list(_WIDE)).withColumn("correlation", F.round("correlation", 6))
+
+
 @R.add(
     "column_histograms",
     " UNION ALL ".join(

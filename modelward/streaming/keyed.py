@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from modelward.operators.approvals import GATE_DECISIONS
+from modelward.session import ship_package
 
 _GATE_STATE = "status string, closed_at bigint, closed_id bigint, approved bigint, rejected bigint, responses bigint"
 _GATE_ROWS = "approval_id string, required_count int, status string, approved_count bigint, rejected_count bigint, responses bigint, closed_at bigint"
@@ -64,6 +65,7 @@ def gate_votes(votes: DataFrame, gates: DataFrame) -> DataFrame:
     touches; voters are forgotten when the gate closes. Votes without a voter, of unknown gates, or with another decision
     never count.
     """
+    ship_package(votes.sparkSession)
     kind = votes.schema["event_time"].dataType
     need = F.greatest(F.coalesce("required_count", F.lit(1)), F.lit(1)).cast("int").alias("required_count")
     at = F.unix_micros(F.col("event_time").cast("timestamp")).alias("at")
@@ -115,6 +117,7 @@ def firings(stream: DataFrame, key: str, ts: str, silence_seconds: int, delay: s
     Events of a batch are taken in time order, whatever calendar day they fall in. An event that comes late but ahead of the
     watermark fires only if it is that long after the last firing. Rows without a key or time never fire.
     """
+    ship_package(stream.sparkSession)
     kind = stream.schema[ts].dataType
     watched = stream.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     rows = watched.select(F.col(key).alias("key"), F.col(ts).alias("_ts"), F.unix_micros(ts).alias("at"))
@@ -130,6 +133,7 @@ def with_lateness(stream: DataFrame, ts: str, delay: str, slots: int = 64) -> Da
     Spark's own time windows drop such rows; here they go on, so that a sink can keep them apart. Rows are dealt out by their
     hash over ``slots`` groups, so no key weighs on one task. A row without a time is late.
     """
+    ship_package(stream.sparkSession)
     columns = [f"`{c}`" for c in stream.columns]
     kept = StructType([StructField("row", stream.schema), StructField("late", BooleanType())])
     marked = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)

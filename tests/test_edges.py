@@ -41,3 +41,29 @@ def test_anomalies_look_back_calendar_days(spark):
     df = spark.createDataFrame(rows, "k string, ts string, latency double, bad boolean").withColumn("ts", F.to_timestamp("ts"))
     got = {str(r.day): r.baseline_latency for r in drift.service_anomalies(df, "ts", "k", "latency", "bad").collect()}
     assert got == {"2024-01-01": None, "2024-06-01": None, "2024-06-02": 10.0}
+
+
+def test_versions_of_large_ids_stay_apart(spark):
+    new = spark.createDataFrame([("p", 2**53 + i) for i in range(4)], "k STRING, o BIGINT")
+    current = spark.createDataFrame([("p", 7)], "k STRING, v BIGINT")
+    got = state.next_versions(current, new, "k", "v", "o", newest="last").orderBy("o").collect()
+    assert [(r.v, r["last"]) for r in got] == [(8, False), (9, False), (10, False), (11, True)]
+
+
+def test_ks_reads_each_side_once(spark):
+    a, b = spark.range(100).select(F.col("id").cast("double").alias("v")), spark.range(50, 150).select(F.col("id").cast("double").alias("v"))
+    df = drift.ks_test(a, b, ["v"])
+    row = df.collect()[0]
+    assert row.ks_stat == 0.5
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Range (") == 2
+
+
+def test_psi_plans_without_a_job(spark):
+    base = spark.range(1000).select(F.col("id").cast("double").alias("v"), F.timestamp_seconds(F.col("id")).alias("ts"))
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("psi-plan", "planning")
+    df = drift.psi_daily(base, base, ["v"], "ts")
+    assert list(seen.getJobIdsForGroup("psi-plan")) == []
+    assert [(r.psi_score, r.band) for r in df.collect()] == [(0.0, "none")]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

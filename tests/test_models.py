@@ -14,7 +14,7 @@ def frame(spark, values):
 
 
 def ks(spark, a, b):
-    return d.ks_test(frame(spark, a), frame(spark, b), ["v"], buckets=5).first()
+    return d.ks_test(frame(spark, a), frame(spark, b), ["v"]).first()
 
 
 def test_ks_known_value_and_strict_threshold(spark):

@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from modelward.functions import ordered as o
 
@@ -16,7 +18,7 @@ def skewed(n, seed):
 
 def test_running_totals(spark):
     rows = skewed(600, 1)
-    got = o.running_totals(spark.createDataFrame([(k, v, 1) for k, v, _ in rows], "k STRING, v DOUBLE, w INT"), ["k"], "v", ["w"], buckets=7).collect()
+    got = o.running_totals(spark.createDataFrame([(k, v, 1) for k, v, _ in rows], "k STRING, v DOUBLE, w INT"), ["k"], "v", ["w"]).collect()
     assert len(got) == len({(k, v) for k, v, _ in rows})
     for r in got:
         mine = [v for k, v, _ in rows if k == r.k]
@@ -25,15 +27,42 @@ def test_running_totals(spark):
 
 def test_running_totals_without_keys(spark):
     rows = skewed(200, 2)
-    got = o.running_totals(spark.createDataFrame([(v, 2) for _, v, _ in rows], "v DOUBLE, w INT"), [], "v", ["w"], buckets=40).collect()
+    got = o.running_totals(spark.createDataFrame([(v, 2) for _, v, _ in rows], "v DOUBLE, w INT"), [], "v", ["w"]).collect()
     for r in got:
         assert r.w_below == 2 * sum(v < r.v for _, v, _ in rows)
 
 
+@pytest.mark.parametrize("kind,values", [
+    ("BIGINT", [2**53, 2**53 + 1, 2**53 + 2, -(2**63), 2**63 - 1, 0, -1, 1, 1 << 16, (1 << 16) - 1, 1 << 36, -(1 << 36) - 1]),
+    ("DOUBLE", [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, float("inf"), float("-inf"), 1.0, 1.0000000000000002, 0.9999999999999999, -1.0, 1024.0, 1023.9999999999999, float("nan")]),
+    ("DECIMAL(30,2)", ["123456789012345678901234567.01", "123456789012345678901234567.02", "-1.00", "0.00", "0.01"]),
+    ("TIMESTAMP", [f"{y}-01-01 00:00:00.{m:06}" for y in (1800, 1970, 2024) for m in (0, 1, 999999)]),
+    ("DATE", ["1800-01-01", "1969-12-31", "1970-01-01", "2024-02-29"]),
+])
+def test_running_totals_keep_the_type_and_order(spark, kind, values):
+    rows = [(None if i % 2 else "a", str(v), 1) for i, v in enumerate(values * 3)] + [("a", None, 1)]
+    df = spark.createDataFrame(rows, "k STRING, v STRING, w INT").withColumn("v", F.col("v").cast(kind))
+    got = o.running_totals(df, ["k"], "v", ["w"])
+    assert got.schema["v"].dataType.simpleString() == kind.lower()
+    plain = F.sum("w").over(Window.partitionBy("k").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("w").over(Window.partitionBy("k", "v"))
+    want = df.where("v IS NOT NULL").select("k", "v", plain.alias("w_below")).distinct()
+    columns = ["k", F.col("v").cast("string").alias("v"), "w_below"]
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+
+
+def test_a_hot_key_lies_in_many_cells(spark):
+    coarse, fine = o._cells("v", DoubleType())
+    cells = spark.range(200_000).select(((F.col("id") + 1) / 200_000).alias("v")).select(coarse.alias("c"), fine.alias("f"))
+    assert cells.distinct().count() > 100_000 and 1_000 < cells.select("c").distinct().count() < 20_000
+    coarse, fine = o._cells("v", LongType())
+    cells = spark.range(0, 1 << 34, 1 << 14).select(F.col("id").alias("v")).select(coarse.alias("c"), fine.alias("f"))
+    assert cells.groupBy("c", "f").count().agg(F.max("count")).first()[0] == 4
+
+
 @pytest.mark.parametrize("values", [[5.0], [1.0, 1.0, 1.0], [1.0, 2.0], list(np.random.default_rng(3).normal(size=501))])
 def test_quantiles_match_numpy(spark, values):
     df = spark.createDataFrame([("a", float(v)) for v in values] + [("a", None)], "k STRING, v DOUBLE")
-    got = o.exact_quantiles(df, ["k"], "v", {"q25": 0.25, "q50": 0.5, "q99": 0.99}, buckets=33).first()
+    got = o.exact_quantiles(df, ["k"], "v", {"q25": 0.25, "q50": 0.5, "q99": 0.99}).first()
     assert [got.q25, got.q50, got.q99] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.99])))
 
 

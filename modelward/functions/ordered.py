@@ -106,24 +106,40 @@ def _time_bucket(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(seconds)).cast("long")
 
 
+#: Parts of a trailing interval.
+PARTS = 64
+
+
 def count_in_trailing(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, out: str) -> DataFrame:
     """For each row, the rows of its key in the closed interval [ts - seconds, ts].
 
-    Each row goes to its own time bucket and, as a helper, to the next one; buckets are as long as the interval, so a
-    bucket holds all a row can need.
+    Time is cut so that an interval has PARTS parts. Whole parts are counted once and summed along the key; exact counts are
+    only taken in the two parts in which an interval begins and ends, by a window over each part. So a hot key lies in as
+    many tasks as it has parts, and a row is not compared with the rows between. Rows without a time count 0.
     """
+    keys = list(keys)
+    width = seconds * 1_000_000 // PARTS  # whole, as 64 divides a million
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    cells = (
-        df.withColumn("_us", micros)
-        .withColumn("_own", F.floor(F.col("_us") / F.lit(seconds * 1_000_000)).cast("long"))
-        .withColumn("_bucket", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    )
-    w = Window.partitionBy(*keys, "_bucket").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
-    return (
-        cells.withColumn(out, F.count(F.lit(1)).over(w))
-        .where(F.col("_own") == F.col("_bucket"))
-        .drop("_us", "_own", "_bucket")
-    )
+    key = F.struct(*keys) if keys else F.lit(0)
+    rows = df.select(key.alias("_k"), micros.alias("_us"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    timed = rows.where(F.col("_us").isNotNull()).withColumn("_part", F.floor(F.col("_us") / width).cast("long"))
+    # rows before each part of the key, also for the parts in which an interval begins but no row lies
+    counted = timed.groupBy("_k", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    counted = counted.select("_k", F.explode(F.array(F.struct("_part", "_n"), F.struct((F.col("_part") - PARTS).alias("_part"), F.lit(0).cast("long").alias("_n")))).alias("_c")).select("_k", "_c.*")
+    before = running_totals(counted, ["_k"], "_part", ["_n"]).select("_k", "_part", F.col("_n_below").alias("_before"))
+    # where the interval begins: rows of that part that are earlier
+    marks = timed.select("_k", (F.col("_part") - PARTS).alias("_part"), (F.col("_us") - seconds * 1_000_000).alias("_us"), "_row")
+    both = marks.unionByName(timed.select("_k", "_part", "_us"), allowMissingColumns=True)
+    inside = Window.partitionBy("_k", "_part").orderBy("_us")
+    real = F.col("_row").isNull().cast("long")
+    earlier = F.coalesce(F.sum(real).over(inside.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = both.withColumn("_early", earlier).where(F.col("_row").isNotNull())
+    begun = begun.join(before, ["_k", "_part"]).select("_k", (F.col("_part") + PARTS).alias("_part"), (F.col("_us") + seconds * 1_000_000).alias("_us"), "_row", (F.col("_before") + F.col("_early")).alias("_gone"))
+    # where it ends: rows of that part up to and with this time
+    upto = F.count(F.lit(1)).over(inside.rangeBetween(Window.unboundedPreceding, 0))
+    done = begun.withColumn("_upto", upto).join(before, ["_k", "_part"])
+    found = done.select("_row.*", (F.col("_before") + F.col("_upto") - F.col("_gone")).alias(out))
+    return found.unionByName(rows.where(F.col("_us").isNull()).select("_row.*", F.lit(0).cast("long").alias(out)))
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], columns: dict[str, str], bucket_seconds: int = 3600) -> DataFrame:

@@ -256,6 +256,34 @@ def performance_alerts(performance: DataFrame, models: DataFrame, configs: DataF
     return due.withColumn("outcome", F.when(hushed, "repeated").otherwise("alert"))
 
 
+# What a performance alert is written with.
+ALERT = {"alert_name": "Performance degradation", "alert_type": "standard", "comparison_operator": ">=", "severity": "warning"}
+
+
+def alert_events(due: DataFrame, as_of) -> DataFrame:
+    """The history rows that a pass adds: one for each alert that fires, none for those that fired lately."""
+    now = instant(as_of)
+    return due.where("outcome = 'alert'").select(
+        row_id("alert_id", F.lit(str(as_of))).alias("event_id"), "alert_id", "model_id", now.alias("triggered_timestamp"), "alert_value", F.lit(ALERT["severity"]).alias("alert_severity"),
+        F.lit(True).alias("notification_sent"), now.alias("notification_timestamp"), F.lit(False).alias("resolved"), now.alias("created_timestamp"),
+    )
+
+
+def alert_definitions(current: DataFrame, due: DataFrame, metric: str, as_of) -> DataFrame:
+    """The alert definitions after a pass: thresholds of known alerts as the pass found them, new alerts added.
+
+    Alerts that are silent for now are defined as well. ``action`` tells kept, updated and added rows apart.
+    """
+    fresh = due.select("alert_id", "model_id", F.col("threshold").alias("_threshold"))
+    both = current.join(fresh.select("alert_id", "_threshold"), "alert_id", "left")
+    kept = both.withColumn("action", F.when(F.col("_threshold").isNull(), "kept").otherwise("updated")).withColumn("threshold_value", F.coalesce("_threshold", "threshold_value")).drop("_threshold")
+    added = fresh.join(current.select("alert_id"), "alert_id", "left_anti").select(
+        "alert_id", "model_id", F.lit(ALERT["alert_name"]).alias("alert_name"), F.lit(ALERT["alert_type"]).alias("alert_type"), F.lit(metric).alias("metric_name"), F.col("_threshold").alias("threshold_value"),
+        F.lit(ALERT["comparison_operator"]).alias("comparison_operator"), F.lit(ALERT["severity"]).alias("severity"), F.lit(True).alias("is_enabled"), instant(as_of).alias("created_timestamp"), F.lit("added").alias("action"),
+    )
+    return kept.unionByName(added)
+
+
 def distribution_issues(results: DataFrame) -> DataFrame:
     """Number of watched fields whose drift passes its threshold."""
     return results.agg(F.count(F.lit(1)).alias("fields_watched"), count_where(F.col("drift_detected")).alias("distribution_issues_found"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from modelward.functions.columns import contains_any
 from modelward.functions.ordered import latest_before
-from modelward.session import ensure_checkpoint_dir
+from modelward.session import ensure_checkpoint_dir, fresh_folder
 
 
 def used_by(lineage: DataFrame) -> DataFrame:
@@ -68,9 +69,9 @@ def release_changes(changes: DataFrame, missing: DataFrame) -> DataFrame:
     return changes.join(held, "change_id", "left").withColumn("status", F.when(free, "released").otherwise(F.col("status"))).drop("_held")
 
 
-def bump_versions(features: DataFrame, changes: DataFrame) -> DataFrame:
-    """Features at the version of their last released change."""
-    to = changes.where("status = 'released'").groupBy("feature_id").agg(F.max_by("to_version", "change_id").alias("_to"))
+def bump_versions(features: DataFrame, changes: DataFrame, order: str) -> DataFrame:
+    """Features at the version of their last released change by the time or number in ``order``; ties go to the later id."""
+    to = changes.where("status = 'released'").groupBy("feature_id").agg(F.max_by("to_version", F.struct(order, "change_id")).alias("_to"))
     return features.join(to, "feature_id", "left").withColumn("feature_version", F.coalesce("_to", "feature_version")).drop("_to")
 
 
@@ -97,15 +98,19 @@ def reusable_features(columns: DataFrame, features: DataFrame) -> DataFrame:
     return wanted.join(offered, "_n").groupBy("feature_table_name").agg(F.count(F.lit(1)).alias("matches"), F.sort_array(F.collect_set("_n")).alias("feature_names"))
 
 
-def training_set(base: DataFrame, lookups: Sequence[tuple[DataFrame, Sequence[str], Sequence[str]]], exclude: Sequence[str] = ()) -> DataFrame:
-    """Base rows with the features of each lookup (table, key columns, feature columns).
+def training_set(base: DataFrame, lookups: Sequence[tuple[DataFrame, Sequence[str], Sequence[str], str | None]], exclude: Sequence[str] = ()) -> DataFrame:
+    """Base rows with the features of each lookup: table, key columns, feature columns, and the column of their time.
 
-    Each lookup is reduced to one row per key, so a join never multiplies base rows.
+    A key has the features of its latest row; of rows at one time, those that sort last. A table without a time column must
+    hold one row per key, else the query fails. A lookup is reduced to one row per key, so a join never multiplies base rows.
     """
     out = base
-    for table, keys, take in lookups:
-        one = table.groupBy(*keys).agg(F.max(F.struct(*take)).alias("_f")).select(*keys, "_f.*")
-        out = out.join(one, list(keys), "left")
+    for table, keys, take, latest in lookups:
+        if latest is None:
+            value = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"several rows of one key, and no time to choose by: {', '.join(keys)}"))).otherwise(F.max(F.struct(*take)))
+        else:
+            value = F.max_by(F.struct(*take), F.struct(latest, *take))
+        out = out.join(table.groupBy(*keys).agg(value.alias("_f")).select(*keys, "_f.*"), list(keys), "left")
     return out.drop(*exclude)
 
 
@@ -145,25 +150,49 @@ def entity_features(events: DataFrame, entity: str, ts: str, value: str, windows
     return daily.select(entity, "feature_date", *cols)
 
 
-def downstream(edges: DataFrame, sources: DataFrame, max_hops: int = 20) -> DataFrame:
-    """Everything reachable from each source node, with the smallest number of hops.
+def downstream(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """Everything reachable from each source node, with the smallest number of hops; ``edges``: parent, child.
 
-    ``edges``: parent, child. ``sources``: source. Each hop joins only the nodes found in the last one, skips what was
-    reached before, and is written to the shared checkpoint folder, so a lost executor repeats one hop at most.
+    Sources are numbered and a node keeps those that reach it as bits, 64 sources to a row. Each hop passes on only the bits
+    that its nodes have just got, takes off those that the next nodes already have, and ends when none is left; so cycles
+    end by themselves and any depth is followed. What a hop finds is written to the shared folder once, and the bits of all
+    hops so far are put together whenever they have doubled. Pairs of source and node are made only at the end.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
+    spark = edges.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = fresh_folder(spark, "downstream")
     links = edges.where(F.col("parent").isNotNull() & F.col("child").isNotNull()).select("parent", "child").distinct().checkpoint()
-    front = sources.select("source", F.col("source").alias("node")).distinct().checkpoint()
-    found = front.withColumn("hops", F.lit(0))
-    for hop in range(1, max_hops + 1):
-        step = front.join(links, front.node == links.parent).select("source", F.col("child").alias("node")).distinct()
-        front = step.join(found, ["source", "node"], "left_anti").checkpoint()
-        if front.isEmpty():
-            break
-        found = found.unionByName(front.withColumn("hops", F.lit(hop)))
-    else:
-        raise ValueError(f"lineage is deeper than {max_hops} hops; raise max_hops")
-    return found.where("hops > 0")
+    # numbers of a written table stay as they are; they need not be without gaps
+    numbered = sources.select("source").where(F.col("source").isNotNull()).distinct().withColumn("_no", F.monotonically_increasing_id()).checkpoint()
+    bit = F.element_at(F.array(*[F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b) for b in range(64)]), (F.col("_no").bitwiseAND(F.lit(63)) + 1).cast("int"))
+    named = numbered.select("source", F.shiftright("_no", 6).alias("word"), F.col("_no").bitwiseAND(F.lit(63)).cast("int").alias("bit"), bit.alias("bits"))
+    front = named.groupBy(F.col("source").alias("node"), "word").agg(F.bit_or("bits").alias("bits")).checkpoint()
+    seen, since, rows, size, hop = front, [], None, 0, 0
+    total = front.count()
+    while rows != 0:
+        hop += 1
+        step = front.join(links, front.node == links.parent).groupBy(F.col("child").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        held = seen
+        for part in since:
+            held = held.unionByName(part)
+        # only what stands at the step's own nodes is put together
+        held = held.join(step.select("node", "word"), ["node", "word"], "left_semi").groupBy("node", "word").agg(F.bit_or("bits").alias("_had"))
+        new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_had", F.lit(0).cast("long"))))
+        count = Observation()
+        fresh = step.join(held, ["node", "word"], "left").select("node", "word", new.alias("bits")).where("bits != 0")
+        fresh.observe(count, F.count(F.lit(1)).alias("rows")).write.parquet(f"{folder}/hop={hop}")
+        rows = count.get["rows"]
+        front = spark.read.schema(fresh.schema).parquet(f"{folder}/hop={hop}")
+        since, size = [*since, front], size + rows
+        if size > total or len(since) >= 16:
+            whole = seen
+            for part in since:
+                whole = whole.unionByName(part)
+            seen, since, total, size = whole.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")).checkpoint(), [], total + size, 0
+    reached = spark.read.schema(StructType([*fresh.schema.fields, StructField("hop", LongType())])).parquet(folder)
+    bits = F.explode(F.expr("filter(sequence(0, 63), b -> getbit(bits, b) = 1)")).alias("bit")
+    pairs = reached.select("node", "word", F.col("hop").cast("int").alias("hops"), bits)
+    return pairs.join(named.select("source", "word", "bit"), ["word", "bit"]).select("source", "node", "hops")
 
 
 def top_contributions(contributions: DataFrame, key: str, weights: str, k: int) -> DataFrame:

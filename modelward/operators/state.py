@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modelward.functions.bloom import BITS, bloom_filter, may_hold
 from modelward.functions.columns import instant, row_id, within_days
 from modelward.functions.ordered import running_totals, with_previous
 from modelward.functions.relational import null_safe_join, top_per_key
@@ -54,10 +55,15 @@ def upsert_touched(current: DataFrame, changes: DataFrame, keys: Sequence[str],
     return merge_upsert(current.join(touched, partition, "left_semi").select(*current.columns), changes, keys, update, order)
 
 
-def insert_if_absent(current: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
-    """Rows of ``new`` whose key ``current`` does not hold, one per key: what a write should append."""
+def insert_if_absent(current: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None, bits: int = BITS) -> DataFrame:
+    """Rows of ``new`` whose key ``current`` does not hold: what a write should append; with ``order``, one per key.
+
+    A Bloom filter of the new keys is applied where the target is read, so only target rows that may meet a new one are
+    shuffled: their number goes by the new rows, not by the target's.
+    """
     one = top_per_key(new, keys, order) if order else new
-    return one.join(current.select(*keys), list(keys), "left_anti")
+    met = current.select(*keys).where(may_hold(bloom_filter(new, keys, bits), [F.col(k) for k in keys], bits))
+    return one.join(met, list(keys), "left_anti")
 
 
 def replace_rows(current: DataFrame, replacement: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -74,7 +74,7 @@ def released_changes(w):
 
 @R.add("feature_versions_after_release", check_with(_CV, CHANGES, "SELECT f.feature_id, coalesce(max(rl.to_version), max(f.feature_version)) AS feature_version FROM features f LEFT JOIN rl ON rl.feature_id = f.feature_id AND rl.final = 'released' GROUP BY f.feature_id"))
 def feature_versions_after_release(w):
-    return ln.bump_versions(w.features, ln.release_changes(changes(w), missing(w))).select("feature_id", "feature_version")
+    return ln.bump_versions(w.features, ln.release_changes(changes(w), missing(w)).withColumn("number", F.lit(1)), "number").select("feature_id", "feature_version")
 
 
 # A contract per brand: a column per product name, typed by the largest and smallest size seen.
@@ -114,7 +114,25 @@ def training_set(w):
     lines = w.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("order_lines"), F.max("l_quantity").alias("max_quantity"))
     people = w.customer.select(F.col("c_custkey").alias("o_custkey"), "c_acctbal", "c_nationkey")
     base = w.orders.select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("label"))
-    return ln.training_set(base, [(people, ["o_custkey"], ["c_acctbal", "c_nationkey"]), (lines, ["o_orderkey"], ["order_lines", "max_quantity"])], exclude=["o_custkey"])
+    return ln.training_set(base, [(people, ["o_custkey"], ["c_acctbal", "c_nationkey"], None), (lines, ["o_orderkey"], ["order_lines", "max_quantity"], None)], exclude=["o_custkey"])
+
+
+@R.add("feature_versions_by_time", """WITH ch AS (SELECT concat('f', l_partkey) AS feature_id, concat('v', l_linenumber, '.', l_suppkey) AS to_version, concat('ch', l_orderkey, '-', l_linenumber) AS change_id, l_shipdate,
+    row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, concat('ch', l_orderkey, '-', l_linenumber) DESC) AS rn FROM lineitem WHERE l_returnflag <> 'A')
+    SELECT concat('f', p_partkey) AS feature_id, coalesce(to_version, 'v1') AS feature_version FROM part LEFT JOIN ch ON feature_id = concat('f', p_partkey) AND rn = 1""")
+def feature_versions_by_time(w):
+    done = w.lineitem.select(
+        F.concat(F.lit("f"), F.col("l_partkey")).alias("feature_id"), F.concat(F.lit("v"), F.col("l_linenumber"), F.lit("."), F.col("l_suppkey")).alias("to_version"),
+        F.concat(F.lit("ch"), F.col("l_orderkey"), F.lit("-"), F.col("l_linenumber")).alias("change_id"), F.when(F.col("l_returnflag") == "A", "pending_acks").otherwise("released").alias("status"), "l_shipdate",
+    )
+    return ln.bump_versions(w.features, done, "l_shipdate").select("feature_id", "feature_version")
+
+
+@R.add("training_set_latest", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_quantity DESC, l_extendedprice DESC) AS rn FROM lineitem)
+    SELECT o_orderkey, o_orderstatus AS label, l_quantity AS last_quantity, l_extendedprice AS last_price FROM orders LEFT JOIN r ON l_orderkey = o_orderkey AND rn = 1""")
+def training_set_latest(w):
+    history = w.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_quantity").alias("last_quantity"), F.col("l_extendedprice").alias("last_price"), "l_shipdate")
+    return ln.training_set(w.orders.select("o_orderkey", F.col("o_orderstatus").alias("label")), [(history, ["o_orderkey"], ["last_quantity", "last_price"], "l_shipdate")])
 
 
 def _pit(extra=""):

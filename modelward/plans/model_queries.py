@@ -309,6 +309,22 @@ def repeated_alerts(w):
     return d.repeated_alerts(w.requests.where("slow"), "model_id", "ts", 3600, 2).select("event_id", "model_id", "firings")
 
 
+DUE = """lc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY config_version DESC) AS rn FROM project_configs) z WHERE rn = 1),
+w AS (SELECT model_id, max(degradation_pct) AS v FROM model_performance WHERE performance_degraded AND measurement_timestamp >= DATE '2001-08-01' - INTERVAL 1 DAY GROUP BY 1),
+h AS (SELECT sha256(concat('perf-alert:m', l_suppkey)) AS alert_id, max(l_shipdate) AS last FROM lineitem WHERE l_linenumber = 2 AND l_shipdate <= TIMESTAMP '2001-08-01' GROUP BY 1),
+du AS (SELECT w.model_id, m.project_id, w.v, sha256(concat('perf-alert:', w.model_id)) AS alert_id, CAST(json_extract(interview_responses, '$.performance_alert_threshold_pct') AS DOUBLE) AS threshold,
+    CASE WHEN coalesce(date_sub('second', h.last, TIMESTAMP '2001-08-01 00:00:00') < 86400, false) THEN 'repeated' ELSE 'alert' END AS outcome
+    FROM w JOIN models m ON m.model_id = w.model_id JOIN lc ON lc.project_id = m.project_id LEFT JOIN h ON h.alert_id = sha256(concat('perf-alert:', w.model_id))
+    WHERE json_extract(interview_responses, '$.alert_destination_configs') IS NOT NULL AND w.v >= CAST(json_extract(interview_responses, '$.performance_alert_threshold_pct') AS DOUBLE))"""
+
+
+def alerts_due(w):
+    history = w.lineitem.where("l_linenumber = 2 AND l_shipdate <= TIMESTAMP_NTZ '2001-08-01 00:00:00'").select(
+        F.sha2(F.concat(F.lit("perf-alert:m"), F.col("l_suppkey")), 256).alias("alert_id"), F.col("l_shipdate").alias("triggered_timestamp")
+    )
+    return d.performance_alerts(w.model_performance, w.models, w.project_configs, history, AS_OF)
+
+
 @R.add("performance_alerts", check_with("model_performance models project_configs", """lc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY config_version DESC) AS rn FROM project_configs) z WHERE rn = 1),
 w AS (SELECT model_id, max(degradation_pct) AS v FROM model_performance WHERE performance_degraded AND measurement_timestamp >= DATE '2001-08-01' - INTERVAL 1 DAY GROUP BY 1),
 h AS (SELECT sha256(concat('perf-alert:m', l_suppkey)) AS alert_id, max(l_shipdate) AS last FROM lineitem WHERE l_linenumber = 2 AND l_shipdate <= TIMESTAMP '2001-08-01' GROUP BY 1)""",
@@ -317,11 +333,26 @@ h AS (SELECT sha256(concat('perf-alert:m', l_suppkey)) AS alert_id, max(l_shipda
     FROM w JOIN models m ON m.model_id = w.model_id JOIN lc ON lc.project_id = m.project_id LEFT JOIN h ON h.alert_id = sha256(concat('perf-alert:', w.model_id))
     WHERE json_extract(interview_responses, '$.alert_destination_configs') IS NOT NULL AND w.v >= CAST(json_extract(interview_responses, '$.performance_alert_threshold_pct') AS DOUBLE)"""))
 def performance_alerts(w):
-    history = w.lineitem.where("l_linenumber = 2 AND l_shipdate <= TIMESTAMP_NTZ '2001-08-01 00:00:00'").select(
-        F.sha2(F.concat(F.lit("perf-alert:m"), F.col("l_suppkey")), 256).alias("alert_id"), F.col("l_shipdate").alias("triggered_timestamp")
+    return alerts_due(w).select("model_id", "project_id", "alert_value", "threshold", "outcome")
+
+
+@R.add("alert_events_of_pass", check_with("model_performance models project_configs", DUE, """SELECT sha256(concat(alert_id, ':2001-08-01 00:00:00')) AS event_id, alert_id, model_id, '2001-08-01 00:00:00' AS triggered, v AS alert_value, 'warning' AS alert_severity, true AS notification_sent,
+    false AS resolved FROM du WHERE outcome = 'alert'"""))
+def alert_events_of_pass(w):
+    out = d.alert_events(alerts_due(w), AS_OF)
+    return out.select("event_id", "alert_id", "model_id", stamp("triggered_timestamp").alias("triggered"), "alert_value", "alert_severity", "notification_sent", "resolved")
+
+
+@R.add("alert_definitions_of_pass", check_with("model_performance models project_configs", f"""{DUE}, cu AS (SELECT sha256(concat('perf-alert:m', s_suppkey)) AS alert_id, concat('m', s_suppkey) AS model_id, CAST(s_nationkey AS DOUBLE) AS threshold_value FROM supplier WHERE s_nationkey < 15)""",
+    """SELECT coalesce(cu.alert_id, du.alert_id) AS alert_id, coalesce(cu.model_id, du.model_id) AS model_id, 'Performance degradation' AS alert_name, 'standard' AS alert_type, 'degradation_pct' AS metric_name, coalesce(threshold, threshold_value) AS threshold_value,
+    '>=' AS comparison_operator, 'warning' AS severity, true AS is_enabled, CASE WHEN du.alert_id IS NULL THEN 'kept' WHEN cu.alert_id IS NULL THEN 'added' ELSE 'updated' END AS action FROM cu FULL JOIN du ON du.alert_id = cu.alert_id"""))
+def alert_definitions_of_pass(w):
+    current = w.supplier.where("s_nationkey < 15").select(
+        F.sha2(F.concat(F.lit("perf-alert:m"), F.col("s_suppkey")), 256).alias("alert_id"), F.concat(F.lit("m"), F.col("s_suppkey")).alias("model_id"), F.lit("Performance degradation").alias("alert_name"), F.lit("standard").alias("alert_type"),
+        F.lit("degradation_pct").alias("metric_name"), F.col("s_nationkey").cast("double").alias("threshold_value"), F.lit(">=").alias("comparison_operator"), F.lit("warning").alias("severity"), F.lit(True).alias("is_enabled"),
+        F.lit("2001-01-01").cast("timestamp_ntz").alias("created_timestamp"),
     )
-    out = d.performance_alerts(w.model_performance, w.models, w.project_configs, history, AS_OF)
-    return out.select("model_id", "project_id", "alert_value", "threshold", "outcome")
+    return d.alert_definitions(current, alerts_due(w), "degradation_pct", AS_OF).drop("created_timestamp")
 
 
 @R.add("alert_definitions_after_pass", check_with("model_performance", "w AS (SELECT model_id, max(degradation_pct) AS v FROM model_performance WHERE performance_degraded GROUP BY 1)",

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from modelward.functions import bloom
 from modelward.operators import approvals as ap
 from modelward.operators import cost
 from modelward.operators import governance as g
@@ -249,19 +250,59 @@ def test_feature_changes(spark):
     assert {r.change_id: r.status for r in ln.release_changes(made, full).collect()}["c1"] == "released"
 
 
-def test_training_set_does_not_multiply_rows(spark):
+def test_training_set_takes_the_latest_row_of_a_key(spark):
     base = spark.createDataFrame([(i, i % 2) for i in range(4)], "entity_id INT, label INT")
-    feats = spark.createDataFrame([(0, 1.0, 2.0), (0, 1.5, 0.0), (1, 3.0, 4.0)], "entity_id INT, a DOUBLE, b DOUBLE")
-    rows = ln.training_set(base, [(feats, ["entity_id"], ["a", "b"])]).orderBy("entity_id").collect()
-    assert [(r.a, r.b) for r in rows] == [(1.5, 0.0), (3.0, 4.0), (None, None), (None, None)]
+    feats = spark.createDataFrame([(0, 1.5, 0.0, "2024-01-01"), (0, 1.0, 2.0, "2024-02-01"), (0, 0.5, 9.0, "2024-02-01"), (1, 3.0, 4.0, None)], "entity_id INT, a DOUBLE, b DOUBLE, at STRING")
+    rows = ln.training_set(base, [(feats, ["entity_id"], ["a", "b"], "at")]).orderBy("entity_id").collect()
+    assert [(r.a, r.b) for r in rows] == [(1.0, 2.0), (3.0, 4.0), (None, None), (None, None)]
+    with pytest.raises(Exception, match="several rows of one key"):
+        ln.training_set(base, [(feats, ["entity_id"], ["a", "b"], None)]).collect()
+
+
+def test_versions_go_by_time_and_not_by_text(spark):
+    feats = spark.createDataFrame([("f", "v1"), ("g", "v1")], "feature_id STRING, feature_version STRING")
+    done = spark.createDataFrame([("c9", "f", "v2", "released", 9), ("c10", "f", "v3", "released", 10), ("c11", "f", "v4", "pending_acks", 11)], "change_id STRING, feature_id STRING, to_version STRING, status STRING, number INT")
+    assert {r.feature_id: r.feature_version for r in ln.bump_versions(feats, done, "number").collect()} == {"f": "v3", "g": "v1"}
 
 
 def test_lineage_stops_on_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "parent STRING, child STRING")
     out = {r.node: r.hops for r in ln.downstream(edges, spark.createDataFrame([("a",)], "source STRING")).collect()}
     assert out == {"b": 1, "c": 2, "d": 3}
-    with pytest.raises(ValueError):
-        ln.downstream(edges, spark.createDataFrame([("a",)], "source STRING"), max_hops=1)
+    assert ln.downstream(edges, spark.createDataFrame([], "source STRING")).count() == 0
+
+
+def test_lineage_of_any_depth_and_many_sources(spark):
+    chain = [(i, i + 1) for i in range(30)]
+    edges = spark.createDataFrame(chain, "parent INT, child INT")
+    far = ln.downstream(edges, spark.createDataFrame([(0,)], "source INT")).collect()
+    assert {(r.node, r.hops) for r in far} == {(i, i) for i in range(1, 31)}
+    rnd = random.Random(4)
+    pairs = {(rnd.randrange(90), rnd.randrange(90)) for _ in range(160)}
+    got = {(r.source, r.node): r.hops for r in ln.downstream(spark.createDataFrame([*pairs, (None, 1), (1, None)], "parent INT, child INT").repartition(3), spark.range(90).select(F.col("id").cast("int").alias("source")).repartition(4)).collect()}
+    want = {}
+    for source in range(90):
+        front, seen, hop = {source}, {source}, 0
+        while front:
+            hop += 1
+            front = {b for a, b in pairs if a in front} - seen
+            seen |= front
+            want |= {(source, n): hop for n in front}
+    assert got == want
+
+
+def test_new_rows_meet_few_rows_of_a_large_target(spark):
+    current = spark.range(200_000).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("p"))
+    new = spark.createDataFrame([("5", 1), ("199999", 2), ("x", 3), (None, 4)], "k STRING, v INT")
+    found = st.insert_if_absent(current, new, ["k"])
+    assert sorted(r.v for r in found.collect()) == [3, 4]
+    words = bloom.bloom_filter(new, ["k"])
+    assert 2 <= current.where(bloom.may_hold(words, [F.col("k")])).count() < 20
+    # full or empty, the filter never changes the result
+    assert sorted(r.v for r in st.insert_if_absent(current, new, ["k"], bits=64).collect()) == [3, 4]
+    assert st.insert_if_absent(current, new.where("false"), ["k"]).count() == 0
+    two = new.select(F.col("k"), (F.col("v") % 2).alias("p"), "v")
+    assert sorted(r.v for r in st.insert_if_absent(current, two, ["k", "p"]).collect()) == [2, 3, 4]
 
 
 def test_repeated_rows_missing_voters_and_a_large_gate(spark):

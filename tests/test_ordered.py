@@ -106,6 +106,19 @@ def test_trailing_counts(spark):
     assert got == {i: sum(kk == k and s - 600 <= t <= s for kk, t, _, _ in rows) for k, s, i, _ in rows}
 
 
+def test_trailing_counts_of_a_hot_key_are_summed_over_parts(spark):
+    start = 1_704_067_200
+    rows = spark.range(40_000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("k"), "id", F.when(F.col("id") % 500 > 0, F.timestamp_micros(F.lit(start * 10**6) + F.col("id") * 137_000)).alias("ts"))
+    got = o.count_in_trailing(rows, ["k"], "ts", 3600, "c")
+    plain = Window.partitionBy("k").orderBy(F.unix_micros("ts")).rangeBetween(-3600 * 10**6, 0)
+    want = rows.withColumn("c", F.when(F.col("ts").isNull(), 0).otherwise(F.count("ts").over(plain)))
+    assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == 40_000
+    # the sort that counts exactly is by key and part
+    assert "_part" in got._jdf.queryExecution().executedPlan().toString()
+    none = o.count_in_trailing(rows.withColumn("k", F.lit(None).cast("string")), ["k"], "ts", 60, "c")
+    assert none.agg(F.max("c")).first()[0] == 438
+
+
 @pytest.mark.parametrize("lookback", [None, 1500])
 def test_latest_before(spark, lookback):
     right, left = events(250, 7), events(120, 8)

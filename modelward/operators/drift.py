@@ -145,20 +145,56 @@ def baseline_change(base: DataFrame, current: DataFrame, stats: Sequence[str] =
     return current.join(was, "field_name").select("field_name", *cols)
 
 
+# The types of drift.
+DRIFT_TYPES = ("data", "quality", "value")
+
+
+def _distribution(tag: str) -> Column:
+    """Statistics of one side as JSON."""
+    return F.to_json(F.struct(*[F.round(F.col(f"_{tag}_{s}"), 6).alias(s) for s in (*STATS, "n_rows")]))
+
+
+def drift_scores(base: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per field and type of drift, with its score and both distributions as JSON.
+
+    ``data`` is the Kolmogorov-Smirnov statistic, ``quality`` the change of the share of NULLs, ``value`` the shift of the mean
+    in deviations of the baseline. Each side is read once for its statistics and once for its distribution.
+    """
+    side = lambda df, tag: field_stats(df, columns).select("field_name", *[F.col(s).alias(f"_{tag}_{s}") for s in (*STATS, "n_rows")])
+    both = side(base, "b").join(side(current, "c"), "field_name").join(ks_test(base, current, columns).select("field_name", "ks_stat"), "field_name", "left")
+    scores = {
+        "data": F.col("ks_stat"), "quality": F.abs(F.col("_c_null_pct") - F.col("_b_null_pct")) / 100.0,
+        "value": ratio(F.abs(F.col("_c_mean_value") - F.col("_b_mean_value")), F.col("_b_stddev_value")),
+    }
+    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("drift_type"), scores[t].alias("score")) for t in DRIFT_TYPES])).alias("_s")
+    return both.select("field_name", rows, _distribution("b").alias("baseline_distribution"), _distribution("c").alias("current_distribution")).select("field_name", "_s.*", "baseline_distribution", "current_distribution")
+
+
 def drift_results(scores: DataFrame, config: Sequence[Mapping], as_of) -> DataFrame:
     """Result rows for the fields to watch: type, score against the field's own threshold, severity and flag.
 
-    ``scores``: field_name, drift_type, score and any columns to keep as JSON.
+    ``scores``: field_name, drift_type, score, the two distributions where they are known, and any columns to keep as JSON.
+    A field's threshold may be given for each type as ``data_threshold``, ``quality_threshold`` and ``value_threshold``, or for
+    all as ``drift_threshold``; ``drift_types`` names those to watch, all if it is absent.
     """
-    extra = [c for c in scores.columns if c not in ("field_name", "drift_type", "score")]
-    threshold = F
+    told = [c for c in ("baseline_distribution", "current_distribution") if c in scores.columns]
+    extra = [c for c in scores.columns if c not in ("field_name", "drift_type", "score", *told)]
+    threshold = watched = None
     for c in config:
-        threshold = threshold.when(F.col("field_name") == c["column_name"], F.lit(float(c.get("drift_threshold") or 0.1)))
-    watched = [c["column_name"] for c in config if c.get("monitor_for_drift")]
-    rows = scores.where(F.col("field_name").isin(watched)).withColumn("threshold", threshold.otherwise(F.lit(0.1)))
+        if not c.get("monitor_for_drift"):
+            continue
+        for kind in c.get("drift_types") or DRIFT_TYPES:
+            here = (F.col("field_name") == c["column_name"]) & (F.col("drift_type") == kind)
+            limit = F.lit(float(c.get(f"{kind}_threshold") or c.get("drift_threshold") or 0.1))
+            threshold = F.when(here, limit) if threshold is None else threshold.when(here, limit)
+            watched = here if watched is None else watched | here
+    if threshold is None:
+        threshold, watched = F.lit(0.1), F.lit(False)
+    rows = scores.where(watched).withColumn("threshold", threshold)
+    details = F.to_json(F.struct(*extra)) if extra else F.lit("{}")
     return rows.select(
         row_id("field_name", "drift_type", F.lit(str(as_of))).alias("result_id"), "field_name", "drift_type", F.col("score").alias("drift_score"), "threshold",
-        drift_severity(F.col("score"), F.col("threshold")).alias("severity"), (F.col("score") > F.col("threshold")).alias("drift_detected"), F.to_json(F.struct(*extra)).alias("details_json"),
+        drift_severity(F.col("score"), F.col("threshold")).alias("severity"), (F.col("score") > F.col("threshold")).alias("drift_detected"), *told, details.alias("details_json"),
     )
 
 
@@ -168,6 +204,13 @@ def latest_per_field(log: DataFrame, fields: int | None = None) -> DataFrame:
     return last.orderBy(F.desc("psi_score"), "field_name").limit(fields) if fields else last
 
 
+def field_series(log: DataFrame, fields: int = 6) -> DataFrame:
+    """All rows of the fields whose newest score is highest, with the field's place among them."""
+    ranked = latest_per_field(log, fields).select("field_name", F.row_number().over(Window.orderBy(F.desc("psi_score"), "field_name")).alias("place"))
+    # as many rows as the limit says
+    return log.join(F.broadcast(ranked), "field_name")
+
+
 def prediction_drift(base: DataFrame, current: DataFrame, prediction: str, max_shift_pct: float = 5.0) -> DataFrame:
     """Shift of the output: PSI over its values, and the change of its mean."""
     psi = psi_categorical(base, current, [prediction])

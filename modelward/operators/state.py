@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from modelward.functions.bloom import BITS, bloom_filter, may_hold
@@ -137,6 +137,19 @@ def text_fingerprint(df: DataFrame, columns: Sequence[str], digits: int = 12) ->
     return df.agg(F.count(F.lit(1)).alias("row_count"), F.sum(part.cast("decimal(20,0)")).cast("string").alias("checksum"))
 
 
+def key_fingerprints(df: DataFrame, key: str, columns: Sequence[str], out: str, digits: int = 12) -> DataFrame:
+    """`text_fingerprint` of each key's rows as one text; the order of rows does not matter, their number does."""
+    marked = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("!")) for c in columns]
+    part = F.conv(F.substring(F.md5(F.concat_ws("|", *marked)), 1, digits), 16, 10)
+    return df.groupBy(key).agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum(part.cast("decimal(20,0)")).cast("string")).alias(out))
+
+
+def guarded_publish(recorded: DataFrame, found: DataFrame, proposed: DataFrame, key: str, columns: Sequence[str], force: bool = False) -> DataFrame:
+    """`publish_decisions` for each key of the proposed rows, from the contents last written, now found and to be written."""
+    sides = [key_fingerprints(df, key, columns, name) for df, name in ((proposed, "proposed"), (found, "found"), (recorded, "recorded"))]
+    return publish_decisions(sides[0].join(sides[1], key, "left").join(sides[2], key, "left"), force)
+
+
 def publish_decisions(tables: DataFrame, force: bool = False) -> DataFrame:
     """Whether each published table may be overwritten, from fingerprints (recorded, found, proposed).
 
@@ -168,6 +181,19 @@ def purge(df: DataFrame, ts: str, keep_days: int | Column, as_of) -> tuple[DataF
     return df.where(young), df.where(~young)
 
 
+def retention_pass(df: DataFrame, ts: str, keep_days: int, as_of, archive: str) -> tuple[DataFrame, int]:
+    """Rows to keep, and how many were past their retention: these are written to the archive first.
+
+    The archive has a folder for each time of a pass, so a repeated pass replaces its own rows. What to keep is only returned
+    once the archive is complete; rows without a time are kept.
+    """
+    keep, gone = purge(df, ts, keep_days, as_of)
+    seen = Observation()
+    day = str(as_of).replace(":", "").replace(" ", "T")
+    gone.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{archive}/as_of={day}")
+    return keep, int(seen.get["rows"])
+
+
 # Days to keep each class of table.
 RETENTION_DAYS = {"telemetry": 90, "predictions": 180, "metrics": 365, "audit": 2555}
 
@@ -199,6 +225,22 @@ def merged_audit(events: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
+AUDIT_COLUMNS = ("event_timestamp", "actor", "action", "resource_type", "resource_id", "project_id")
+
+
+def normalised_audit(sources: Mapping[str, tuple[DataFrame, Mapping[str, Column]]]) -> DataFrame:
+    """Logs of different shapes as one list of events, newest first; ties go by source, action and resource.
+
+    A source says how each of AUDIT_COLUMNS is read; what it leaves out is NULL. All its other columns are kept as JSON.
+    """
+    out = None
+    for source, (df, how) in sources.items():
+        details = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+        rows = df.select(F.lit(source).alias("source"), *[how.get(c, F.lit(None)).cast("timestamp_ntz" if c == "event_timestamp" else "string").alias(c) for c in AUDIT_COLUMNS], details.alias("details"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.orderBy(F.desc("event_timestamp"), "source", "action", "resource_id", "details")
+
+
 def refresh_aliases(versions: DataFrame, registry: DataFrame) -> DataFrame:
     """Set each version's aliases to what the registry holds now; versions without any get an empty list."""
     now = registry.groupBy("uc_full_name", "uc_version").agg(F.sort_array(F.collect_set("alias")).alias("_aliases"))

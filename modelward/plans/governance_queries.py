@@ -10,6 +10,7 @@ from modelward.operators import approvals as ap
 from modelward.operators import governance as g
 from modelward.operators import state as st
 from modelward.plans.registry import Registry
+from modelward.session import fresh_folder
 from modelward.sources.workload import AS_OF, EVENTS_AS_OF, check_sql, check_with
 
 R = Registry()
@@ -470,6 +471,43 @@ def retention_purge(w):
     return both.groupBy(F.col("o_orderpriority").alias("table_class")).agg(F.count_if(~F.col("_k")).alias("purged"), F.count_if(F.col("_k")).alias("kept"))
 
 
+_KEPT = {"telemetry": ("lineitem", "l_shipdate"), "predictions": ("orders", "o_orderdate"), "metrics": ("model_performance", "measurement_timestamp"), "audit": ("deployments", "created_timestamp")}
+
+
+@R.add("retention_classes", check_sql("model_performance deployments", " UNION ALL ".join(
+    f"SELECT '{c}' AS table_class, count(*) FILTER ({ts} < DATE '2001-08-01' - INTERVAL {st.RETENTION_DAYS[c]} DAY) AS archived, count(*) FILTER ({ts} >= DATE '2001-08-01' - INTERVAL {st.RETENTION_DAYS[c]} DAY) AS kept, "
+    f"strftime(min({ts}) FILTER ({ts} >= DATE '2001-08-01' - INTERVAL {st.RETENTION_DAYS[c]} DAY), '%Y-%m-%d') AS oldest_kept FROM {t}" for c, (t, ts) in _KEPT.items())))
+def retention_classes(w):
+    root, out = fresh_folder(w.spark, "retention"), None
+    for name, (table, ts) in _KEPT.items():
+        keep, archived = st.retention_pass(getattr(w, table), ts, st.RETENTION_DAYS[name], AS_OF, f"{root}/{name}")
+        row = keep.agg(F.lit(name).alias("table_class"), F.lit(archived).cast("long").alias("archived"), F.count(F.lit(1)).alias("kept"), F.date_format(F.min(ts), "yyyy-MM-dd").alias("oldest_kept"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+_MARK = "(SELECT l_suppkey, count(*) || ':' || sum(('0x' || substr(md5(concat('=', l_orderkey, '|=', l_linenumber, '|=', {v})), 1, 12))::HUGEINT) AS f FROM lineitem GROUP BY 1)"
+
+
+@R.add("publish_guard_contents", f"""SELECT p.l_suppkey AS name, CASE WHEN o.f <> r.f THEN 'blocked' WHEN o.f = p.f THEN 'unchanged' ELSE 'write' END AS outcome FROM {_MARK.format(v='l_partkey + CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE 0 END')} p
+    JOIN {_MARK.format(v='l_partkey + CASE WHEN l_suppkey % 5 = 0 AND l_linenumber = 2 THEN 7 ELSE 0 END')} o ON o.l_suppkey = p.l_suppkey JOIN {_MARK.format(v='l_partkey')} r ON r.l_suppkey = p.l_suppkey""")
+def publish_guard_contents(w):
+    rows = w.lineitem.select(F.col("l_suppkey").alias("name"), "l_orderkey", "l_linenumber", "l_partkey")
+    edited = rows.withColumn("l_partkey", F.col("l_partkey") + F.when((F.col("name") % 5 == 0) & (F.col("l_linenumber") == 2), 7).otherwise(0))
+    made = rows.withColumn("l_partkey", F.col("l_partkey") + F.when(F.col("name") % 3 == 0, 1).otherwise(0))
+    return st.guarded_publish(rows, edited, made, "name", ["l_orderkey", "l_linenumber", "l_partkey"]).select("name", "outcome")
+
+
+@R.add("merged_audit_events", check_sql("deployments hitl_reviews", """SELECT 'deployments' AS source, strftime(created_timestamp, '%Y-%m-%d') AS day, author AS actor, concat('deploy_', status) AS action, 'deployment' AS resource_type, plan_hash AS resource_id, project_id FROM deployments
+    UNION ALL SELECT 'reviews', strftime(presented_timestamp, '%Y-%m-%d'), NULL, concat('review_', coalesce(decision, 'open')), 'prediction', prediction_id, project_id FROM hitl_reviews"""))
+def merged_audit_events(w):
+    out = st.normalised_audit({
+        "deployments": (w.deployments, {"event_timestamp": F.col("created_timestamp"), "actor": F.col("author"), "action": F.concat(F.lit("deploy_"), F.col("status")), "resource_type": F.lit("deployment"), "resource_id": F.col("plan_hash"), "project_id": F.col("project_id")}),
+        "reviews": (w.hitl_reviews, {"event_timestamp": F.col("presented_timestamp"), "action": F.concat(F.lit("review_"), F.coalesce("decision", F.lit("open"))), "resource_type": F.lit("prediction"), "resource_id": F.col("prediction_id"), "project_id": F.col("project_id")}),
+    })
+    return out.select("source", F.date_format("event_timestamp", "yyyy-MM-dd").alias("day"), "actor", "action", "resource_type", "resource_id", "project_id")
+
+
 @R.add("audit_trail", check_sql("deployments", """SELECT sha256(concat('deploy_', status, ':deployment:', plan_hash, ':2001-08-01 00:00:00')) AS event_id, concat('deploy_', status) AS action_type, author AS actor_email, plan_hash AS resource_id, project_id
     FROM deployments WHERE author = 'v7'"""))
 def audit_trail(w):

@@ -249,6 +249,28 @@ def drift_results(w):
     return rnd(drift_rows(w).drop("result_id", "details_json"), "drift_score")
 
 
+_STAT = """'{{"mean_value":' || to_json(round(avg({c}), 6)) || ',"stddev_value":' || to_json(round(stddev_samp({c}), 6)) || ',"min_value":' || to_json(round(CAST(min({c}) AS DOUBLE), 6)) || ',"max_value":' || to_json(round(CAST(max({c}) AS DOUBLE), 6))
+    || ',"null_pct":' || to_json(round((count(*) - count({c})) * 100.0 / count(*), 6)) || ',"n_rows":' || count(*) || '}}' AS js, avg({c}) AS m, stddev_samp({c}) AS sd, (count(*) - count({c})) / CAST(count(*) AS DOUBLE) AS miss"""
+LIMITS = {"data": 0.02, "quality": 0.001, "value": 0.05}
+TYPED = f"""bt AS ({' UNION ALL '.join(f"SELECT '{c}' AS f, {_STAT.format(c=c)} FROM b" for c in COLS)}), ct2 AS ({' UNION ALL '.join(f"SELECT '{c}' AS f, {_STAT.format(c=c)} FROM c" for c in COLS)}),
+ty AS (SELECT bt.f AS field_name, bt.js AS baseline_distribution, ct2.js AS current_distribution, unnest(['data', 'quality', 'value']) AS drift_type, unnest([d, abs(ct2.miss - bt.miss), abs(ct2.m - bt.m) / bt.sd]) AS score, unnest([0.02, 0.001, 0.05]) AS th
+       FROM bt JOIN ct2 ON ct2.f = bt.f JOIN ks ON ks.field_name = bt.f)"""
+
+
+@R.add("drift_results_by_type", f"""WITH {SIDES}, {KS}, {TYPED} SELECT sha256(field_name || ':' || drift_type || ':{AS_OF}') AS result_id, field_name, drift_type, round(score, 6) AS drift_score, CAST(th AS DOUBLE) AS threshold,
+    CASE WHEN score / th < 1 THEN 'none' WHEN score / th < 1.5 THEN 'low' WHEN score / th < 2 THEN 'medium' WHEN score / th < 3 THEN 'high' ELSE 'critical' END AS severity, score > th AS drift_detected, baseline_distribution, current_distribution, '{{}}' AS details_json FROM ty""")
+def drift_results_by_type(w):
+    config = [{"column_name": c, "monitor_for_drift": True, **{f"{t}_threshold": v for t, v in LIMITS.items()}} for c in COLS]
+    return rnd(d.drift_results(d.drift_scores(*sides(w), COLS), config, AS_OF), "drift_score")
+
+
+@R.add("drift_series", f"""WITH {SIDES}, {PSI}, r AS (SELECT *, row_number() OVER (PARTITION BY field_name ORDER BY window_date DESC) AS rn FROM psi), t AS (SELECT field_name, row_number() OVER (ORDER BY psi_score DESC, field_name) AS place FROM r WHERE rn = 1)
+    SELECT psi.field_name, window_date, round(psi_score, 6) AS psi_score, n_rows, {BAND}, place FROM psi JOIN t ON t.field_name = psi.field_name WHERE place <= 2""")
+def drift_series(w):
+    out = d.field_series(d.psi_daily(*sides(w), COLS, "l_shipdate"), 2)
+    return out.select("field_name", F.col("window_date").cast("string").alias("window_date"), F.round("psi_score", 6).alias("psi_score"), "n_rows", "band", "place")
+
+
 @R.add("distribution_issues", f"WITH {SIDES}, {KS}, {RESULT} SELECT count(*) AS fields_watched, count(*) FILTER (d > th) AS distribution_issues_found FROM rs")
 def distribution_issues(w):
     return d.distribution_issues(drift_rows(w))

@@ -10,6 +10,7 @@ from modelward.plans.feedback_queries import DRAW
 from modelward.plans.governance_queries import FIRST
 from modelward.plans.registry import Registry
 from modelward.session import fresh_folder
+from modelward.sources.ticks import replayed
 from modelward.sources.workload import Workload, check_sql, check_with
 from modelward.streaming import jobs, keyed
 
@@ -159,6 +160,13 @@ def stream_late_rows(w):
     return found.select("event_id", "event_type", "user_id", "value", "late", F.lit(counted).cast("long").alias("counted"))
 
 
+@R.add("stream_ticks", "SELECT event_id, event_type, value, CASE WHEN event_id < 500 THEN 0 ELSE 1 + (event_id - 500) // 25 END AS tick FROM events")
+def stream_ticks(w):
+    own = beside(w)
+    rows = replayed(own.events.select("event_id", "event_type", "value"), "event_id", since=0.0)
+    return drain(w, rows.select("event_id", "event_type", "value", "tick"))
+
+
 @R.add("stream_review_sample", f"SELECT event_id FROM events WHERE {DRAW.format(k='event_id')} < 500")
 def stream_review_sample(w):
     return drain(w, review_sample(stream(w, "events").select("event_id"), "event_id", 0.05))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -46,25 +47,31 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
 
 
 def record_pass(job: str, source: DataFrame, run, path: str, log_path: str, as_of) -> DataFrame:
-    """Run one pass, append its result and log rows examined and rows changed.
+    """Run one pass, write its result and log rows examined and rows changed.
 
-    ``run`` maps the source to the rows to append. Both counts are observed while the result is written; an error is
-    logged as such and not raised. ``state.run_health`` turns the log into statuses.
+    ``run`` maps the source to the rows to write. Both counts are observed while the result is written. Result and log row
+    stand in folders named by the job and its time, so a pass that is repeated replaces what it wrote before. A failed pass
+    leaves no result, is logged with its error and raises it. ``state.run_health`` turns the log into statuses.
     """
     spark = source.sparkSession
-    seen, examined, changed, error = Observation(), 0, 0, None
+    run_id = hashlib.sha256(f"{job}:{as_of}".encode()).hexdigest()
+
+    def log(examined: int, changed: int, error: str | None) -> DataFrame:
+        row = spark.range(1).select(
+            F.lit(job).alias("job_name"), F.lit(examined).cast("long").alias("rows_examined"), F.lit(changed).cast("long").alias("rows_changed"), F.lit(error).cast("string").alias("error"),
+            F.lit(str(as_of)).cast("timestamp_ntz").alias("run_timestamp"),
+        )
+        row.coalesce(1).write.mode("overwrite").parquet(f"{log_path}/run_id={run_id}")
+        return row.withColumn("run_id", F.lit(run_id))
+
+    seen, written = Observation(), Observation()
     try:
         counted = source.observe(seen, F.count(F.lit(1)).alias("rows"))
-        changed = append(run(counted), path)
-        examined = int(seen.get["rows"])
+        run(counted).observe(written, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
     except Exception as e:
-        error = str(e)
-    row = spark.range(1).select(
-        F.lit(job).alias("job_name"), F.sha2(F.lit(f"{job}:{as_of}"), 256).alias("run_id"), F.lit(examined).cast("long").alias("rows_examined"), F.lit(changed).cast("long").alias("rows_changed"),
-        F.lit(error).cast("string").alias("error"), F.lit(str(as_of)).cast("timestamp_ntz").alias("run_timestamp"),
-    )
-    row.coalesce(1).write.mode("append").parquet(log_path)
-    return row
+        log(0, 0, str(e))
+        raise
+    return log(int(seen.get["rows"]), int(written.get["rows"]), None)
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:

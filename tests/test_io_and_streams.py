@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from modelward.schemas import TABLES, schema_of
 from modelward.session import shared_root
 from modelward.sources import snapshots as sn
 from modelward.sources import tables as tb
+from modelward.sources.ticks import replayed
 from modelward.streaming import jobs, keyed
 
 
@@ -60,10 +63,14 @@ def test_passes_are_logged_also_when_they_fail(spark, tmp_path):
 
     out, log = f"{tmp_path}/o", f"{tmp_path}/l"
     tb.record_pass("j", spark.range(9), lambda df: df.where("id < 4"), out, log, "2024-01-01")
-    tb.record_pass("j", spark.range(9), lambda df: df.select(F.raise_error(F.lit("boom"))), out, log, "2024-01-02")
+    with pytest.raises(Exception, match="boom"):
+        tb.record_pass("j", spark.range(9), lambda df: df.select(F.raise_error(F.lit("boom"))), out, log, "2024-01-02")
     tb.record_pass("j", spark.range(9), lambda df: df.where("id < 0"), out, log, "2024-01-03")
     rows = run_health(spark.read.parquet(log)).orderBy("run_timestamp").collect()
     assert [(r.status, r.rows_examined, r.rows_changed) for r in rows] == [("ok", 9, 4), ("failed", 0, 0), ("warning", 9, 0)]
+    # a pass that is run again replaces its rows and its log row
+    tb.record_pass("j", spark.range(9), lambda df: df.where("id < 5"), out, log, "2024-01-01")
+    assert spark.read.parquet(out).count() == 5 and spark.read.parquet(log).count() == 3
 
 
 def test_generated_rows_repeat(spark):
@@ -257,3 +264,21 @@ def test_late_rows_are_kept_and_counted_once(spark, tmp_path):
     # the watermark stands at 1 h after the second batch's first row, then at 1.5 h
     assert rows == {1: (False, 2**53 + 1), 2: (False, None), 3: (False, 5), 4: (True, 2**53 + 3), 5: (False, None), 6: (True, 1), 7: (False, 2), 8: (True, 3)}
     assert total == 3
+
+
+def test_ticks_go_on_after_a_restart(spark, tmp_path):
+    own, folder, since = jobs.stream_session(spark, 2), f"{tmp_path}/out", time.time()
+    table = own.range(40).select(F.col("id").alias("n"), (F.col("id") * 3).alias("v"))
+
+    def run(seconds):
+        query = jobs.start(replayed(table, "n", since, every=1.0, seed=10, tick=2), folder)
+        end = time.time() + seconds
+        while time.time() < end and (query.lastProgress is None or "40" not in str(query.lastProgress["sources"][0]["endOffset"])):
+            time.sleep(0.2)
+        query.stop()
+
+    run(8)
+    run(60)
+    rows = [(r.n, r.v, r.tick) for r in spark.read.parquet(f"{folder}/data").collect()]
+    assert sorted(rows) == [(n, 3 * n, 0 if n < 10 else 1 + (n - 10) // 2) for n in range(40)]
+    assert len(list((tmp_path / "out" / "data").iterdir())) > 1

@@ -1,7 +1,11 @@
-"""A bounded sample of labelled documents, for training."""
+"""A bounded sample of labelled documents, and training on it in a task."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +18,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_bytes: int, id_column: str = "doc_id", text_column: str = "text") -> pa.Table:
-    """``text, label`` of at most ``rows`` labelled documents that are not held out, of ``rows * max_bytes`` bytes together.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_bytes: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``_id, text, label`` of at most ``rows`` labelled documents that are not held out, of ``rows * max_bytes`` bytes together.
 
     The documents are the first in the order of a hash of their ids, of those that have a text. If their texts are too large
     together, the longest are left out, whole ones only, and the next ones of up to ``max_bytes`` taken instead. A document
@@ -39,4 +43,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     # As many rows as the bound says, so they can be sent to all tasks.
     kinds = sized.select("_id", "size", "label").schema
     chosen = F.broadcast(docs.sparkSession.createDataFrame([(r["_id"], r["size"], r["label"]) for r in taken.values()], kinds))
-    return texts.join(chosen, ["_id", "size"]).groupBy("_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).orderBy("_id").select("text", "label").toArrow()
+    return texts.join(chosen, ["_id", "size"]).groupBy("_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+
+
+def labelled_sample(*args, **options) -> pa.Table:
+    """The same rows, here, in the order of ids."""
+    return labelled_rows(*args, **options).orderBy("_id").select("text", "label").toArrow()
+
+
+def trained_in_task(sample: DataFrame, fit: Callable[[pa.Array, np.ndarray], object]):
+    """What ``fit`` makes of the texts and labels of a bounded sample, in the order of ids; they all go to one task.
+
+    The driver gets the model alone.
+    """
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(batches, pa.schema([("text", pa.string()), ("label", pa.int32())])).combine_chunks()
+        texts = held["text"].chunk(0) if held.num_rows else pa.array([], pa.string())
+        model = fit(texts, held["label"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = sample.repartition(1).sortWithinPartitions("_id").select("text", "label").mapInArrow(train, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit(pa.array([], pa.string()), np.zeros(0, np.int32))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelward.llm.arrays import BLOCK, buffers, row_blocks
-from modelward.llm.labels import held_out, labelled_sample
+from modelward.llm.labels import held_out, labelled_rows, trained_in_task
 
 #: Filters see WIDTH bytes, every STRIDE bytes; a chunk is two pieces of PIECE places, and chunks overlap by one piece.
 EMBED, WIDTH, STRIDE, FILTERS, PIECE = 4, 8, 2, 24, 64
@@ -133,9 +133,12 @@ def fitted(texts: list[np.ndarray], labels: np.ndarray, steps: int = 320, batch:
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Network:
     """A network from a bounded sample of labelled documents that are not held out."""
-    sample = labelled_sample(docs, labels, label, rows, max_bytes)
-    data, offsets = buffers(sample["text"]) if len(sample) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    return fitted([data[a:b] for a, b in zip(offsets[:-1], offsets[1:])], sample["label"].to_numpy())
+    return trained_in_task(labelled_rows(docs, labels, label, rows, max_bytes), fitted_texts)
+
+
+def fitted_texts(texts: pa.Array, labels: np.ndarray) -> Network:
+    data, offsets = buffers(texts) if len(texts) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    return fitted([data[a:b] for a, b in zip(offsets[:-1], offsets[1:])], labels)
 
 
 def quality_scores(docs: DataFrame, network: Network, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelward.llm.arrays import FOLDED, buffers, row_ends, word_blocks
-from modelward.llm.labels import held_out, labelled_sample
+from modelward.llm.labels import held_out, labelled_rows, trained_in_task
 
 #: A word is read whole and by its first so many bytes, so that a stem counts with any ending.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -23,6 +23,8 @@ LONGEST = 32
 GAPS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 #: Bounds of the training sample, and of its documents in which a feature must occur.
 TRAIN_ROWS, TRAIN_BYTES, LEAST_DOCUMENTS = 6000, 1 << 14, 4
+#: Times the rate in clean documents that a feature's rate in toxic ones must be.
+LEANING = 2.0
 _SIEVE = 20
 
 
@@ -85,11 +87,15 @@ def clean_odds(logits: np.ndarray, sentences: np.ndarray) -> np.ndarray:
 
 
 def leaning(texts: pa.Array, labels: np.ndarray) -> np.ndarray:
-    """Features that at least LEAST_DOCUMENTS documents hold and that lean to toxic ones, as sorted hashes."""
-    share = labels.mean()
+    """Features that at least LEAST_DOCUMENTS documents hold and that lean to toxic ones, as sorted hashes.
+
+    A feature leans by its rate in toxic documents over that in the others, whatever the share of toxic ones is.
+    """
+    many, few = labels.sum(), len(labels) - labels.sum()
 
     def chosen(n: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-        return (n >= LEAST_DOCUMENTS) & (toxic >= 2 * share * n) & (toxic >= 3)
+        # half a document more on both sides, so that rates of few documents don't run away
+        return (n >= LEAST_DOCUMENTS) & ((toxic + 0.5) / (many + 1) >= LEANING * (n - toxic + 0.5) / (few + 1)) & (toxic >= 3)
 
     def held() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for first, last, hashes, heads, sentences, _, _ in instances(texts):
@@ -168,8 +174,7 @@ def fitted(texts: pa.Array, labels: np.ndarray, rounds: int = 500, rate: float =
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Model:
     """A model from a bounded sample of labelled documents that are not held out."""
-    sample = labelled_sample(docs, labels, label, rows, max_bytes)
-    return fitted(sample["text"], sample["label"].to_numpy())
+    return trained_in_task(labelled_rows(docs, labels, label, rows, max_bytes), fitted)
 
 
 def toxicity_scores(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -179,7 +184,7 @@ def toxicity_scores(docs: DataFrame, model: Model, id_column: str = "doc_id", te
     sentences that are toxic by themselves, in code points, the end exclusive.
 
     Null and empty texts have no sentence and score 0, unless there was nothing to learn from: then all rows have the share
-    of toxic labels. Null ids are kept and count as held out; repeated rows are kept; other columns are not read; an empty
+    of toxic labels. Texts may be of any length. Null ids are kept and count as held out; repeated rows are kept; other columns are not read; an empty
     table gives no rows.
     """
     kind = docs.schema[id_column].dataType.simpleString()

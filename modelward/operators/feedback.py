@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -12,6 +13,7 @@ from modelward.functions.columns import count_where, days_between, ratio, share,
 from modelward.functions.identifiers import check_column, check_table
 from modelward.functions.ordered import exact_quantiles
 from modelward.functions.relational import null_safe_join, top_per_key
+from modelward.operators.quality import assess_contract
 
 
 def join_labels(
@@ -78,14 +80,18 @@ def accuracy_records(accuracy: DataFrame, window_days: int) -> DataFrame:
 def retrain_candidates(feedback: DataFrame, last_training: DataFrame, threshold: int) -> DataFrame:
     """Projects with at least ``threshold`` labels since their last training; never-trained projects count all labels.
 
-    Labels are first counted per project and day, so the join sees few rows however many labels one project has.
+    Labels are summed per project and day before the join, so it sees one row a day however many labels a project has; only
+    on the day of a training are labels compared with its time one by one.
     """
-    since = F.col("last_training_timestamp")
-    rows = feedback.groupBy("project_id", F.col("label_arrived_timestamp").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
-    counted = rows.join(last_training, "project_id", "left").where(since.isNull() | (F.col("_at") > since))
+    labels = feedback.select("project_id", F.col("label_arrived_timestamp").alias("_at"), F.to_date("label_arrived_timestamp").alias("_day")).where(F.col("_at").isNotNull())
+    known = last_training.select("project_id", F.col("last_training_timestamp").alias("_since"), F.to_date("last_training_timestamp").alias("_since_day"))
+    days = labels.groupBy("project_id", "_day").agg(F.count(F.lit(1)).alias("_n")).join(known, "project_id", "left")
+    whole = days.where(F.col("_since").isNull() | (F.col("_day") > F.col("_since_day"))).select("project_id", "_since", "_n")
+    that_day = labels.join(known.where(F.col("_since").isNotNull()).withColumnRenamed("_since_day", "_day"), ["project_id", "_day"]).where(F.col("_at") > F.col("_since"))
+    part = that_day.groupBy("project_id", "_since").agg(F.count(F.lit(1)).alias("_n"))
     return (
-        counted.groupBy("project_id")
-        .agg(F.sum("_n").alias("new_labels"), F.max(since).alias("last_training_timestamp"))
+        whole.unionByName(part).groupBy("project_id")
+        .agg(F.sum("_n").alias("new_labels"), F.max("_since").alias("last_training_timestamp"))
         .where(F.col("new_labels") >= threshold)
         .withColumn("threshold", F.lit(threshold))
     )
@@ -97,6 +103,24 @@ def retraining_set(inference: DataFrame, labels: DataFrame, as_of, days: int = 3
     return join_labels(recent, labels, **join_args)
 
 
+def versioned_training_set(rows: DataFrame, contract: Sequence, folder: str, *, project_id: str, contract_id: str, as_of, minimum_score: float = 0.85) -> DataFrame:
+    """Writes a training set as a version of its own, if its quality allows, and returns the version's row.
+
+    The set is written once and assessed as written; the version is named by project and time, so a repeated run replaces it.
+    One row: version, path, rows, quality score and status, and whether it may be used for training; one that may not stays
+    marked as refused.
+    """
+    version = hashlib.sha256(f"{project_id}:{contract_id}:{as_of}".encode()).hexdigest()[:16]
+    path = f"{folder}/version={version}"
+    rows.write.mode("overwrite").parquet(path)
+    written = rows.sparkSession.read.parquet(path)
+    found = assess_contract(written, contract, project_id=project_id, contract_id=contract_id, table_name="retraining_set", as_of=as_of, all_rules=True)
+    return found.select(
+        F.lit(version).alias("version"), "project_id", F.lit(path).alias("path"), "row_count", "checks_run", "quality_score", "quality_status",
+        F.when(F.col("quality_score") >= minimum_score, "ready").otherwise("refused").alias("status"),
+    )
+
+
 def shadow_comparison(current: DataFrame, shadow: DataFrame) -> DataFrame:
     """Agreement of two models on the same requests per day: both sides carry id, ts, prediction and score."""
 

@@ -166,9 +166,9 @@ def settings_hash(settings: Column) -> Column:
     return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(clean)))), 256)
 
 
-def lifecycle_moves(log: DataFrame, allowed: Mapping[str, Sequence[str]], key: str, state: str, ts: str, tie: Sequence[str]) -> DataFrame:
+def lifecycle_moves(log: DataFrame, allowed: Mapping[str, Sequence[str]], key: str, state: str, ts: str, tie: Sequence[str], bucket_seconds: int = 3600) -> DataFrame:
     """Each state change with its verdict; the first state of a key is always valid."""
-    moves = with_previous(log, [key], ts, tie, {state: "from_state"}, bucket_seconds=86400 * 30)
+    moves = with_previous(log, [key], ts, tie, {state: "from_state"}, bucket_seconds)
     ok = F.col("from_state").isNull()
     for origin, targets in allowed.items():
         ok = ok | ((F.col("from_state") == origin) & F.col(state).isin(*targets))

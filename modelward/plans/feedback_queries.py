@@ -8,6 +8,7 @@ from modelward.functions.columns import stamp
 from modelward.operators import feedback as fb
 from modelward.operators.state import insert_if_absent
 from modelward.plans.registry import Registry
+from modelward.session import fresh_folder
 from modelward.sources.workload import AS_OF, check_sql, check_with
 
 R = Registry()
@@ -83,6 +84,23 @@ def retraining_set(w):
     return out.select("prediction_id", "predicted_value", "actual_label")
 
 
+SET_CONTRACT = [
+    {"column_name": "prediction_id", "is_nullable": False, "quality_rules": '{"uniqueness_check": {"must_be_unique": true}}'},
+    {"column_name": "predicted_value", "is_nullable": False, "allowed_values": ["F", "O"]},
+    {"column_name": "actual_label", "is_nullable": False},
+]
+
+
+@R.add("retraining_set_version", feedback_sql(
+    """SELECT substr(sha256('p:c:2001-08-01 00:00:00'), 1, 16) AS version, n AS row_count, 5 AS checks_run, round(1 - bad / 5.0, 6) AS quality_score, CASE WHEN 1 - bad / 5.0 >= 0.85 THEN 'ready' ELSE 'refused' END AS status FROM (
+    SELECT count(*) AS n, CAST(count(*) > count(prediction_id) AS INT) + CAST(count(prediction_id) > count(DISTINCT prediction_id) AS INT) + CAST(count(*) > count(predicted_value) AS INT)
+           + CAST(count(*) FILTER (predicted_value NOT IN ('F', 'O')) > 0 AS INT) + CAST(count(*) > count(actual_label) AS INT) AS bad FROM fb WHERE request_time >= DATE '2001-08-01' - INTERVAL 365 DAY) z"""))
+def retraining_set_version(w):
+    rows = fb.retraining_set(w.inference_log, w.label_source, AS_OF, 365, label_column="label", label_source_table="sales.labels").select("prediction_id", "predicted_value", "actual_label")
+    out = fb.versioned_training_set(rows, SET_CONTRACT, fresh_folder(w.spark, "training_sets"), project_id="p", contract_id="c", as_of=AS_OF)
+    return out.select("version", "row_count", "checks_run", F.round("quality_score", 6).alias("quality_score"), "status")
+
+
 @R.add("shadow_comparison", """WITH s AS (SELECT * FROM (SELECT l_orderkey AS id, l_shipdate AS ts, l_linestatus AS prediction, l_extendedprice / 100000 AS score,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linestatus, l_extendedprice) AS rn FROM lineitem) z WHERE rn = 1)
 SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS compared, round(avg(CASE WHEN o_orderstatus = s.prediction THEN 1.0 ELSE 0.0 END), 6) AS agreement_rate,

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from modelward.functions.identifiers import UnsafeName, check_column, check_table
-from modelward.operators import drift, lineage, quality, state
+from modelward.operators import drift, feedback, lineage, quality, state
 
 
 def test_names_may_not_end_in_a_newline():
@@ -67,3 +67,20 @@ def test_psi_plans_without_a_job(spark):
     assert list(seen.getJobIdsForGroup("psi-plan")) == []
     assert [(r.psi_score, r.band) for r in df.collect()] == [(0.0, "none")]
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_labels_since_a_training_count_to_the_second(spark):
+    rows = [("p", f"2024-01-0{d} {h:02}:00:00") for d in (1, 2, 3) for h in (1, 9, 20)] + [("q", "2024-01-01 00:00:00"), ("r", "2024-01-02 09:00:00"), ("p", None)]
+    labels = spark.createDataFrame(rows, "project_id STRING, label_arrived_timestamp STRING").withColumn("label_arrived_timestamp", F.col("label_arrived_timestamp").cast("timestamp_ntz"))
+    trained = spark.createDataFrame([("p", "2024-01-02 09:00:00"), ("q", None), ("r", "2024-01-02 09:00:00")], "project_id STRING, t STRING").select("project_id", F.col("t").cast("timestamp_ntz").alias("last_training_timestamp"))
+    got = {r.project_id: (r.new_labels, str(r.last_training_timestamp)) for r in feedback.retrain_candidates(labels, trained, 1).collect()}
+    assert got == {"p": (4, "2024-01-02 09:00:00"), "q": (1, "None")}
+
+
+def test_training_sets_are_versions_that_may_be_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", None), ("b", 3)], "id STRING, v INT")
+    contract = [{"column_name": "id", "is_nullable": False, "quality_rules": '{"uniqueness_check": {"must_be_unique": true}}'}, {"column_name": "v", "is_nullable": False}]
+    make = lambda df: feedback.versioned_training_set(df, contract, str(tmp_path), project_id="p", contract_id="c", as_of="2024-01-01").first()
+    bad, good = make(rows), make(rows.where("id = 'a'"))
+    assert (bad.status, bad.row_count, good.status, good.row_count) == ("refused", 3, "ready", 1)
+    assert bad.version == good.version and spark.read.parquet(good.path).count() == 1

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import IntegralType
 
 BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
@@ -63,6 +65,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
     return out
 
 
+def whole_ids(docs: DataFrame, id_column: str) -> None:
+    """Refuses ids that are not whole numbers, before any task runs."""
+    if not isinstance(docs.select(id_column).schema[0].dataType, IntegralType):
+        raise TypeError(f"{id_column} must hold whole numbers")
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column and the n + 1 offsets of its rows; null reads as empty."""
     if isinstance(texts, pa.ChunkedArray):

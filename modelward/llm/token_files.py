@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from modelward.llm.arrays import ragged, row_ends
+from modelward.llm.arrays import ragged, row_ends, whole_ids
 from modelward.llm.pretokens import Known, first_of_each, pretoken_blocks, without_specials
 from modelward.llm.token_counts import offsets_of
 
@@ -237,10 +237,11 @@ def encoder(path: str, end: int) -> Encoder:
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end: int = 2, id_column: str = "doc_id", text_column: str = "text", file_tokens: int = 4_000_000) -> None:
     """Encodes every text, adds ``end``, and writes the ids in ascending order of document ids.
 
-    Documents are dealt out by ranges of ids; each task sorts its range, encodes it and hands a file to Spark's writer as
+    Documents are dealt out by ranges of ids, and of a hash of the text where ids repeat, so no text is sampled for the
+    ranges; each task sorts its range, encodes it and hands a file to Spark's writer as
     soon as it holds ``file_tokens`` ids, so memory is bounded by that and by one text. A file's head has its place in the
     order. The folder must be one that all executors and later readers share. A lost task is run again and its files are
-    committed once. Ties of ids are ordered by text; null ids come first; null texts hold only the end id.
+    committed once. Ids must be whole numbers. Ties of ids are ordered by a hash of the text, then by the text; null ids come first; null texts hold only the end id.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +264,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end: int =
         if ids:
             yield file()
 
-    ordered = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    whole_ids(docs, id_column)
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(F.col(text_column)).alias("mark"))
+    ordered = rows.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").select("doc_id", "text")
     files = ordered.mapInArrow(encode, "file binary")
     # One row is one file: its bytes, and the line end that the writer adds.
     files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)

@@ -38,20 +38,25 @@ def _spans(rank: int, pattern: str, group: int = 0) -> str:
     return _SPANS.format(kind=secret_scan.KINDS[rank], rank=rank, group=group, pattern=pattern.replace("'", "''"))
 
 
+_BLANKED = "v"
+for _word in ("example", "sample", "placeholder", "changeme", "xxxx", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "1234567890123456"):
+    _BLANKED = f"regexp_replace({_BLANKED}, '{_word}', '{'~' * len(_word)}', 'gi')"
+
 SECRETS = f"""
 WITH base AS (
   SELECT * FROM ({_spans(0, secret_scan.ASSIGN, 2)}) WHERE length(v) >= {secret_scan.MIN_ASSIGNED}
   UNION ALL SELECT * FROM ({_spans(1, secret_scan.ACCESS)}) WHERE length(v) >= {secret_scan.MIN_ACCESS}
   UNION ALL SELECT * FROM ({_spans(2, secret_scan.HEX)}) WHERE length(v) >= {secret_scan.MIN_HEX}),
-candidate AS (SELECT row_number() OVER () AS c, * FROM ({_spans(3, f'[A-Za-z0-9+/_=-]{{{secret_scan.WINDOW},}}')})
-  WHERE length(regexp_replace(v, '[^0-9]', '', 'g')) >= {secret_scan.MIN_DIGITS} AND regexp_matches(v, '[A-Za-z]')
-  {' '.join(f"AND NOT regexp_matches(v, '{p}')" for p in secret_scan.ALLOWED)}),
-w AS (SELECT c, v, unnest(range(1, length(v) - {secret_scan.WINDOW} + 2)) AS o FROM candidate),
-ch AS (SELECT c, o, substring(v, o + k, 1) AS x, count(*) AS n FROM w, range({secret_scan.WINDOW}) r(k) GROUP BY ALL),
-bits AS (SELECT c, max(h) AS best FROM (SELECT c, o, log2({secret_scan.WINDOW}) - sum(n * log2(n)) / {secret_scan.WINDOW} AS h FROM ch GROUP BY c, o) GROUP BY c),
+candidate AS (SELECT row_number() OVER () AS c, * FROM ({_spans(3, '[A-Za-z0-9+/_=-]{20,}')})
+  WHERE regexp_matches(v, '[A-Za-z]') AND NOT regexp_full_match(v, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}')),
+blanked AS (SELECT c, {_BLANKED} AS x FROM candidate),
+w AS (SELECT c, substring(x, o, 20) AS v, o FROM (SELECT c, x, unnest(range(1, length(x) - 18)) AS o FROM blanked)),
+judged AS (SELECT * FROM w WHERE NOT contains(v, '~') AND regexp_matches(v, '[A-Za-z]')),
+ch AS (SELECT c, o, v, substring(v, k + 1, 1) AS x, count(*) AS n FROM judged, range(20) r(k) GROUP BY ALL),
+bits AS (SELECT DISTINCT c FROM (SELECT c, o, v, log2(20) - sum(n * log2(n)) / 20 AS h FROM ch GROUP BY c, o, v)
+  WHERE h - CASE WHEN NOT regexp_matches(v, '[^0-9a-fA-F]') THEN 3.05 WHEN NOT regexp_matches(v, '[0-9]') THEN 4.0 ELSE 3.81 END > 1e-9),
 dense AS (SELECT doc_id, kind, rank, s, e, v FROM candidate JOIN bits USING (c)
-  WHERE best > CASE WHEN regexp_matches(v, '^[0-9a-fA-F]+$') THEN {secret_scan.THRESHOLDS['hex']} ELSE {secret_scan.THRESHOLDS['mixed']} END
-  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = candidate.doc_id AND b.s < candidate.e AND candidate.s < b.e)),
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = candidate.doc_id AND b.s < candidate.e AND candidate.s < b.e)),
 spans AS (SELECT * FROM base UNION ALL SELECT * FROM dense)
 SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3), '')) AS base_sha256,

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelward.llm.arrays import FOLDED, mixed, ragged, row_ends, word_blocks
+from modelward.llm.arrays import FOLDED, mixed, ragged, row_ends, whole_ids, word_blocks
 from modelward.llm.components import connected_components
 
 #: A signature has POSITIONS values of BITS bits, in CHUNKS chunks; ERRORS positions of a chunk may differ.
@@ -21,6 +21,11 @@ POSITIONS = CHUNKS * WIDTH
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Texts that one task compares with one text, at most; more are split over several groups.
 GROUP = 512
+#: Rows beside the largest component that make a bucket go through the second level of the index.
+CROWD = 4096
+#: Positions of a further chunk that may differ there: with ERRORS + 1 at least in each of the other chunks and these in each
+#: of the rest, there would be more than DISTANCE.
+MORE_ERRORS = DISTANCE // (CHUNKS - 1)
 NO_ID = -(1 << 63)
 
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, POSITIONS, dtype=np.uint64)
@@ -95,20 +100,43 @@ def signature_table(docs: DataFrame, words: int, id_column: str, text_column: st
 
 
 def texts_of(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    whole_ids(docs, id_column)
     text = F.coalesce(F.col(text_column), F.lit(""))
     return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
-def chunk_keys(signed: DataFrame) -> DataFrame:
-    """``key, id`` rows: for each chunk, each choice of positions that may hold its errors is left out of a key in turn."""
+def _keys(errors: int, *more: Column) -> list[list[Column]]:
+    """For each chunk of a signature, a key for each choice of ``errors`` positions, which are left out of it."""
     word = F.hex("signature")
     digits = BITS // 4
     at = [F.substring(word, 1 + p * digits, digits) for p in range(POSITIONS)]
-    keys = []
-    for chunk in range(CHUNKS):
-        for k, kept in enumerate(combinations(range(WIDTH), WIDTH - ERRORS)):
-            keys.append(F.xxhash64(F.lit(chunk * 64 + k), *[at[chunk * WIDTH + p] for p in kept]))
-    return signed.select(F.explode(F.array(*keys)).alias("key"), "id")
+    choices = list(combinations(range(WIDTH), WIDTH - errors))
+    return [[F.xxhash64(*more, F.lit(chunk * 64 + k), *[at[chunk * WIDTH + p] for p in kept]) for k, kept in enumerate(choices)] for chunk in range(CHUNKS)]
+
+
+def chunk_keys(signed: DataFrame) -> DataFrame:
+    """``key, id`` rows: for each chunk, each choice of positions that may hold its errors is left out of a key in turn."""
+    return signed.select(F.explode(F.array(*[k for chunk in _keys(ERRORS) for k in chunk])).alias("key"), "id")
+
+
+def second_level(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """Crowded buckets cut into smaller ones, in which all pairs within the distance still meet; ``family, id, component``.
+
+    Rows of a bucket agree in one chunk but for ERRORS positions. Two within DISTANCE also agree in another chunk but for
+    MORE_ERRORS positions, as too many would differ otherwise. So each row goes to one bucket for each choice of these
+    positions in each other chunk, and rows that share no more than the first key part.
+    """
+    own = rows.join(signed.select("id", "signature"), "id")
+    first = _keys(ERRORS)
+    chunk = F.floor((F.array_position(F.array(*[k for c in first for k in c]), F.col("family")) - 1) / len(first[0])).cast("int").alias("chunk")
+    finer = [F.when(F.col("chunk") != c, k) for c, keys in enumerate(_keys(MORE_ERRORS, F.col("family"))) for k in keys]
+    return several(own.select("*", chunk).select(F.explode(F.array_compact(F.array(*finer))).alias("family"), "id", "component"))
+
+
+def several(rows: DataFrame) -> DataFrame:
+    """The rows of families of two components or more."""
+    open_ = rows.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("family")
+    return rows.join(open_, "family", "left_semi")
 
 
 def signature_distance(left: Column, right: Column) -> Column:
@@ -158,12 +186,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ``component_id`` is the smallest id reachable over links, and the document with that id is kept.
 
     Documents with one set are one class from the start. Classes meet in the buckets of a multi-index over their b-bit
-    signatures. In a bucket, first every class is compared with the smallest one only; what is linked this way needs
+    signatures; crowded buckets are cut by further chunks. In a bucket, first every class is compared with the smallest one only; what is linked this way needs
     no more comparing. In buckets that still hold several components, all signatures of different components are compared,
     those within the distance form families, and in a family all texts of different components are. Both happen inside
     tasks, over cells of bounded size, which hand on a spanning forest; no pairs of a whole bucket are written out.
 
-    Null and empty texts, and those of white space alone, have no shingles and are linked with nothing. Rows that share an id
+    Equal sets are told by the 128-bit sum of their shingles' hashes and by their size. Ids must be whole numbers; texts may be
+    of any length. Null and empty texts, and those of white space alone, have no shingles and are linked with nothing. Rows that share an id
     are one document: it is linked with whatever one of its texts is, and has the shingles of the one with the smallest hash
     of those that have any. Rows with a null id are a document for each distinct text; the smallest id is that of another
     document where there is one, else null, and one of the rows is kept. Other columns are not read; an empty table gives
@@ -235,10 +264,13 @@ def linked_classes(heads: DataFrame, texts: DataFrame, words: int, percent: int)
     # Buckets that still hold several components.
     found = connected_components(links).withColumnRenamed("node", "id").checkpoint()
     placed = buckets.select("key", "id").join(found, "id", "left").select(F.col("key").alias("family"), "id", F.coalesce("component", "id").alias("component"))
-    open_ = placed.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("family")
-    rest = placed.join(open_, "family", "left_semi").checkpoint()
+    rest = several(placed).checkpoint()
     if rest.isEmpty():
         return links
+    parts = rest.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    crowded = parts.groupBy("family").agg((F.sum("n") - F.max("n")).alias("beside")).where(F.col("beside") > CROWD).select("family").checkpoint()
+    if not crowded.isEmpty():
+        rest = rest.join(crowded, "family", "left_anti").unionByName(second_level(rest.join(crowded, "family", "left_semi"), heads)).checkpoint()
     # Their classes that may be near over components form families, within which the texts decide.
     candidates = compared(rest, heads.select("id", "n_shingles", "signature"), 1024, lambda columns, apart: plausible(columns, apart, percent)).checkpoint()
     families = connected_components(candidates).select(F.col("component").alias("family"), F.col("node").alias("id"))

@@ -4,7 +4,9 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from modelward.llm import decontamination, near_dedup
@@ -177,3 +179,41 @@ def test_items_whose_words_the_fitted_sample_lacks(corpus, monkeypatch):
     bench = corpus.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
     found = decontamination.contaminated(corpus.createDataFrame(docs, "doc_id long, text string"), bench).collect()
     assert {i for i, _ in items} == {r.doc_id for r in found} and all(r.doc_id == r.item_id for r in found)
+
+
+def test_crowded_buckets_are_cut_without_losing_near_pairs(corpus):
+    """A bucket of singletons that share one chunk and no more doesn't grow with its square; pairs at the distance meet."""
+    rng = np.random.default_rng(12)
+    n, width = 6000, near_dedup.WIDTH
+    signs = rng.integers(0, 1 << 16, (n, near_dedup.POSITIONS), dtype=np.uint16)
+    signs[:, :width] = signs[0, :width]
+    planted = []
+    for a in range(0, 200, 2):
+        signs[a + 1] = signs[a]
+        # as far apart as may be, with two errors at least in every other chunk where there are enough
+        where = np.concatenate([[rng.integers(width)], *[width * c + rng.permutation(width)[:2] for c in range(1, near_dedup.CHUNKS)]])[: near_dedup.DISTANCE]
+        signs[a + 1, where] ^= np.uint16(1)
+        planted.append((a, a + 1))
+    signed = corpus.createDataFrame([(i, s.tobytes()) for i, s in enumerate(signs)], "id long, signature binary")
+    families = near_dedup.chunk_keys(signed).groupBy("key").count().where("count > 1000").select(F.col("key").alias("family"))
+    rows = near_dedup.chunk_keys(signed).withColumnRenamed("key", "family").join(families, "family").select("family", "id", F.col("id").alias("component"))
+    found = near_dedup.second_level(rows, signed).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.family, set()).add(r.id)
+    assert all(any(a in g and b in g for g in groups.values()) for a, b in planted)
+    assert len(found) < 20 * len(planted) * 9 * 6
+
+
+def test_crowded_buckets_give_the_same_components(corpus, monkeypatch):
+    rnd = random.Random(31)
+    line = [f"boiler{i}" for i in range(12)]
+    texts = []
+    for _ in range(60):
+        own = [f"w{rnd.randrange(10**6)}" for _ in range(8)]
+        texts += [" ".join(line + own), " ".join(line + own[:-1] + ["end"])]
+    docs = corpus.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    plain = sorted(near_dedup.near_duplicates(docs, words=2).collect())
+    monkeypatch.setattr(near_dedup, "CROWD", 2)
+    assert sorted(near_dedup.near_duplicates(docs, words=2).collect()) == plain
+    assert len({r.component_id for r in plain}) <= 60

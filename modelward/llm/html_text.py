@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache, lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,45 +25,72 @@ RAW = ("script", "style")
 #: An open element of these ends where another of its kind, or a container around it, begins or ends.
 ENDS_ITSELF = frozenset("p li dt dd td th tr option".split())
 
+#: Comments, raw elements, declarations, tags, tags that the page ends in, text. A quote begins a value only after ``=``, and
+#: what has been read is never read again, so that unclosed quotes cost no second look at the rest of the page.
 TOKENS = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|([^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[\"'=])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|([^<]+|<)",
     re.S | re.I,
 )
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 PARTS = re.compile(r"[a-z]+")
 
 
+class Open(NamedTuple):
+    """An open element. What it shares with the one around it is one object, so deep pages cost little for each element."""
+
+    tag: str
+    own: str  # the nearest element that begins a block
+    tags: frozenset[str]  # of the way from the root
+    names: frozenset[str]
+    linked: bool
+
+
+ROOT = Open("", "none", frozenset(), frozenset(), False)
+
+
 @dataclass
 class Block:
     """Text of one leaf block, still with character references, and where it stands."""
 
     pieces: list[str]
-    path: tuple[str, ...]
-    names: frozenset[str]
+    place: Open
     linked: int = 0
 
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.pieces)).split())
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order. Unclosed, crossed and cut-off tags are read as browsers mostly do."""
+def leaf_blocks(page: str, tags: frozenset[str] | None = None, names: frozenset[str] | None = None) -> list[Block]:
+    """Blocks with text, in page order. Unclosed, crossed and cut-off tags are read as browsers mostly do.
+
+    Of the way to a block only the given tags and names are kept, all of them if none are given.
+    """
     out: list[Block] = []
-    # Of each open element: its tag, the tags and names from the root to it, and whether it is inside a link.
-    stack: list[tuple[str, tuple[str, ...], frozenset[str], bool]] = []
-    root = ("", (), frozenset(), False)
+    stack: list[Open] = []
+    # How often a tag is open, and where in the stack the elements are that begin blocks.
+    count: dict[str, int] = {}
+    marks: list[int] = []
     now: Block | None = None
+
+    def cut(k: int) -> None:
+        for closed in stack[k:]:
+            count[closed.tag] -= 1
+        del stack[k:]
+        while marks and marks[-1] >= k:
+            marks.pop()
+
     for m in TOKENS.finditer(page):
         text = m.group(8)
+        around = stack[-1] if stack else ROOT
         if text is not None:
             if now is None:
                 if text.isspace():
                     continue
-                now = Block([], *(stack[-1] if stack else root)[1:3])
+                now = Block([], around)
                 out.append(now)
             now.pieces.append(text)
-            if stack and stack[-1][3]:
+            if around.linked:
                 now.linked += len(text)
             continue
         name = (m.group(3) or m.group(6) or "").lower()
@@ -74,34 +102,40 @@ def leaf_blocks(page: str) -> list[Block]:
         elif name == "br" and now is not None:
             now.pieces.append(" ")
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if count.get(name):
+                k = len(stack) - 1
+                while stack[k].tag != name:
+                    k -= 1
+                cut(k)
             continue
         attributes = m.group(4) or m.group(7) or ""
         if name not in EMPTY and not attributes.endswith("/"):
             if name in BLOCKS and name != "body":
                 # A paragraph ends where a block begins; an item ends where its like begins.
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p" or (name in ENDS_ITSELF and stack[k][0] == name):
-                        del stack[k:]
+                for k in reversed(marks):
+                    if stack[k].tag == "p" or (name in ENDS_ITSELF and stack[k].tag == name):
+                        cut(k)
                         break
-                    if stack[k][0] in BLOCKS and stack[k][0] not in ENDS_ITSELF:
+                    if stack[k].tag not in ENDS_ITSELF:
                         break
-            _, path, names, linked = stack[-1] if stack else root
-            if "=" in attributes and (own := [p for v in NAMES.findall(attributes) for p in PARTS.findall(v.lower())]):
-                names = names.union(own)
-            stack.append((name, (*path, name), names, linked or name == "a"))
+            around = stack[-1] if stack else ROOT
+            way, called = around.tags, around.names
+            if name not in way and (tags is None or name in tags):
+                way = way | {name}
+            if "=" in attributes and (own := {p for v in NAMES.findall(attributes) for p in PARTS.findall(v.lower()) if names is None or p in names} - called):
+                called = called | own
+            if name in BLOCKS:
+                marks.append(len(stack))
+            count[name] = count.get(name, 0) + 1
+            stack.append(Open(name, name if name in BLOCKS else around.own, way, called, around.linked or name == "a"))
     return out
 
 
 @lru_cache(100_000)
-def placed(path: tuple[str, ...], names: frozenset[str]) -> tuple[str, ...]:
+def placed(own: str, tags: frozenset[str], names: frozenset[str]) -> tuple[str, ...]:
     """What is seen of a block's place: its ancestors and their names."""
-    own = next((t for t in reversed(path) if t in BLOCKS), "none")
-    loose = () if "article" in path or "main" in path else ("loose",)
-    return (f"tag={own}", *loose, *sorted({f"in={t}" for t in path}), *sorted(f"name={w}" for w in names))
+    loose = () if "article" in tags or "main" in tags else ("loose",)
+    return (f"tag={own}", *loose, *sorted(f"in={t}" for t in tags), *sorted(f"name={w}" for w in names))
 
 
 def worded(block: Block, text: str, place: str) -> tuple[str, ...]:
@@ -115,7 +149,7 @@ def worded(block: Block, text: str, place: str) -> tuple[str, ...]:
 def features(blocks: list[Block], texts: list[str]) -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
     """What is seen of each block: of its place and of its text."""
     last = len(blocks) - 1
-    return [(placed(b.path, b.names), worded(b, t, "first" if i == 0 else "last" if i == last else "inner")) for i, (b, t) in enumerate(zip(blocks, texts))]
+    return [(placed(b.place.own, b.place.tags, b.place.names), worded(b, t, "first" if i == 0 else "last" if i == last else "inner")) for i, (b, t) in enumerate(zip(blocks, texts))]
 
 
 @dataclass
@@ -125,6 +159,14 @@ class Field:
     weights: dict[str, float] = field(default_factory=dict)
     turns: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     sums: dict[tuple[str, ...], float] = field(default_factory=dict)
+    ways: tuple[frozenset[str], frozenset[str]] | None = None
+
+    def known(self) -> tuple[frozenset[str], frozenset[str]]:
+        """The tags and names that have a weight, or stand for a place outside the main element."""
+        if self.ways is None:
+            of = lambda kind: frozenset(f.removeprefix(kind) for f in self.weights if f.startswith(kind))
+            self.ways = of("in=") | {"article", "main"}, of("name=")
+        return self.ways
 
     def sum(self, seen: tuple[str, ...]) -> float:
         """Weight of some features; places and wordings recur, so their sums are kept, up to a bound."""
@@ -219,8 +261,10 @@ def labelled_page(rng: np.random.Generator) -> tuple[str, list[str]]:
             return "<ul>" + "".join(f"<li>{keep(phrase(2, 12))}</li>" for _ in range(rng.integers(2, 5))) + "</ul>"
         if kind < 0.92:
             return f"<blockquote><p>{keep(sentence())}</p></blockquote>"
-        if kind < 0.96:
+        if kind < 0.94:
             return f"<p><b>{keep(sentence())}<br></p>"
+        if kind < 0.97:
+            return f'<p>{pick("", "<b>")}<a href="/{word()}">{keep(" ".join(sentence() for _ in range(rng.integers(1, 4))))}</a></p>'
         return f"<table><tr><td>{keep(phrase(1, 4))}</td><td>{keep(phrase(1, 4))}</td></tr></table>"
 
     def junk() -> str:
@@ -256,7 +300,7 @@ def labelled_page(rng: np.random.Generator) -> tuple[str, list[str]]:
         inner.append(comments())
     text = "".join(inner)
     frame = rng.random()
-    wrapped = f"<article>{text}</article>" if frame < 0.55 else f"<main>{text}</main>" if frame < 0.7 else f'<div class="{pick("content", "post", "entry", "story", "article", "text")}">{text}</div>' if frame < 0.9 else text
+    wrapped = f"<article>{text}</article>" if frame < 0.55 else f"<main>{text}</main>" if frame < 0.7 else f'<div class="{pick("content", "post", "entry", "story", "article", "text")}">{text}</div>' if frame < 0.9 else f"<div>{text}</div>" if frame < 0.95 else text
     closing = (comments() if rng.random() < 0.3 else "") + (junk() if rng.random() < 0.5 else "")
     foot = pick(f"<footer>&copy; {word()}.example &middot; {sentence()}</footer>", f'<div class="footer"><p>&copy; {phrase(2, 6)}</p></div>', f"<footer><ul>{links()}</ul><p>{sentence()}</p></footer>", "")
     return f"{head}{top}{opening}{wrapped}{closing}{foot}</body></html>", good
@@ -274,7 +318,7 @@ def trained(pages: int = 500, seed: int = 23) -> Field:
         rest, labels = list(good), []
         for t in texts:
             # Main texts come in page order; the title in the head is not one of them.
-            mine = bool(rest) and t == " ".join(html.unescape(rest[0]).split()) and "title" not in blocks[len(labels)].path
+            mine = bool(rest) and t == " ".join(html.unescape(rest[0]).split()) and "title" not in blocks[len(labels)].place.tags
             labels.append(int(mine))
             if mine:
                 rest.pop(0)
@@ -283,7 +327,7 @@ def trained(pages: int = 500, seed: int = 23) -> Field:
 
 
 def main_text(page: str, model: Field) -> str:
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, *model.known())
     texts = [b.text() for b in blocks]
     kept = [(b, t) for b, t in zip(blocks, texts) if t]
     if not kept:
@@ -296,7 +340,7 @@ def extracted_text(pages: DataFrame, id_column: str = "page_id", url_column: str
     """One row per input row: ``page_id, url, text, n_chars``.
 
     Null and empty pages, and pages without main text, have an empty text. Null ids and urls and repeated rows are kept;
-    other columns are not read; an empty table gives no rows. Cut-off pages are read as far as they go.
+    other columns are not read; an empty table gives no rows. Pages may be of any length and depth. Cut-off pages are read as far as they go.
     """
     model = model or trained()
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_column, url_column)]

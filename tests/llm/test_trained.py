@@ -1,9 +1,12 @@
 """Held-out accuracy of the trained models, and their odd cases."""
 
+import math
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +152,111 @@ def test_odd_pages(corpus):
     got = html_text.extracted_text(corpus.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()
     assert sorted(r.n_chars for r in got)[:2] == [0, 0] and max(r.n_chars for r in got) > 900_000
     assert html_text.extracted_text(corpus.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def noisy_or_by_hand(text, weights, bias):
+    """A document's score from its sentences, word by word."""
+    clean = 1.0
+    words, sentences = 0, []
+    for part in re.split(r"[.!?\n]", "".join(c.lower() if c.isascii() else c for c in text)):
+        found = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", part)
+        sentences += [found[k : k + toxicity.LONGEST] for k in range(0, len(found), toxicity.LONGEST)]
+    for words in sentences:
+        logit = bias + sum(max([weights.get(w, 0.0)] + [weights.get(w.encode()[:n], 0.0) for n in toxicity.PREFIXES if len(w.encode()) > n]) for w in words)
+        clean *= 1 - 1 / (1 + np.exp(-logit))
+    return 1 - clean
+
+
+def test_scores_are_the_noisy_or_of_sentences(corpus):
+    words = {"vile": 6.0, "scum": 3.5, "nasty": 2.0, "bös": 4.0}
+    stems = {b"hate": 5.0, b"scumb": 4.5}
+    from modelward.llm.arrays import FOLDED, word_blocks
+
+    def of(word, prefix=None):
+        (_, _, h, *_), = word_blocks(pa.array([word]), FOLDED, toxicity.GAPS, toxicity.PREFIXES)
+        return h[0, 0 if prefix is None else 1 + toxicity.PREFIXES.index(prefix)]
+
+    keys = {of(w): v for w, v in words.items()} | {of(s.decode() + "zzzz", len(s)): v for s, v in stems.items()}
+    order = sorted(keys)
+    model = toxicity.Model(np.array(order, np.uint64), np.array([keys[k] for k in order], np.float32), -4.0)
+    texts = ["Vile scum! Nasty, nasty day.", "hateful words " * 60, "clean. text\nhere", "", "böse BÖS bös", "scumbag " + "x " * 31 + "vile", "vile" * 9, "a.b!c?d " * 50 + "nasty scum hateful"]
+    got = toxicity.toxicity_scores(corpus.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for r, t in zip(got, texts):
+        assert r.score == pytest.approx(noisy_or_by_hand(t, words | stems, -4.0), abs=1e-6), t
+
+
+@pytest.mark.parametrize("share", [0.05, 0.45, 0.55, 0.9])
+def test_toxicity_is_learnt_at_any_share_of_toxic_labels(share):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    texts, labels = [], []
+    for _ in range(800):
+        toxic = rnd.random() < share
+        texts.append(" ".join([word() for _ in range(40)] + (["vilezz"] if toxic else []) + [word() for _ in range(10)]) + ".")
+        labels.append(int(toxic))
+    model = toxicity.fitted(pa.array(texts), np.array(labels))
+    right = []
+    for first, last, hashes, heads, sentences, _, _ in toxicity.instances(pa.array(texts)):
+        scores = -np.expm1(toxicity.clean_odds(toxicity.sentence_logits(model, hashes, heads), sentences))
+        right += [(s >= 0.5) == bool(y) for s, y in zip(scores, labels[first:last])]
+    assert np.mean(right) > 0.97
+
+
+def test_training_runs_in_a_task(made):
+    docs, labels = made
+    own = toxicity.fitted(*(lambda t: (t["text"].combine_chunks().chunk(0), t["label"].to_numpy()))(labelled_sample(docs, labels, "toxic", toxicity.TRAIN_ROWS, toxicity.TRAIN_BYTES)))
+    far = toxicity.trained(docs, labels)
+    assert far.bias == own.bias and (far.keys == own.keys).all() and (far.weights == own.weights).all()
+    assert toxicity.trained(docs.where("false"), labels).constant == 0.5
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body><div><p>One two three four. Five six.</p><p>Seven eight nine ten eleven.</p></div></body>", "One two three four. Five six.\nSeven eight nine ten eleven."),
+        ('<article><h1>Title here</h1><p>One two three four five. Six seven.</p><p><a href="/x">All of this sentence is a link. And this one too.</a></p><p>The end of it is here.</p></article>',
+         "Title here\nOne two three four five. Six seven.\nAll of this sentence is a link. And this one too.\nThe end of it is here."),
+        ("<article><p class='a\"b' title=\"it's\">One two three four. Five.</p><a 'x\">Six seven eight nine.</a></article>", "One two three four. Five.\nSix seven eight nine."),
+    ],
+)
+def test_plain_containers_and_linked_paragraphs(page, want):
+    assert html_text.main_text(page, html_text.trained()) == want
+
+
+@pytest.mark.parametrize("page", [
+    "<div><p>" * 100_000 + "deep text", "<span><div>" * 100_000, "<a 'x\">" * 100_000, '<a x="y>' * 100_001, "".join(f"<t{i} class=c{i}>x" for i in range(100_000)), "<span>" * 100_000 + "<div></div>" * 100_000,
+    "<span>" * 100_000 + "</div>" * 100_000, "<" * 1_000_000, "<a " + "class" * 200_000, "<p>" + "<!--" * 200_000, "<td><li>" * 100_000,
+])
+def test_deep_and_broken_pages_take_seconds(page):
+    model = html_text.trained()
+    began = time.time()
+    html_text.main_text(page, model)
+    assert time.time() - began < 20
+
+
+def convolved_by_hand(params, text):
+    """The network's score, filter by filter and byte by byte."""
+    data = list(text.encode()) + [0] * max(0, quality.WIDTH - len(text.encode()))
+    places = [[params["embed"][b].tolist() for b in data[a : a + quality.WIDTH]] for a in range(0, len(data) - quality.WIDTH + 1, quality.STRIDE)]
+    filters = params["filters"].reshape(quality.WIDTH, quality.EMBED, quality.FILTERS)
+    best, mean = [], []
+    for f in range(quality.FILTERS):
+        own = filters[:, :, f].tolist()
+        response = [sum(x * w for byte, row in zip(place, own) for x, w in zip(byte, row)) for place in places]
+        pieces = [max(response[a : a + quality.PIECE]) for a in range(0, len(response), quality.PIECE)]
+        chunks = [max(x) for x in zip(pieces, pieces[1:])] or pieces
+        act = [math.tanh(c + params["shift"][f]) for c in chunks]
+        best.append(max(act))
+        mean.append(sum(act) / len(act))
+    return 1 / (1 + math.exp(-(sum(x * w for x, w in zip(best + mean, params["out"].tolist())) + params["bias"][0])))
+
+
+def test_quality_scores_by_hand(corpus):
+    network = quality.started(4)
+    network.params["shift"] += 0.1
+    network.params["out"] *= 5
+    texts = ["", "a", "seven b", "Exactly8", "some words, böse %% | and more. " * 3, "x" * 300, "chunk after chunk of text; " * 40]
+    got = quality.quality_scores(corpus.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), network).orderBy("doc_id").collect()
+    for r, t in zip(got, texts):
+        assert r.score == pytest.approx(convolved_by_hand(network.params, t), abs=1e-5)
+        assert r.predicted == int(r.score >= 0.3)

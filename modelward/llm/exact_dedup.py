@@ -28,7 +28,7 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     hash stay apart. Copies shrink to one row per task before the only shuffle of texts; what is joined back to the rows
     carries no texts. The row with the most code points stays, then the smallest id.
 
-    Null text counts as empty, and empty texts are equal to each other. A null id takes part in its group but is never
+    Ids may be of any type that has an order, texts of any length. Null text counts as empty, and empty texts are equal to each other. A null id takes part in its group but is never
     the one that stays unless the whole group has none. Rows repeated with one id are counted each; ``kept`` is true for
     all rows with the id that stays. Other columns are not read; an empty table gives no rows.
     """
@@ -39,8 +39,8 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     # so this stays a hash aggregate.
     variants = rows.groupBy("_hash", "_text", "_points").agg(F.count(F.lit(1)).alias("_rows"), F.min("doc_id").alias("_least"))
     variants = variants.select("_hash", F.sha2(text.cast("binary"), 256).alias("_sha"), "_points", "_rows", "_least")
-    preference = F.struct(F.col("_least").isNotNull().alias("has"), F.col("_points").alias("points"), (-F.col("_least").cast("decimal(20,0)")).alias("order"))
-    groups = variants.groupBy("_hash", "_sha").agg(F.sum("_rows").alias("group_size"), F.max_by("_least", preference).alias("keep_id"))
+    preference = F.struct(F.col("_least").isNull().alias("none"), (-F.col("_points")).alias("points"), F.col("_least").alias("order"))
+    groups = variants.groupBy("_hash", "_sha").agg(F.sum("_rows").alias("group_size"), F.min_by("_least", preference).alias("keep_id"))
     light = rows.select("doc_id", "_hash", F.sha2(text.cast("binary"), 256).alias("_sha"))
     joined = light.join(groups, ["_hash", "_sha"])
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256"))

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
 
+from modelward.llm.arrays import whole_ids
 from modelward.session import fresh_folder
 
 #: Rows of a block; it has one zone map.
@@ -153,8 +153,7 @@ class Best:
 def integer_vectors(vectors: DataFrame, is_anchor: Column, scale: int, id_column: str, label_column: str, vector_column: str) -> DataFrame:
     """``vec_id, label, vector, anchor`` of the rows that take part; components are whole numbers."""
     for name in (id_column, label_column):
-        if not isinstance(vectors.select(name).schema[0].dataType, IntegralType):
-            raise TypeError(f"{name} must hold whole numbers")
+        whole_ids(vectors, name)
     vector = F.col(vector_column)
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull() & vector.isNotNull() & finite)

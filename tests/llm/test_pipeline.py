@@ -1,7 +1,13 @@
 """The pipeline's stages on odd rows, and a run against the stages' own results."""
 
+import hashlib
+import math
 import os
+import re
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
@@ -46,3 +52,83 @@ def test_decontamination_goes_by_rows(corpus):
     docs = corpus.createDataFrame(rows, "doc_id long, text string").repartition(2)
     got = {(r.doc_id, r.text) for r in pipeline.without_benchmark(corpus, docs, FOLDER).collect()}
     assert got == {r for r in rows if r[1] not in items}
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_near_stage_against_brute_force(corpus):
+    docs = corpus.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = docs.collect()
+    sets = {}
+    for r in rows:
+        w = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+    up = {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(i for i, s in sets.items() if s)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if min(len(sets[a]), len(sets[b])) * 10 >= 8 * max(len(sets[a]), len(sets[b])):
+                common = len(sets[a] & sets[b])
+                if 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                    x, y = sorted((top(a), top(b)))
+                    up[y] = x
+    kept = pipeline.without_near_copies(corpus, docs, FOLDER).collect()
+    assert sorted(kept) == sorted(r for r in rows if top(r.doc_id) == r.doc_id)
+
+
+def mixed_by_hand(rows):
+    """How often each document comes, by rounds of sharing and then by the seeded order."""
+    size = {i: len(words_of(t)) for i, t, _ in rows}
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[i] for i, _, x in rows if x == s) for s in names}
+    weight, full = {s: k % 3 + 1 for k, s in enumerate(names)}, {}
+    while True:
+        open_ = [s for s in names if s not in full]
+        level = (sum(total.values()) - sum(full.values())) / (sum(weight[s] for s in open_) or 1)
+        over = {s: 3.0 * total[s] for s in open_ if level * weight[s] > 3 * total[s]}
+        if not over:
+            break
+        full |= over
+    copies = {}
+    for s in names:
+        goal = math.floor(full.get(s, level * weight[s]) + 0.5) if total[s] else 0
+        whole, rest = divmod(goal, total[s]) if total[s] else (0, 0)
+        mine = sorted((hashlib.md5(f"17:{i}".encode()).hexdigest(), size[i], i) for i, _, x in rows if x == s)
+        for _, n, i in mine:
+            taken = whole * n + max(0, min(n, rest))
+            rest -= n
+            copies[i] = math.floor(taken / n + 0.5) if n else 1
+    return copies
+
+
+def test_mixing_stage_by_hand(corpus):
+    docs = corpus.read.parquet(f"{FOLDER}/documents.parquet")
+    want = mixed_by_hand([(r.doc_id, r.text, r.source) for r in docs.collect()])
+    got = Counter(r.doc_id for r in pipeline.mixed_sources(corpus, docs, FOLDER).select("doc_id").collect())
+    assert got == {i: n for i, n in want.items() if n}
+    rows = [(1, "a b c", "x"), (2, "d", "y"), (3, None, "y"), (4, " ", None), (5, "e f g h i j k l", None), (6, "m n", "x")]
+    small = corpus.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter(r.doc_id for r in pipeline.mixed_sources(corpus, small, FOLDER).collect())
+    assert got == {i: n for i, n in mixed_by_hand(rows).items() if n}
+
+
+def test_token_stage_against_the_library(corpus):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = corpus.read.parquet(f"{FOLDER}/documents.parquet").repartition(5)
+    want, start = [], 0
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 2]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in pipeline.token_files(corpus, docs, FOLDER).collect()) == want

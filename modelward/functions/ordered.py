@@ -173,25 +173,31 @@ def max_before(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str],
 def islands(df: DataFrame, key: str, ts: str, tie: str, flag: str, bucket_seconds: int = 3600) -> DataFrame:
     """Runs of consecutive rows with ``flag`` set, per key in time order: first and last time and row count.
 
-    A run may span buckets: each bucket learns the last flag before it and how many runs began before it.
+    A run may span buckets. Rows are shuffled once, by key and bucket; a bucket's summary has its first and last flag and the
+    runs that begin inside it, from which the pass along the key tells each bucket what it continues and how many runs began
+    before. Rows without a time come first.
     """
-    rows = df.select(key, ts, tie, F.coalesce(F.col(flag), F.lit(False)).alias("_f"))
-    begun = with_previous(rows, [key], ts, [tie], {"_f": "_was"}, bucket_seconds).select(
-        "*", _time_bucket(ts, bucket_seconds).alias("_b"), (F.col("_f") & ~F.coalesce("_was", F.lit(False))).cast("long").alias("_start")
-    )
-    along = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        begun.groupBy(key, "_b")
-        .agg(F.sum("_start").alias("_s"))
-        .select(key, "_b", F.coalesce(F.sum("_s").over(along), F.lit(0)).alias("_before"))
-    )
-    inside = Window.partitionBy(key, "_b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    bucket = F.coalesce(_time_bucket(ts, bucket_seconds), F.lit(-(1 << 62)))
+    set_ = F.coalesce(F.col(flag), F.lit(False)).alias("_f")
+    rows = df.select(F.struct(F.col(key).alias("key")).alias("_k"), bucket.alias("_b"), F.col(ts).alias("_ts"), F.col(tie).alias("_tie"), set_).repartition("_k", "_b")
+    inside = Window.partitionBy("_k", "_b").orderBy("_ts", "_tie")
+    # whether the first row of a bucket begins a run is open until the bucket before is known
+    rows = rows.withColumn("_was", F.lag("_f").over(inside)).withColumn("_start", (F.col("_f") & ~F.coalesce("_was", F.lit(True))).cast("long"))
+    at = F.struct("_ts", "_tie")
+    parts = rows.groupBy("_k", "_b").agg(F.min_by("_f", at).alias("_first"), F.max_by("_f", at).alias("_last"), F.sum("_start").alias("_inner"))
+    along = Window.partitionBy("_k").orderBy("_b")
+    parts = parts.withColumn("_on", F.coalesce(F.lag("_last").over(along), F.lit(False)))
+    begun = F.sum(F.col("_inner") + (F.col("_first") & ~F.col("_on")).cast("long")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("_k", "_b", "_on", F.coalesce(begun, F.lit(0)).alias("_before"))
+    start = F.when(F.col("_was").isNull(), (F.col("_f") & ~F.col("_on")).cast("long")).otherwise(F.col("_start"))
     return (
-        null_safe_join(begun, offsets, [key, "_b"])
-        .withColumn("run_no", F.col("_before") + F.sum("_start").over(inside))
+        rows.join(parts, ["_k", "_b"])
+        .withColumn("_start", start)
+        .withColumn("run_no", F.col("_before") + F.sum("_start").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .where("_f")
-        .groupBy(key, "run_no")
-        .agg(F.min(ts).alias("run_start"), F.max(ts).alias("run_end"), F.count(F.lit(1)).alias("rows_in_run"))
+        .groupBy("_k", "run_no")
+        .agg(F.min("_ts").alias("run_start"), F.max("_ts").alias("run_end"), F.count(F.lit(1)).alias("rows_in_run"))
+        .select(F.col("_k.key").alias(key), "run_no", "run_start", "run_end", "rows_in_run")
     )
 
 

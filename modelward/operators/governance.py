@@ -80,8 +80,10 @@ def approval_listing(approvals: DataFrame, models: DataFrame, projects: DataFram
     return approvals.where(F.col("status").isin(*status)).join(models, "model_id", "left").join(named, "project_id", "left")
 
 
-def project_listing(projects: DataFrame, include_archived: bool = False) -> DataFrame:
-    return projects if include_archived else projects.where(~F.coalesce(F.col("is_archived"), F.lit(False)))
+def project_listing(projects: DataFrame, include_archived: bool = False, newest_by: str | None = None) -> DataFrame:
+    """Projects, without the archived ones unless asked for; newest first by the given time, those without one last."""
+    rows = projects if include_archived else projects.where(~F.coalesce(F.col("is_archived"), F.lit(False)))
+    return rows.orderBy(F.desc_nulls_last(newest_by), "project_id") if newest_by else rows
 
 
 def approval_summary(approvals: DataFrame) -> DataFrame:

@@ -284,6 +284,26 @@ def data_version_manifest(w):
     return sn.version_manifest(rows, parts, quality, "c0de").select("project_id", "total_rows", F.size("sources").alias("sources"), "parts")
 
 
+@R.add("data_versions", """WITH src AS (SELECT concat('p', l_suppkey) AS project_id, concat('lines_', l_linenumber) AS source_table, count(*) AS row_count FROM lineitem GROUP BY 1, 2),
+js AS (SELECT project_id, '[' || string_agg('{"source_table":"' || source_table || '","source_version":1,"row_count":' || row_count || '}', ',' ORDER BY source_table) || ']' AS sources, CAST(sum(row_count) AS BIGINT) AS total_rows FROM src GROUP BY 1),
+pa AS (SELECT project_id, '[' || string_agg('"' || d || '"', ',' ORDER BY d) || ']' AS parents FROM (SELECT DISTINCT concat('p', l_suppkey) AS project_id, l_returnflag AS d FROM lineitem WHERE l_tax > 0.07) z GROUP BY 1)
+SELECT js.project_id, sources, total_rows, CASE WHEN s_acctbal < 2000 THEN 'poor' ELSE 'good' END AS quality_status, 'c0de' AS code_hash, coalesce(parents, '[]') AS parent_datasets, sha256(concat(js.project_id, ':', sources, ':c0de:', coalesce(parents, '[]'))) AS data_version_id
+FROM js LEFT JOIN pa ON pa.project_id = js.project_id LEFT JOIN supplier ON concat('p', s_suppkey) = js.project_id""")
+def data_versions(w):
+    project = F.concat(F.lit("p"), F.col("l_suppkey")).alias("project_id")
+    rows = w.lineitem.groupBy(project, F.concat(F.lit("lines_"), F.col("l_linenumber")).alias("source_table")).agg(F.count(F.lit(1)).alias("row_count"), F.lit(1).cast("long").alias("source_version"))
+    quality = w.projects.select("project_id", F.when(F.col("balance") < 2000, "poor").otherwise("good").alias("quality_status"))
+    parents = w.lineitem.where("l_tax > 0.07").select(project, F.col("l_returnflag").alias("parent_dataset"))
+    out = sn.version_manifest(rows, w.projects.select("project_id"), quality, "c0de", parents)
+    return out.select("project_id", F.to_json("sources").alias("sources"), "total_rows", "quality_status", "code_hash", F.to_json("parent_datasets").alias("parent_datasets"), "data_version_id")
+
+
+@R.add("scanned_table", "SELECT o_orderkey, o_orderstatus FROM orders")
+def scanned_table(w):
+    w.orders.createOrReplaceTempView("modelward_scanned_orders")
+    return tb.scan(w.spark, "modelward_scanned_orders").select("o_orderkey", "o_orderstatus")
+
+
 @R.add("recorded_pass", "SELECT 'score' AS job_name, count(*) AS rows_examined, count(*) FILTER (o_orderstatus = 'P') AS rows_changed, 'ok' AS status FROM orders")
 def recorded_pass(w):
     root = fresh_folder(w.spark, "passes")

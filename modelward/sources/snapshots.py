@@ -85,14 +85,18 @@ def read_current(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(newest["path"])
 
 
-def version_manifest(manifest_rows: DataFrame, lineage: DataFrame, quality: DataFrame, code_hash: str) -> DataFrame:
-    """Data-version record per project: its sources with versions and counts, downstream models, quality and code hash."""
+def version_manifest(manifest_rows: DataFrame, lineage: DataFrame, quality: DataFrame, code_hash: str, parents: DataFrame | None = None) -> DataFrame:
+    """Data-version record per project: its sources with versions and counts, downstream models, quality and code hash.
+
+    ``parents`` (project_id, parent_dataset) are the data versions it was made from; they are listed, and part of its id.
+    """
     sources = manifest_rows.groupBy("project_id").agg(
         F.sort_array(F.collect_list(F.struct("source_table", "source_version", "row_count"))).alias("sources"), F.sum("row_count").alias("total_rows")
     )
-    return (
-        sources.join(lineage, "project_id", "left")
-        .join(quality, "project_id", "left")
-        .withColumn("code_hash", F.lit(code_hash))
-        .withColumn("data_version_id", F.sha2(F.concat_ws(":", "project_id", F.to_json("sources"), "code_hash"), 256))
-    )
+    rows = sources.join(lineage, "project_id", "left").join(quality, "project_id", "left").withColumn("code_hash", F.lit(code_hash))
+    named = ["project_id", F.to_json("sources"), "code_hash"]
+    if parents is not None:
+        listed = parents.groupBy("project_id").agg(F.sort_array(F.collect_set("parent_dataset")).alias("parent_datasets"))
+        rows = rows.join(listed, "project_id", "left").withColumn("parent_datasets", F.coalesce("parent_datasets", F.array().cast("array<string>")))
+        named.append(F.to_json("parent_datasets"))
+    return rows.withColumn("data_version_id", F.sha2(F.concat_ws(":", *named), 256))

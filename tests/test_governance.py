@@ -330,3 +330,9 @@ def test_open_price_reaches_past_the_last_bucket(spark):
     for until in (None, "1999-01-01", "2003-05-05", "2100-01-01"):
         for salts in (1, 3):
             assert cost.price_in_force(usage, prices, salts=salts, until=until).count() == 38
+
+
+def test_projects_are_listed_newest_first(spark):
+    rows = spark.createDataFrame([("a", False, 1), ("b", None, 3), ("c", True, 9), ("d", False, None), ("e", False, 3)], "project_id STRING, is_archived BOOLEAN, created INT")
+    assert [r.project_id for r in g.project_listing(rows, newest_by="created").collect()] == ["b", "e", "a", "d"]
+    assert [r.project_id for r in g.project_listing(rows, True, "created").collect()] == ["c", "b", "e", "a", "d"]

@@ -167,6 +167,14 @@ def stream_ticks(w):
     return drain(w, rows.select("event_id", "event_type", "value", "tick"))
 
 
+@R.add("stream_period_samples", """SELECT strftime(period, '%Y-%m-%d') AS period, event_id FROM (SELECT date_trunc('day', ts) AS period, event_id, row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) AS rn FROM events) z
+    WHERE rn <= 3 AND period + INTERVAL 1 DAY < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stream_period_samples(w):
+    own = beside(w)
+    rows = arrivals(own, own.events.select("event_id", "ts"), third("ts", "2024-01-11", "2024-01-21"))
+    return drain(w, keyed.period_samples(rows, "event_id", "ts", 86400, 3, "1 hour")).select(stamp("period", "yyyy-MM-dd").alias("period"), "event_id")
+
+
 @R.add("stream_review_sample", f"SELECT event_id FROM events WHERE {DRAW.format(k='event_id')} < 500")
 def stream_review_sample(w):
     return drain(w, review_sample(stream(w, "events").select("event_id"), "event_id", 0.05))

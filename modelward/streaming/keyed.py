@@ -1,4 +1,6 @@
-"""Operators that keep state of their own per key: votes of a gate, the silence of an alert, rows behind the watermark."""
+"""Operators that keep state of their own per key: votes of a gate, the silence of an alert, the sample of a period, rows
+behind the watermark.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +8,7 @@ import time
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
@@ -126,6 +129,69 @@ def firings(stream: DataFrame, key: str, ts: str, silence_seconds: int, delay: s
     return fired.select(F.col("key").alias(key), F.timestamp_micros("at").cast(kind).alias(ts))
 
 
+class PeriodSample(StatefulProcessor):
+    """State of one period: the rows drawn so far; they are given out when the watermark has passed its end."""
+
+    def __init__(self, size: int, width: int, key_type: str) -> None:
+        self.size, self.width, self.key_type = size, width, key_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.drawn = handle.getValueState("drawn", f"draws array<string>, ids array<{self.key_type}>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.drawn.get()
+        fresh = {(r.draw, r.id) for r in rows if r.draw is not None}
+        if fresh:
+            if held is None:
+                self.handle.registerTimer((key[0] + self.width) // 1000)
+            best = sorted({*fresh, *(zip(*held) if held else ())})[: self.size]
+            self.drawn.update(([d for d, _ in best], [i for _, i in best]))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        _, ids = self.drawn.get()
+        self.drawn.clear()
+        for i in ids:
+            yield Row(period=key[0], id=i)
+
+    def close(self) -> None:
+        pass
+
+
+def period_samples(stream: DataFrame, key: str, ts: str, seconds: int, size: int, delay: str) -> DataFrame:
+    """``period, key``: of each period, the ``size`` ids that come first by a hash, once the watermark has passed its end.
+
+    Each task cuts what it has read to ``size`` rows per period before they are shuffled, so a busy period sends few rows to
+    its state. Rows behind the watermark, and those without an id or time, are never drawn; an id counts once.
+    """
+    ship_package(stream.sparkSession)
+    kind, width = stream.schema[key].dataType.simpleString(), seconds * 1_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = stream.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select((F.floor(at / width) * width).cast("long").alias("period"), F.md5(F.col(key).cast("string")).alias("draw"), F.col(key).alias("id"), at.alias("at"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, set] = {}
+        last, schema = None, None
+        for batch in batches:
+            schema = batch.schema
+            for period, draw, i, when in zip(*(c.to_pylist() for c in batch.columns)):
+                mine = best.setdefault(period, set())
+                mine.add((draw, i, when))
+                if len(mine) > 4 * size + 64:
+                    best[period] = set(sorted(mine)[:size])
+                last = when if last is None else max(last, when)
+        if last is not None:
+            found = [(p, *row) for p, mine in best.items() for row in sorted(mine)[:size]]
+            # the latest time read moves the watermark, whether or not its row is drawn
+            found.append((last // width * width, None, None, last))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
+    few = rows.mapInArrow(cut, f"period bigint, draw string, id {kind}, at bigint").withColumn("_ts", F.timestamp_micros("at")).withWatermark("_ts", delay)
+    drawn = few.groupBy("period").transformWithState(PeriodSample(size, width, kind), f"period bigint, id {kind}", "Append", "EventTime")
+    return drawn.select(F.timestamp_micros("period").alias("period"), F.col("id").alias(key))
+
+
 def with_lateness(stream: DataFrame, ts: str, delay: str, slots: int = 64) -> DataFrame:
     """All rows, with ``late`` true for those behind the watermark when they came: the largest time of earlier batches less
     the delay.

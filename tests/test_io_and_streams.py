@@ -1,6 +1,7 @@
 import time
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from modelward.functions.identifiers import UnsafeName
@@ -282,3 +283,18 @@ def test_ticks_go_on_after_a_restart(spark, tmp_path):
     rows = [(r.n, r.v, r.tick) for r in spark.read.parquet(f"{folder}/data").collect()]
     assert sorted(rows) == [(n, 3 * n, 0 if n < 10 else 1 + (n - 10) // 2) for n in range(40)]
     assert len(list((tmp_path / "out" / "data").iterdir())) > 1
+
+
+def test_period_samples_come_when_the_period_is_over(spark, tmp_path):
+    start, hour = 1704067200, 3600
+    rows = spark.range(3000).select(F.concat(F.lit("r"), F.col("id") % 900).alias("k"), F.timestamp_seconds(F.lit(start) + F.col("id") * 5).alias("ts"))
+    rows = rows.union(spark.sql("SELECT NULL, timestamp_seconds(1704067200) UNION ALL SELECT 'x', NULL"))
+    cut = F.coalesce(F.unix_seconds("ts") < start + 2 * hour, F.lit(True))
+    ticks(spark, f"{tmp_path}/e", [rows.where(cut), rows.where(~cut)])
+    own = jobs.stream_session(spark, 2)
+    got = jobs.drain(keyed.period_samples(jobs.read_stream(own, f"{tmp_path}/e", 1), "k", "ts", hour, 4, "10 minutes"), spark=spark)
+    best = Window.partitionBy("p").orderBy("d")
+    want = rows.where("k IS NOT NULL AND ts IS NOT NULL").select("k", F.date_trunc("hour", "ts").alias("p"), F.md5("k").alias("d")).distinct().withColumn("n", F.row_number().over(best))
+    # the watermark ends 10 minutes before the last row: four hours are over, the last one is not
+    want = want.where(f"n <= 4 AND unix_seconds(p) + {hour} <= {start + 2999 * 5 - 600}")
+    assert sorted((r.period, r.k) for r in got.collect()) == sorted((r.p, r.k) for r in want.collect()) and want.count() == 12

@@ -204,7 +204,7 @@ def test_toxicity_is_learnt_at_any_share_of_toxic_labels(share):
 
 def test_training_runs_in_a_task(made):
     docs, labels = made
-    own = toxicity.fitted(*(lambda t: (t["text"].combine_chunks().chunk(0), t["label"].to_numpy()))(labelled_sample(docs, labels, "toxic", toxicity.TRAIN_ROWS, toxicity.TRAIN_BYTES)))
+    own = toxicity.fitted(*(lambda t: (t["text"].combine_chunks(), t["label"].to_numpy()))(labelled_sample(docs, labels, "toxic", toxicity.TRAIN_ROWS, toxicity.TRAIN_BYTES)))
     far = toxicity.trained(docs, labels)
     assert far.bias == own.bias and (far.keys == own.keys).all() and (far.weights == own.weights).all()
     assert toxicity.trained(docs.where("false"), labels).constant == 0.5

@@ -441,14 +441,31 @@ PROXY_WORDS = {
     "birth": "Age",
 }
 
-# Personal data in free text; whole texts are searched. Lengths are bounded (as in addresses themselves), so
-# that a long run of letters costs a fixed number of steps per character.
+# Personal data in free text: what may be one, and a substring without which none is there. Whole texts are
+# searched. Lengths are bounded (as in addresses themselves), so that a long run of letters costs a fixed number of steps per
+# character; numbers may not go on in digits on either side.
 PII_PATTERNS = {
     "email": (r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,}", "@"),
-    "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-"),
-    "phone": (r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", None),
-    "card": (r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", None),
-    "ip": (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "."),
+    "ssn": (r"(?<![0-9]|[0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9])", "-"),
+    "phone": (r"(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", None),
+    "card": (r"(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9])", None),
+    "ip": (r"(?<![0-9]|[0-9]\.)[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])", "."),
+}
+
+
+def _check_digit(number: Column) -> Column:
+    """Whether the last digit of a card number fits the others: every second one counts twice, its digits added."""
+    digits = F.transform(F.split(F.regexp_replace(number, "[^0-9]", ""), ""), lambda d: d.cast("int"))
+    doubled = F.transform(F.reverse(digits), lambda d, i: F.when(i % 2 == 1, F.when(d > 4, 2 * d - 9).otherwise(2 * d)).otherwise(d))
+    return F.aggregate(doubled, F.lit(0), lambda a, d: a + d) % 10 == 0
+
+
+# Numbers that are never given out, and numbers out of their range.
+PII_CHECKS = {
+    "ssn": lambda x: ~x.rlike("^(000|666|9..)-|-00-|-0000$"),
+    "phone": lambda x: ~x.rlike(r"^\(?[01]"),
+    "card": _check_digit,
+    "ip": lambda x: F.forall(F.split(x, "[.]"), lambda part: part.cast("int") <= 255),
 }
 
 
@@ -469,12 +486,18 @@ def tag_columns(catalog: DataFrame, name: str = "column_name") -> DataFrame:
 
 
 def scan_pii(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Hits of each kind of personal data per text column, all in one pass over whole texts."""
+    """Hits of each kind of personal data per text column, all in one pass over whole texts.
+
+    Numbers count if they stand alone and can be what they look like: by the ranges of their parts, or their check digit.
+    """
     aggs, entries = [F.count(F.lit(1)).alias("_n")], []
     for c in columns:
         for kind, (pattern, guard) in PII_PATTERNS.items():
             # a cheap substring test spares most rows the pattern
-            hits = F.regexp_count(F.col(c), F.lit(pattern))
+            if kind in PII_CHECKS:
+                hits = F.size(F.filter(F.regexp_extract_all(F.col(c), F.lit(pattern), F.lit(0)), PII_CHECKS[kind]))
+            else:
+                hits = F.regexp_count(F.col(c), F.lit(pattern))
             hits = F.when(F.col(c).contains(guard), hits) if guard else hits
             hits = F.coalesce(hits, F.lit(0))
             aggs += [F.sum(hits).alias(f"_h_{c}_{kind}"), count_where(hits > 0).alias(f"_r_{c}_{kind}")]

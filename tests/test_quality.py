@@ -102,6 +102,19 @@ def test_pii_in_whole_texts(spark):
     assert rows["email"] == 2 and rows["ssn"] == 1 and rows["ip"] == 1 and rows["card"] == 1
 
 
+@pytest.mark.parametrize("kind, good, bad", [
+    ("ssn", "123-45-6789. 001-01-0001", "000-12-3456 666-12-3456 912-12-3456 123-00-4567 123-45-0000 1123-45-6789 123-45-67890 12-123-45-6789 123-45-6789-1"),
+    ("ip", "0.0.0.0, 255.255.255.255. (10.0.0.1) v1.2.3.4", "256.1.1.1 1.2.3.400 1.2.3.4.5 1.2.3 1999.1.1.1"),
+    ("card", "4111111111111111 (5500-0000-0000-0004) 4111 1111 1111 1111", "4111111111111112 41111111111111111 94111111111111111 411111111111111"),
+    ("phone", "+1 (743) 555-3824, 743.555.3824 743-555-3824", "043-555-3824 143 555 3824 7743-555-3824 743-555-38245"),
+    ("email", "a.b@example.org c@d.io", "a@b @example.org a@b.c"),
+])
+def test_numbers_that_cannot_be_personal_data(spark, kind, good, bad):
+    df = spark.createDataFrame([(1, good), (2, bad)], "id INT, t STRING")
+    count = lambda i: {r.kind: r.hits for r in q.scan_pii(df.where(f"id = {i}"), ["t"]).collect()}[kind]
+    assert count(1) == {"ssn": 2, "ip": 4, "card": 3, "phone": 3, "email": 2}[kind] and count(2) == 0
+
+
 def test_suppression(spark):
     out = q.suppress_pii(spark.createDataFrame([("Ab1", "x", 3)], "a STRING, b STRING, c INT"), {"a": "mask", "b": "hash", "c": "drop"}).first()
     assert out.a == "Xxn" and len(out.b) == 64 and len(out) == 2

@@ -17,11 +17,11 @@ from modelward.streaming import jobs, keyed
 R = Registry()
 
 
-def beside(w):
+def beside(w, on_disk=False):
     """The same tables in a session for streams."""
     # on one machine, more state partitions than cores only cost time
     sc = w.spark.sparkContext
-    return Workload(jobs.stream_session(w.spark, sc.defaultParallelism if sc.master.startswith("local") else None), w.folder)
+    return Workload(jobs.stream_session(w.spark, sc.defaultParallelism if sc.master.startswith("local") else None, on_disk), w.folder)
 
 
 def stream(w, table):
@@ -103,7 +103,7 @@ def stream_sla_breaches(w):
     FROM cl LEFT JOIN fv f ON f.approval_id = cl.approval_id AND (cl.closed_at IS NULL OR (f.event_time, f.event_id) <= cl.closed_at)
     WHERE cl.approval_id IN (SELECT approval_id FROM vote_log) GROUP BY cl.approval_id, cl.required_count, cl.status, cl.closed_at"""))
 def stream_gate_states(w):
-    own = beside(w)
+    own = beside(w, on_disk=True)
     votes = arrivals(own, own.vote_log.where("approval_id IS NOT NULL"), third("event_time", "1997-05-01", "1999-09-01"))
     out = drain(w, keyed.gate_votes(votes, own.approvals.select("approval_id", "required_count")), "update", ["approval_id"])
     voted = w.vote_log.select("approval_id").distinct()
@@ -122,7 +122,7 @@ def stream_alert_once_per_day(w):
 f AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY user_id UNION ALL SELECT f.user_id, min(e.ts) FROM f JOIN e ON e.user_id = f.user_id AND e.ts >= f.ts + INTERVAL 24 HOUR GROUP BY f.user_id, f.ts)
 SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS fired FROM f""")
 def stream_alert_firings(w):
-    own = beside(w)
+    own = beside(w, on_disk=True)
     rows = arrivals(own, own.events.where("event_type = 'error'").select("user_id", "ts"), third("ts", "2024-01-11", "2024-01-21"))
     return drain(w, keyed.firings(rows, "user_id", "ts", 24 * 3600, "1 hour")).select("user_id", stamp("ts").alias("fired"))
 
@@ -170,7 +170,7 @@ def stream_ticks(w):
 @R.add("stream_period_samples", """SELECT strftime(period, '%Y-%m-%d') AS period, event_id FROM (SELECT date_trunc('day', ts) AS period, event_id, row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) AS rn FROM events) z
     WHERE rn <= 3 AND period + INTERVAL 1 DAY < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_period_samples(w):
-    own = beside(w)
+    own = beside(w, on_disk=True)
     rows = arrivals(own, own.events.select("event_id", "ts"), third("ts", "2024-01-11", "2024-01-21"))
     return drain(w, keyed.period_samples(rows, "event_id", "ts", 86400, 3, "1 hour")).select(stamp("period", "yyyy-MM-dd").alias("period"), "event_id")
 

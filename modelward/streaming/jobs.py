@@ -18,16 +18,18 @@ from modelward.functions.identifiers import check_table
 from modelward.session import fresh_folder
 
 
-def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
-    """A session for streams beside the given one: its settings, a state store on disk, and the number of state partitions.
+def stream_session(spark: SparkSession, state_partitions: int | None = None, on_disk: bool = True) -> SparkSession:
+    """A session for streams beside the given one: its settings, the number of state partitions, and where state is held.
 
-    A stream's state keeps for good the number of partitions it starts with, so that belongs to the stream's own session.
+    A stream's state keeps for good the number of partitions it starts with, so that belongs to the stream's own session. State
+    on disk has room for any number of keys, and operators with state of their own need it; else it is held in memory.
     """
     own = spark.newSession()
     for name, value in spark.conf.getAll.items():
         if own.conf.isModifiable(name):
             own.conf.set(name, value)
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    if on_disk:
+        own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     if state_partitions:
         own.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     return own

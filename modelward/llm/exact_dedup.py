@@ -41,6 +41,7 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     variants = variants.select("_hash", F.sha2(text.cast("binary"), 256).alias("_sha"), "_points", "_rows", "_least")
     preference = F.struct(F.col("_least").isNull().alias("none"), (-F.col("_points")).alias("points"), F.col("_least").alias("order"))
     groups = variants.groupBy("_hash", "_sha").agg(F.sum("_rows").alias("group_size"), F.min_by("_least", preference).alias("keep_id"))
-    light = rows.select("doc_id", "_hash", F.sha2(text.cast("binary"), 256).alias("_sha"))
-    joined = light.join(groups, ["_hash", "_sha"])
+    # Equal texts have one digest. Both sides are shuffled for this join alone, so Spark can split the rows of a large group.
+    light = rows.select("doc_id", F.sha2(text.cast("binary"), 256).alias("_sha"))
+    joined = light.join(groups.drop("_hash"), "_sha")
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256"))

@@ -17,12 +17,18 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from modelward.operators.approvals import GATE_DECISIONS
 from modelward.session import ship_package
 
-_GATE_STATE = "status string, closed_at bigint, closed_id bigint, approved bigint, rejected bigint, responses bigint"
+_GATE_STATE = "status string, closed_at bigint, closed_id bigint, approved bigint, rejected bigint, responses bigint, few array<string>, many boolean"
+#: Voters that are kept with a gate itself; more are kept one by one.
+FEW = 64
 _GATE_ROWS = "approval_id string, required_count int, status string, approved_count bigint, rejected_count bigint, responses bigint, closed_at bigint"
 
 
 class GateVotes(StatefulProcessor):
-    """State of one gate: how it stands, and while it is open, who has voted."""
+    """State of one gate: how it stands, and while it is open, who has voted.
+
+    A few voters are part of the gate's own value, which is read and written once a batch; those of a large gate are entries
+    of a map, of which a batch touches only its own.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.gate = handle.getValueState("gate", _GATE_STATE)
@@ -30,31 +36,36 @@ class GateVotes(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         before = self.gate.get()
-        status, closed_at, closed_id, approved, rejected, responses = before or ("pending", None, None, 0, 0, 0)
-        required, fresh = 1, {}
+        status, closed_at, closed_id, approved, rejected, responses, few, many = before or ("pending", None, None, 0, 0, 0, [], False)
         # a closed gate stays closed, whatever a later batch brings
+        if status != "pending":
+            return
+        known, required, fresh = set(few), 1, {}
+        for r in sorted(rows, key=lambda r: (r.at, r.event_id, r.decision)):
+            required = r.required_count
+            if status != "pending" and (r.at, r.event_id) != (closed_at, closed_id):
+                break
+            if r.voter in fresh or r.voter in known or (many and self.voted.containsKey((r.voter,))):
+                continue
+            fresh[r.voter] = r.decision
+            responses += 1
+            approved += r.decision == "approve"
+            rejected += r.decision == "reject"
+            if status == "pending" and (r.decision == "reject" or (r.decision == "approve" and approved >= required)):
+                status, closed_at, closed_id = ("rejected" if r.decision == "reject" else "approved"), r.at, r.event_id
+        if not fresh:
+            return
+        held = []
         if status == "pending":
-            for r in sorted(rows, key=lambda r: (r.at, r.event_id, r.decision)):
-                required = r.required_count
-                if status != "pending" and (r.at, r.event_id) != (closed_at, closed_id):
-                    break
-                if r.voter in fresh or (before is not None and self.voted.containsKey((r.voter,))):
-                    continue
-                fresh[r.voter] = r.decision
-                responses += 1
-                approved += r.decision == "approve"
-                rejected += r.decision == "reject"
-                if status == "pending" and (r.decision == "reject" or (r.decision == "approve" and approved >= required)):
-                    status, closed_at, closed_id = ("rejected" if r.decision == "reject" else "approved"), r.at, r.event_id
-            if fresh:
-                self.gate.update((status, closed_at, closed_id, approved, rejected, responses))
-            if status == "pending":
-                for voter, decision in fresh.items():
-                    self.voted.updateValue((voter,), (decision,))
-            elif before is not None:
-                self.voted.clear()
-        if fresh:
-            yield Row(approval_id=key[0], required_count=required, status=status, approved_count=approved, rejected_count=rejected, responses=responses, closed_at=closed_at)
+            held = [*few, *fresh]
+            if many or len(held) > FEW:
+                for voter in held:
+                    self.voted.updateValue((voter,), (fresh.get(voter),))
+                held, many = [], True
+        elif many:
+            self.voted.clear()
+        self.gate.update((status, closed_at, closed_id, approved, rejected, responses, held, many))
+        yield Row(approval_id=key[0], required_count=required, status=status, approved_count=approved, rejected_count=rejected, responses=responses, closed_at=closed_at)
 
     def close(self) -> None:
         pass

@@ -223,6 +223,18 @@ def test_votes_that_do_not_count(spark, tmp_path):
     assert [(r.approval_id, r.status, r.approved_count, r.rejected_count, r.responses) for r in got] == [("a", "approved", 2, 0, 2)]
 
 
+def test_a_gate_of_many_voters(spark, tmp_path):
+    voter = F.concat(F.lit("v"), (F.col("id") % 150).cast("string"))
+    votes = spark.range(400).select(F.lit("g").alias("approval_id"), voter.alias("voter"), F.when(F.col("id") == 399, "reject").otherwise("request_changes").alias("decision"), F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("event_time"))
+    votes = votes.withColumn("voter", F.when(F.col("event_id") == 399, "last").otherwise(F.col("voter")))
+    ticks(spark, f"{tmp_path}/v", [votes.where(f"event_id >= {a} AND event_id < {b}") for a, b in ((0, 50), (50, 100), (100, 140), (140, 399), (399, 400))])
+    own = jobs.stream_session(spark, 2)
+    folder = f"{tmp_path}/out"
+    jobs.drain(keyed.gate_votes(jobs.read_stream(own, f"{tmp_path}/v", 1), own.createDataFrame([("g", 2)], "approval_id string, required_count int")), "update", ["approval_id"], folder, spark)
+    rows = spark.read.parquet(f"{folder}/data").orderBy("batch_id").collect()
+    assert [(r.status, r.responses) for r in rows] == [("pending", 50), ("pending", 100), ("pending", 140), ("pending", 150), ("rejected", 151)]
+
+
 def fired_by_hand(times, silence):
     last, out = None, []
     for t in sorted(times):

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modelward.llm.arrays import give_back
+
 FOLDS = 5
 
 
@@ -62,6 +64,8 @@ def trained_in_task(sample: DataFrame, fit: Callable[[pa.Array, np.ndarray], obj
         texts = held["text"].chunk(0) if held.num_rows else pa.array([], pa.string())
         model = fit(texts, held["label"].to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        del held, texts, model
+        give_back()
 
     found = sample.repartition(1).sortWithinPartitions("_id").select("text", "label").mapInArrow(train, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else fit(pa.array([], pa.string()), np.zeros(0, np.int32))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelward.llm.arrays import FOLDED, mixed, ragged, row_ends, whole_ids, word_blocks
+from modelward.llm.arrays import FOLDED, give_back, mixed, ragged, row_ends, whole_ids, word_blocks
 from modelward.llm.components import connected_components
 
 #: A signature has POSITIONS values of BITS bits, in CHUNKS chunks; ERRORS positions of a chunk may differ.
@@ -21,11 +22,14 @@ POSITIONS = CHUNKS * WIDTH
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Texts that one task compares with one text, at most; more are split over several groups.
 GROUP = 512
-#: Rows beside the largest component that make a bucket go through the second level of the index.
-CROWD = 4096
+#: Rows of a block in which a bucket's classes are compared.
+BLOCK_ROWS = 1024
 #: Positions of a further chunk that may differ there: with ERRORS + 1 at least in each of the other chunks and these in each
 #: of the rest, there would be more than DISTANCE.
 MORE_ERRORS = DISTANCE // (CHUNKS - 1)
+#: Rows beside the largest component that make a bucket go through the second level of the index: there, a row goes to one
+#: bucket for each choice of errors in each other chunk; without it, to one cell for each block of the bucket.
+CROWD = BLOCK_ROWS * (CHUNKS - 1) * comb(WIDTH, MORE_ERRORS)
 NO_ID = -(1 << 63)
 
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, POSITIONS, dtype=np.uint64)
@@ -95,6 +99,7 @@ def signature_table(docs: DataFrame, words: int, id_column: str, text_column: st
                         total = 0
             flush()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(high), pa.array(low), pa.array(marks, pa.binary())], ["id", "mark", "n_shingles", "set_hi", "set_lo", "signature"])
+        give_back()
 
     return texts_of(docs, id_column, text_column).mapInArrow(sign, "id bigint, mark bigint, n_shingles bigint, set_hi bigint, set_lo bigint, signature binary")
 
@@ -175,6 +180,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                         left.append(head)
                         right.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+        give_back()
 
     return stream.mapInArrow(compare, "a bigint, b bigint")
 
@@ -272,7 +278,7 @@ def linked_classes(heads: DataFrame, texts: DataFrame, words: int, percent: int)
     if not crowded.isEmpty():
         rest = rest.join(crowded, "family", "left_anti").unionByName(second_level(rest.join(crowded, "family", "left_semi"), heads)).checkpoint()
     # Their classes that may be near over components form families, within which the texts decide.
-    candidates = compared(rest, heads.select("id", "n_shingles", "signature"), 1024, lambda columns, apart: plausible(columns, apart, percent)).checkpoint()
+    candidates = compared(rest, heads.select("id", "n_shingles", "signature"), BLOCK_ROWS, lambda columns, apart: plausible(columns, apart, percent)).checkpoint()
     families = connected_components(candidates).select(F.col("component").alias("family"), F.col("node").alias("id"))
     members = families.join(found, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component")).checkpoint()
     late = compared(members, chosen, 256, lambda columns, apart: similar(columns, apart, words, percent))
@@ -353,6 +359,7 @@ def compared(rows: DataFrame, known: DataFrame, size: int, partners) -> DataFram
         if held:
             left, right = forest(held)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+        give_back()
 
     return stream.mapInArrow(run, "a bigint, b bigint")
 

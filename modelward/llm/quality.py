@@ -11,7 +11,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelward.llm.arrays import BLOCK, buffers, row_blocks
+from modelward.llm.arrays import BLOCK, buffers, give_back, row_blocks
 from modelward.llm.labels import held_out, labelled_rows, trained_in_task
 
 #: Filters see WIDTH bytes, every STRIDE bytes; a chunk is two pieces of PIECE places, and chunks overlap by one piece.
@@ -161,6 +161,7 @@ def quality_scores(docs: DataFrame, network: Network, id_column: str = "doc_id",
                     for i in range(first, last):
                         scores[i] = document_score(own, data[int(offsets[i]) : int(offsets[i + 1])])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
+        give_back()
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(score, f"doc_id {kind}, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from modelward.llm.arrays import ragged, row_ends, whole_ids
+from modelward.llm.arrays import give_back, ragged, row_ends, whole_ids
 from modelward.llm.pretokens import Known, first_of_each, pretoken_blocks, without_specials
 from modelward.llm.token_counts import offsets_of
 
@@ -263,6 +263,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end: int =
                     ids, tokens, held, sequence = [], [], 0, sequence + 1
         if ids:
             yield file()
+        give_back()
 
     whole_ids(docs, id_column)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(F.col(text_column)).alias("mark"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelward.llm.arrays import FOLDED, buffers, row_ends, word_blocks
+from modelward.llm.arrays import FOLDED, buffers, give_back, row_ends, word_blocks
 from modelward.llm.labels import held_out, labelled_rows, trained_in_task
 
 #: A word is read whole and by its first so many bytes, so that a stem counts with any ending.
@@ -214,6 +214,7 @@ def toxicity_scores(docs: DataFrame, model: Model, id_column: str = "doc_id", te
                             zero = points[int(offsets[row]) - base]
                             spans[row].append({"start": int(points[starts[heads[h]]] - zero), "end": int(points[ends[finish[h]]] - zero), "score": float(1 / (1 + np.exp(-logits[h])))})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(spans, span)], ["doc_id", "score", "offending"])
+        give_back()
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(score, f"doc_id {kind}, score double, offending array<struct<start:bigint,end:bigint,score:double>>")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "offending")
@@ -236,5 +237,6 @@ def filtered(docs: DataFrame, model: Model, text_column: str = "text", threshold
             for first, last, hashes, heads, sentences, _, _ in instances(batch.column(place)):
                 scores[first:last] = -np.expm1(clean_odds(sentence_logits(own, hashes, heads), sentences))
             yield batch.filter(pa.array(scores < threshold))
+        give_back()
 
     return docs.mapInArrow(clean, docs.schema)

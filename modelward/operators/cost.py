@@ -22,7 +22,8 @@ def price_in_force(usage: DataFrame, prices: DataFrame, bucket_days: int = 365,
 
     Windows are cut into time buckets so that the join key is (SKU, bucket): usage of one dominant SKU spreads over the
     buckets, and a row meets only the windows of its own bucket. ``salts`` deals each bucket's usage out once more, at
-    the price of as many copies of the price list. The list is broadcast only if Spark measures it as small. All time
+    the price of as many copies of the price list. Both sides are sorted and merged, so no node holds the whole list: Spark
+    would judge it by the size of its file, which says little of the windows cut from it, and send it to all. All time
     after ``until`` (today, if not given) is one bucket: it bounds the buckets of an open window, not the rows.
     """
     size = bucket_days * 86400
@@ -47,7 +48,7 @@ def price_in_force(usage: DataFrame, prices: DataFrame, bucket_days: int = 365,
         pairing = F.col("_s") == F.col("_ps")
     at = F.col("usage_start_time")
     held = (F.col("sku_name") == F.col("_sku")) & (F.col("_b") == F.col("_pb")) & (at >= F.col("_from")) & (F.col("_to").isNull() | (at < F.col("_to")))
-    return dealt.withColumn("_b", bucket(at)).join(windows, held & pairing).drop("_b", "_pb", "_s", "_ps", "_sku", "_from", "_to")
+    return dealt.withColumn("_b", bucket(at)).join(windows.hint("merge"), held & pairing).drop("_b", "_pb", "_s", "_ps", "_sku", "_from", "_to")
 
 
 def overlapping_prices(prices: DataFrame) -> DataFrame:

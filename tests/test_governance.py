@@ -77,6 +77,18 @@ def test_prices_in_force(spark):
     assert cost.overlapping_prices(wide).first().price_start_time.year == 2024
 
 
+def test_a_price_list_is_not_broadcast(spark, tmp_path):
+    spark.sql("SELECT id AS sku_name, named_struct('effective_list', named_struct('default', 2.0D)) AS pricing FROM range(300)").write.parquet(f"{tmp_path}/skus")
+    # a small file of SKUs makes many windows, each cut into many buckets
+    windows = "explode(sequence(timestamp_ntz'2000-01-01', timestamp_ntz'2009-01-01', interval 1 year)) AS price_start_time"
+    prices = spark.read.parquet(f"{tmp_path}/skus").selectExpr("*", windows).withColumn("price_end_time", F.col("price_start_time") + F.expr("INTERVAL 1 YEAR"))
+    usage = spark.sql("SELECT id % 300 AS sku_name, timestamp_ntz'2001-01-01' + make_interval(0, 0, 0, CAST(id AS INT)) AS usage_start_time, date'2001-01-01' AS usage_date, 1.0D AS usage_quantity FROM range(900)")
+    for salts in (1, 3):
+        priced = cost.price_in_force(usage, prices, 7, salts)
+        assert "Broadcast" not in priced._jdf.queryExecution().executedPlan().toString()
+        assert priced.count() == 900
+
+
 def test_reliability_and_speed_when_empty(spark):
     d = spark.sql("SELECT 'deployed' AS status, TIMESTAMP_NTZ '2024-06-01 00:00:00' AS created_timestamp, 'h' AS plan_hash FROM range(8) UNION ALL SELECT 'failed', TIMESTAMP_NTZ '2024-06-01 00:00:00', 'h' UNION ALL SELECT 'verify_failed', TIMESTAMP_NTZ '2024-06-01 00:00:00', 'h'")
     out = g.reliability(d, NOW).first()

@@ -29,11 +29,17 @@ def stream(w, table):
 
 
 def arrivals(w, rows, part, n=3):
-    """Rows as a stream of ``n`` batches in the order of ``part``, which counts from 0."""
-    folder = fresh_folder(w.spark, "arrivals")
+    """Rows as a stream of ``n`` batches in the order of ``part``, which counts from 0.
+
+    All tasks write. Every batch has the same number of files, so that the source can take them by their number: a task
+    without rows writes none, and empty files stand in.
+    """
+    folder, files = fresh_folder(w.spark, "arrivals"), max(1, rows.rdd.getNumPartitions())
     for k in range(n):
-        rows.where(part == k).coalesce(1).write.mode("append").parquet(folder)
-    return jobs.read_stream(w.spark, folder, files_per_batch=1)
+        rows.where(part == k).write.mode("append").parquet(folder)
+        for _ in range((k + 1) * files - len(w.spark.read.parquet(folder).inputFiles())):
+            w.spark.createDataFrame([], rows.schema).write.mode("append").parquet(folder)
+    return jobs.read_stream(w.spark, folder, files_per_batch=files)
 
 
 def drain(w, df, mode="append", keys=()):
@@ -105,7 +111,8 @@ def stream_sla_breaches(w):
 def stream_gate_states(w):
     own = beside(w, on_disk=True)
     votes = arrivals(own, own.vote_log.where("approval_id IS NOT NULL"), third("event_time", "1997-05-01", "1999-09-01"))
-    out = drain(w, keyed.gate_votes(votes, own.approvals.select("approval_id", "required_count")), "update", ["approval_id"])
+    gates = own.approvals.select("approval_id", "required_count")
+    out = drain(w, keyed.gate_votes(votes, gates, max(keyed.GATE_SLOTS, gates.count() // 1000)), "update", ["approval_id"])
     voted = w.vote_log.select("approval_id").distinct()
     # gates whose votes don't count have no state
     every = w.approvals.select("approval_id", F.greatest("required_count", F.lit(1)).alias("_need")).join(voted, "approval_id").join(out, "approval_id", "left").fillna(0, ["approved_count", "rejected_count", "responses"])

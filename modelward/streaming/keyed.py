@@ -4,10 +4,14 @@ behind the watermark.
 
 from __future__ import annotations
 
+import json
 import time
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -17,76 +21,96 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from modelward.operators.approvals import GATE_DECISIONS
 from modelward.session import ship_package
 
-_GATE_STATE = "status string, closed_at bigint, closed_id bigint, approved bigint, rejected bigint, responses bigint, few array<string>, many boolean"
+#: Groups that gates are dealt out over, for a stream of a few million gates. State keeps for good the number it starts with.
+GATE_SLOTS = 4096
+#: How a closed gate is held.
+CLOSED = 0
 #: Voters that are kept with a gate itself; more are kept one by one.
 FEW = 64
 _GATE_ROWS = "approval_id string, required_count int, status string, approved_count bigint, rejected_count bigint, responses bigint, closed_at bigint"
+_GATE_COLUMNS = [c.split()[0] for c in _GATE_ROWS.split(", ")]
+#: Columns of a vote, in the order that votes count in; no id comes before any.
+_VOTE = ["approval_id", "at", "has_id", "event_id", "decision", "voter", "required_count"]
 
 
 class GateVotes(StatefulProcessor):
-    """State of one gate: how it stands, and while it is open, who has voted.
+    """State of the gates of one slot: how each stands, and while it is open, who has voted.
 
-    A few voters are part of the gate's own value, which is read and written once a batch; those of a large gate are entries
-    of a map, of which a batch touches only its own.
+    The slot's gates are one value, a JSON object by gate, which is read and written once a batch: a call to the store costs
+    far more than the votes of a gate. An open gate is its counts and its few voters, or null for those of a large gate, which
+    are entries of a map, of which a batch touches only its own. Of a closed gate only the id is kept.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.gate = handle.getValueState("gate", _GATE_STATE)
-        self.voted = handle.getMapState("voted", "voter string", "decision string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = self.gate.get()
-        status, closed_at, closed_id, approved, rejected, responses, few, many = before or ("pending", None, None, 0, 0, 0, [], False)
-        # a closed gate stays closed, whatever a later batch brings
-        if status != "pending":
-            return
-        known, required, fresh = set(few), 1, {}
-        for r in sorted(rows, key=lambda r: (r.at, r.event_id, r.decision)):
-            required = r.required_count
-            if status != "pending" and (r.at, r.event_id) != (closed_at, closed_id):
+        self.gates = handle.getValueState("gates", "gates string")
+        self.voted = handle.getMapState("voted", "approval_id string, voter string", "decision string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self.gates.get()
+        gates = json.loads(before[0]) if before else {}
+        votes = sorted(v for frame in rows for v in zip(*(frame[c].tolist() for c in _VOTE)))
+        changed = []
+        for gate, mine in groupby(votes, key=itemgetter(0)):
+            held = gates.get(gate, (0, 0, 0, ()))
+            # a closed gate stays closed, whatever a later batch brings
+            if held != CLOSED and (row := self.counted(gates, gate, held, mine)):
+                changed.append(row)
+        if changed:
+            self.gates.update((json.dumps(gates, separators=(",", ":")),))
+            yield pd.DataFrame(dict(zip(_GATE_COLUMNS, (pd.Series(c, dtype=object) for c in zip(*changed)))))
+
+    def counted(self, gates: dict, gate: str, held, votes: Iterator[tuple]) -> tuple | None:
+        """Counts the votes of a batch, in their order, for an open gate; its row, if any of them is new."""
+        approved, rejected, responses, few = held
+        many, known, required, fresh = few is None, set(few or ()), 1, {}
+        status, closed = "pending", None
+        for _, at, has_id, event_id, decision, voter, required in votes:
+            if status != "pending" and (at, has_id, event_id) != closed:
                 break
-            if r.voter in fresh or r.voter in known or (many and self.voted.containsKey((r.voter,))):
+            if voter in fresh or voter in known or (many and self.voted.containsKey((gate, voter))):
                 continue
-            fresh[r.voter] = r.decision
+            fresh[voter] = decision
             responses += 1
-            approved += r.decision == "approve"
-            rejected += r.decision == "reject"
-            if status == "pending" and (r.decision == "reject" or (r.decision == "approve" and approved >= required)):
-                status, closed_at, closed_id = ("rejected" if r.decision == "reject" else "approved"), r.at, r.event_id
+            approved += decision == "approve"
+            rejected += decision == "reject"
+            if status == "pending" and (decision == "reject" or (decision == "approve" and approved >= required)):
+                status, closed = ("rejected" if decision == "reject" else "approved"), (at, has_id, event_id)
         if not fresh:
-            return
-        held = []
-        if status == "pending":
-            held = [*few, *fresh]
-            if many or len(held) > FEW:
-                for voter in held:
-                    self.voted.updateValue((voter,), (fresh.get(voter),))
-                held, many = [], True
-        elif many:
-            self.voted.clear()
-        self.gate.update((status, closed_at, closed_id, approved, rejected, responses, held, many))
-        yield Row(approval_id=key[0], required_count=required, status=status, approved_count=approved, rejected_count=rejected, responses=responses, closed_at=closed_at)
+            return None
+        if status != "pending":
+            gates[gate] = CLOSED
+            if many:
+                for voter in [v for g, v in self.voted.keys() if g == gate]:
+                    self.voted.removeKey((gate, voter))
+        elif many or len(known) + len(fresh) > FEW:
+            for voter in [*(few or ()), *fresh]:
+                self.voted.updateValue((gate, voter), (fresh.get(voter),))
+            gates[gate] = (approved, rejected, responses, None)
+        else:
+            gates[gate] = (approved, rejected, responses, [*few, *fresh])
+        return gate, required, status, approved, rejected, responses, closed and closed[0]
 
     def close(self) -> None:
         pass
 
 
-def gate_votes(votes: DataFrame, gates: DataFrame) -> DataFrame:
+def gate_votes(votes: DataFrame, gates: DataFrame, slots: int = GATE_SLOTS) -> DataFrame:
     """The state of each gate after every batch that changed it: a voter counts once, and votes after the close don't.
 
     ``votes``: approval_id, voter, event_time, event_id, decision; ``gates``: approval_id, required_count, as a table. Votes
-    of a batch count in event order. The state of a gate is kept by its key, so a batch reads only the gates that it
-    touches; voters are forgotten when the gate closes. Votes without a voter, of unknown gates, or with another decision
-    never count.
+    of a batch count in event order. Gates are dealt out over ``slots`` by a hash of their id, and a batch reads only the
+    slots that it touches, once each; a thousand gates or so to a slot make the calls to the store few and its values small.
+    Voters are forgotten when the gate closes. Votes without a voter, of unknown gates, or with another decision never count.
     """
     ship_package(votes.sparkSession)
     kind = votes.schema["event_time"].dataType
     need = F.greatest(F.coalesce("required_count", F.lit(1)), F.lit(1)).cast("int").alias("required_count")
     at = F.unix_micros(F.col("event_time").cast("timestamp")).alias("at")
     ok = votes.where(F.col("decision").isin(*GATE_DECISIONS) & F.col("voter").isNotNull() & F.col("event_time").isNotNull())
-    rows = ok.select(F.col("approval_id").cast("string").alias("approval_id"), "voter", at, F.col("event_id").cast("long").alias("event_id"), "decision")
+    rows = ok.select(F.col("approval_id").cast("string").alias("approval_id"), "voter", at, F.col("event_id").isNotNull().alias("has_id"), F.coalesce(F.col("event_id").cast("long"), F.lit(0)).alias("event_id"), "decision")
     known = rows.join(gates.select(F.col("approval_id").cast("string").alias("approval_id"), need), "approval_id")
-    states = known.groupBy("approval_id").transformWithState(GateVotes(), _GATE_ROWS, "Update", "None")
+    dealt = known.withColumn("slot", F.pmod(F.xxhash64("approval_id"), F.lit(slots)))
+    states = dealt.groupBy("slot").transformWithStateInPandas(GateVotes(), _GATE_ROWS, "Update", "None")
     return states.withColumn("completed_timestamp", F.timestamp_micros("closed_at").cast(kind)).drop("closed_at")
 
 

@@ -310,3 +310,28 @@ def test_period_samples_come_when_the_period_is_over(spark, tmp_path):
     # the watermark ends 10 minutes before the last row: four hours are over, the last one is not
     want = want.where(f"n <= 4 AND unix_seconds(p) + {hour} <= {start + 2999 * 5 - 600}")
     assert sorted((r.period, r.k) for r in got.collect()) == sorted((r.p, r.k) for r in want.collect()) and want.count() == 12
+
+
+def test_gates_share_slots(spark, tmp_path):
+    """Many gates are one key of the state; large ones, ties and votes without an event id among them."""
+    at = lambda c: F.timestamp_seconds(F.lit(1704067200) + F.col(c))
+    votes = spark.range(600).select(F.concat(F.lit("g"), (F.col("id") % 6).cast("string")).alias("approval_id"), F.concat(F.lit("v"), (F.col("id") % 450).cast("string")).alias("voter"), F.lit("approve").alias("decision"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("event_id"), at("id").alias("event_time"))
+    gates = spark.sql("SELECT concat('g', id) AS approval_id, CAST(CASE WHEN id < 3 THEN 70 + id ELSE id END AS INT) AS required_count FROM range(6)")
+    ticks(spark, f"{tmp_path}/v", [votes.where("unix_seconds(event_time) - 1704067200 < 200"), votes.where("unix_seconds(event_time) - 1704067200 >= 200")])
+    own = jobs.stream_session(spark, 2)
+    stream = keyed.gate_votes(jobs.read_stream(own, f"{tmp_path}/v", 1), own.createDataFrame(gates.collect(), gates.schema), slots=2)
+    got = {r.approval_id: (r.status, r.approved_count, r.responses) for r in jobs.drain(stream, "update", ["approval_id"], f"{tmp_path}/out", spark).collect()}
+    assert got == {f"g{k}": ("approved", n, n) for k, n in enumerate((70, 71, 72, 3, 4, 5))}
+
+
+def test_arrivals_are_written_by_all_tasks(spark, tmp_path):
+    """A batch holds one part whatever the number of its files, also an empty part."""
+    from modelward.plans import stream_queries
+    from modelward.sources.workload import Workload
+
+    rows = spark.range(0, 90, 1, 3).withColumn("part", F.when(F.col("id") < 45, 0).otherwise(2))
+    stream = stream_queries.arrivals(Workload(spark, str(tmp_path)), rows, F.col("part"))
+    seen = []
+    query = stream.writeStream.foreachBatch(lambda b, i: seen.append((b.select(F.input_file_name()).distinct().count(), b.count(), [r.part for r in b.select("part").distinct().collect()]))).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert seen == [(2, 45, [0]), (0, 0, []), (2, 45, [2])]

@@ -118,7 +118,9 @@ def budgets_after_pass(w):
     CASE WHEN sum(total) >= 90000000 THEN 'critical' WHEN sum(total) >= 9000000 THEN 'warning' ELSE 'ok' END AS status
     FROM costs c JOIN projects p ON p.project_id = c.project_id GROUP BY ROLLUP (team_name, c.project_id)""", "usage list_prices projects"))
 def cost_rollup(w):
-    costs = all_costs(w).join(w.projects.select("project_id", "team_name"), "project_id")
+    # summed per project before the merge: a project meets its team once, not once a day
+    per_project = all_costs(w).groupBy("project_id").agg(F.sum("total_cost_usd").alias("total_cost_usd"))
+    costs = per_project.join(w.projects.select("project_id", "team_name").hint("merge"), "project_id")
     return cost.cost_rollup(costs, ["team_name", "project_id"], 9e6, 9e7).select("team_name", "project_id", "level", usd("total_usd", 3), "status")
 
 

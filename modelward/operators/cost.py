@@ -100,11 +100,12 @@ def rollup_by_project(costs: DataFrame, as_of, days_back: int = 30) -> DataFrame
 
 
 def _by_attribute(costs, attributes, column, as_of, days_back, how, unknown=None):
-    # summed per project before the join: the attribute table meets one row per project
+    # summed per project before the join: the attribute table meets one row per project; both are merged, as the size of the
+    # attributes' file says little of their rows in memory
     per_project = costs.where(within_days("date", as_of, days_back)).groupBy("project_id").agg(F.sum("total_cost_usd").alias("_usd"))
     label = F.coalesce(F.col(column), F.lit(unknown)) if unknown else F.col(column)
     return (
-        per_project.join(attributes.select("project_id", column), "project_id", how)
+        per_project.join(attributes.select("project_id", column).hint("merge"), "project_id", how)
         .groupBy(label.alias(column))
         .agg(F.sum("_usd").alias("total_usd"))
         .orderBy(F.desc("total_usd"), column)

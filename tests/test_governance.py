@@ -348,3 +348,48 @@ def test_projects_are_listed_newest_first(spark):
     rows = spark.createDataFrame([("a", False, 1), ("b", None, 3), ("c", True, 9), ("d", False, None), ("e", False, 3)], "project_id STRING, is_archived BOOLEAN, created INT")
     assert [r.project_id for r in g.project_listing(rows, newest_by="created").collect()] == ["b", "e", "a", "d"]
     assert [r.project_id for r in g.project_listing(rows, True, "created").collect()] == ["c", "b", "e", "a", "d"]
+
+
+@pytest.fixture(scope="module")
+def priced_folder(spark, tmp_path_factory):
+    """Two projects of one team, one of another, a usage row a day of each, and one price list of 50 parts."""
+    d = tmp_path_factory.mktemp("priced")
+    spark.sql("SELECT id AS p_partkey, 2.0D AS p_retailprice FROM range(50)").write.parquet(f"{d}/part.parquet")
+    spark.sql("SELECT id AS s_suppkey, concat('s', id) AS s_name, CAST(id DIV 2 AS INT) AS s_nationkey, 10.0D AS s_acctbal FROM range(3)").write.parquet(f"{d}/supplier.parquet")
+    spark.sql("SELECT id AS o_orderkey, id % 2 AS o_custkey, 'F' AS o_orderstatus, 1.0D AS o_totalprice, timestamp_ntz'2000-01-01' AS o_orderdate, CASE WHEN id < 2 THEN '1-URGENT' ELSE '2-HIGH' END AS o_orderpriority FROM range(3)").write.parquet(f"{d}/orders.parquet")
+    spark.sql("SELECT id % 50 AS l_partkey, id % 3 AS l_suppkey, 1.0D AS l_quantity, CASE WHEN id % 10 = 9 THEN 'A' ELSE 'N' END AS l_returnflag, timestamp_ntz'2001-07-31' - make_interval(0, 0, 0, CAST(id AS INT)) AS l_shipdate FROM range(300)").write.parquet(f"{d}/lineitem.parquet")
+    return str(d)
+
+
+COST_QUERIES = "budget_checks budgets_after_pass control_plane_budget control_plane_daily_costs cost_by_deployment_type cost_by_project cost_by_team cost_merge cost_rollup project_daily_costs rising_costs"
+
+
+@pytest.mark.parametrize("name", COST_QUERIES.split())
+def test_queries_merge_prices_and_attributes(spark, priced_folder, name):
+    from modelward.plans.cost_queries import R
+
+    # the files are small, so Spark would broadcast whatever it may
+    plan = R.queries[name](spark, priced_folder)._jdf.queryExecution().executedPlan().toString()
+    joins = [line.partition("Join [")[0].split()[-1] + " " + line.partition("Join [")[2] for line in plan.split("\n") if "Join [" in line]
+    assert joins
+    assert {x.split()[0] for x in joins if "sku_name" in x} == {"SortMerge"}
+    if name in ("cost_by_deployment_type", "cost_by_team", "cost_rollup"):
+        assert "Broadcast" not in plan
+
+
+def test_costs_by_attribute_of_merged_rows(spark, priced_folder):
+    from modelward.plans.cost_queries import R
+
+    got = lambda name: [tuple(r) for r in R.queries[name](spark, priced_folder).collect()]
+    # 90 rows of each project have its tag; one unit costs 2 * 105 / 100 = 2.1 in 2000 and later
+    assert got("cost_by_project") == [("p0", 189.0), ("p1", 189.0), ("p2", 189.0)]
+    assert got("cost_by_team") == [("team-0", 378.0), ("team-1", 189.0)]
+    assert got("cost_by_deployment_type") == [("realtime", 189.0), ("streaming", 189.0), ("unknown", 189.0)]
+    assert sorted(got("cost_rollup"), key=str) == sorted(
+        [("team-0", "p0", 0, 189.0, "ok"), ("team-0", "p1", 0, 189.0, "ok"), ("team-1", "p2", 0, 189.0, "ok"), ("team-0", None, 1, 378.0, "ok"), ("team-1", None, 1, 189.0, "ok"), (None, None, 3, 567.0, "ok")], key=str)
+
+
+def test_attributes_that_repeat_count_each_time(spark):
+    costs = spark.sql("SELECT p AS project_id, DATE '2024-06-20' AS date, u AS total_cost_usd FROM VALUES ('a', 1D), ('a', 2D), ('b', 5D), ('c', 7D) AS v(p, u)")
+    teams = spark.sql("SELECT p AS project_id, t AS team_name FROM VALUES ('a', 'x'), ('a', 'x'), ('a', 'y'), ('b', NULL), (NULL, 'z') AS v(p, t)")
+    assert [tuple(r) for r in cost.rollup_by_team(costs, teams, NOW).collect()] == [("x", 6.0), (None, 5.0), ("y", 3.0)]

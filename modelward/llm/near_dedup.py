@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modelward.functions.bloom import bloom_filter, may_hold
 from modelward.llm.arrays import FOLDED, give_back, mixed, ragged, row_ends, whole_ids, word_blocks
 from modelward.llm.components import connected_components
 
@@ -30,6 +31,8 @@ MORE_ERRORS = DISTANCE // (CHUNKS - 1)
 #: Rows beside the largest component that make a bucket go through the second level of the index: there, a row goes to one
 #: bucket for each choice of errors in each other chunk; without it, to one cell for each block of the bucket.
 CROWD = BLOCK_ROWS * (CHUNKS - 1) * comb(WIDTH, MORE_ERRORS)
+#: Bits for each wanted text of the filter that keeps other texts out of a shuffle, and its least and most bits (8 MiB).
+TEXT_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 12, 1 << 26
 NO_ID = -(1 << 63)
 
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, POSITIONS, dtype=np.uint64)
@@ -154,8 +157,20 @@ def signature_distance(left: Column, right: Column) -> Column:
     return total
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets have ``100 * intersection >= percent * union``.
+def with_texts(rows: DataFrame, wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` with the ``text`` of their ``id``; ``wanted`` has ``id, doc, mark`` of every such id, ``texts`` ``doc, mark, text``.
+
+    Most texts are compared with none, so those that a Bloom filter of the wanted ones rules out are not shuffled. The others
+    are shuffled once, by the name of the text, and the narrow rows come to them.
+    """
+    bits = min(max(1 << (TEXT_BITS * wanted.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    name = ["doc", "mark"]
+    held = texts.where(may_hold(bloom_filter(wanted, name, bits), [F.col(c) for c in name], bits)).dropDuplicates(name)
+    return rows.join(wanted, "id").join(held, name).drop(*name)
+
+
+def confirmed(pairs: DataFrame, heads: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose full sets have ``100 * intersection >= percent * union``; ``heads`` names the texts.
 
     All texts to be compared with one text ``a`` come behind it in one sorted stream, of which a task holds two sets at a
     time. A text with more than GROUP partners is sent to several streams.
@@ -163,7 +178,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).alias("groups"))
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("group"))
     wanted = dealt.select("a", "group", F.col("b").alias("id"), F.lit(1).alias("role")).union(dealt.select("a", "group", F.col("a").alias("id"), F.lit(0).alias("role")).distinct())
-    rows = wanted.join(texts, "id").select("a", "group", "role", "id", "text")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    named = heads.select("id", "doc", "mark").join(ends, "id", "left_semi").checkpoint()
+    rows = with_texts(wanted, named, texts).select("a", "group", "role", "id", "text")
     stream = rows.repartition("a", "group").sortWithinPartitions("a", "group", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,19 +270,19 @@ def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 def linked_classes(heads: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links ``a, b`` between classes, enough of them to join all that are linked at all."""
-    keys = chunk_keys(heads)
+    # Dealt out by key once, for both the counts and the join.
+    keys = chunk_keys(heads).repartition("key")
     shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least")
     # Only buckets of two classes or more go on.
     buckets = keys.join(shared, "key").select("key", "id", "least").checkpoint()
-    wanted = heads.select("id", "doc", "mark").join(buckets.select("id").distinct(), "id", "left_semi")
-    chosen = texts.withColumnRenamed("id", "doc").join(wanted, ["doc", "mark"]).select("id", "text").dropDuplicates(["id"])
+    texts = texts.withColumnRenamed("id", "doc")
 
     # One comparison for each class to begin with: that with the smallest class it may be near.
     side = lambda name: heads.select(F.col("id").alias(name), F.col("signature").alias(f"{name}_signature"), F.col("n_shingles").alias(f"{name}_n"))
     near = (signature_distance(F.col("a_signature"), F.col("b_signature")) <= DISTANCE) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
     stars = buckets.where("least < id").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     nearest = stars.join(side("a"), "a").join(side("b"), "b").where(near).groupBy("b").agg(F.min("a").alias("a")).select("a", "b").checkpoint()
-    links = confirmed(nearest, chosen, words, percent).checkpoint()
+    links = confirmed(nearest, heads, texts, words, percent).checkpoint()
 
     # Buckets that still hold several components.
     found = connected_components(links).withColumnRenamed("node", "id").checkpoint()
@@ -278,10 +295,11 @@ def linked_classes(heads: DataFrame, texts: DataFrame, words: int, percent: int)
     if not crowded.isEmpty():
         rest = rest.join(crowded, "family", "left_anti").unionByName(second_level(rest.join(crowded, "family", "left_semi"), heads)).checkpoint()
     # Their classes that may be near over components form families, within which the texts decide.
-    candidates = compared(rest, heads.select("id", "n_shingles", "signature"), BLOCK_ROWS, lambda columns, apart: plausible(columns, apart, percent)).checkpoint()
+    candidates = compared(rest, lambda cells: cells.join(heads.select("id", "n_shingles", "signature"), "id"), BLOCK_ROWS, lambda columns, apart: plausible(columns, apart, percent)).checkpoint()
     families = connected_components(candidates).select(F.col("component").alias("family"), F.col("node").alias("id"))
     members = families.join(found, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component")).checkpoint()
-    late = compared(members, chosen, 256, lambda columns, apart: similar(columns, apart, words, percent))
+    named = heads.select("id", "doc", "mark").join(members, "id", "left_semi").checkpoint()
+    late = compared(members, lambda cells: with_texts(cells, named, texts), 256, lambda columns, apart: similar(columns, apart, words, percent))
     return links.union(late).checkpoint()
 
 
@@ -308,13 +326,13 @@ def cells(rows: DataFrame, size: int) -> DataFrame:
     return dealt.join(ends, ["family", "block"]).select("family", "x", "y", "side", "id", "component")
 
 
-def compared(rows: DataFrame, known: DataFrame, size: int, partners) -> DataFrame:
-    """Pairs ``a, b`` that join what ``partners`` finds near inside the cells of ``rows``; ``known`` has what is compared.
+def compared(rows: DataFrame, known: Callable[[DataFrame], DataFrame], size: int, partners) -> DataFrame:
+    """Pairs ``a, b`` that join what ``partners`` finds near inside the cells of ``rows``; ``known`` adds what is compared.
 
     ``partners`` gets the columns of a cell and a matrix of the pairs to look at, and returns a matrix of those that are
     near. Only a spanning forest of them is returned, so a cell never gives more pairs than it has rows.
     """
-    stream = cells(rows, size).join(known, "id").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "side")
+    stream = known(cells(rows, size)).repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "side")
     names = [c for c in stream.columns if c not in ("family", "x", "y", "side", "id", "component")]
     stream = stream.select("family", "x", "y", "side", "id", "component", *names)
 

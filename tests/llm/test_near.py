@@ -1,8 +1,11 @@
 """Near dedup, components and decontamination against brute force."""
 
+import json
 import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -217,3 +220,47 @@ def test_crowded_buckets_give_the_same_components(corpus, monkeypatch):
     monkeypatch.setattr(near_dedup, "CROWD", 2)
     assert sorted(near_dedup.near_duplicates(docs, words=2).collect()) == plain
     assert len({r.component_id for r in plain}) <= 60
+
+
+ALONE = """
+import random, sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from modelward.llm import near_dedup
+
+here = sys.argv[2]
+conf = {"spark.ui.enabled": "false", "spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{here}/events", "spark.eventLog.rolling.enabled": "false", "spark.eventLog.compress": "false",
+        "spark.sql.shuffle.partitions": "4", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.driver.memory": "1g", "spark.driver.host": "127.0.0.1", "spark.local.dir": here}
+spark = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+spark.sparkContext.setCheckpointDir(f"{here}/kept")
+rnd = random.Random(17)
+texts = [" ".join(f"{rnd.getrandbits(32):08x}" for _ in range(3000)) for _ in range(400)]
+spark.createDataFrame(list(enumerate(texts + [t + " end" for t in texts[:5]])), "doc_id long, text string").write.parquet(f"{here}/docs")
+near_dedup.near_duplicates(spark.read.parquet(f"{here}/docs")).write.parquet(f"{here}/found")
+spark.stop()
+"""
+
+
+def test_only_texts_with_a_near_partner_are_shuffled(corpus, tmp_path):
+    """Disk goes by the texts that are compared, not by the corpus; nothing is broadcast, as on large tables."""
+    (tmp_path / "events").mkdir()
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", ALONE, root, str(tmp_path)], check=True, timeout=300, capture_output=True)
+    events = [json.loads(line) for log in (tmp_path / "events").iterdir() for line in log.read_text().splitlines()]
+    written = sum(e["Task Metrics"]["Shuffle Write Metrics"]["Shuffle Bytes Written"] for e in events if e["Event"] == "SparkListenerTaskEnd" and e.get("Task Metrics"))
+    got = {r.doc_id: r.component_id for r in corpus.read.parquet(f"{tmp_path}/found").collect()}
+    assert got == {i: i - 400 if i >= 400 else i for i in range(405)}
+    assert 0 < written < 405 * 3000 * 9 / 4
+
+
+def test_texts_are_found_whatever_the_filter_lets_pass(corpus, monkeypatch):
+    """A full filter shuffles more and loses nothing; equal rows of an id and text give a row once."""
+    texts = corpus.createDataFrame([(i, 10 + i, f"t{i}") for i in range(50)] + [(3, 13, "t3"), (3, 99, "other")], "doc long, mark long, text string")
+    wanted = corpus.createDataFrame([(100 + i, i, 10 + i) for i in range(0, 50, 3)], "id long, doc long, mark long")
+    rows = corpus.createDataFrame([(103, "x"), (103, "y"), (148, "z")], "id long, place string")
+    want = [(103, "x", "t3"), (103, "y", "t3"), (148, "z", "t48")]
+    for least, most in ((near_dedup.LEAST_BITS, near_dedup.MOST_BITS), (64, 64)):
+        monkeypatch.setattr(near_dedup, "LEAST_BITS", least)
+        monkeypatch.setattr(near_dedup, "MOST_BITS", most)
+        assert sorted(map(tuple, near_dedup.with_texts(rows, wanted, texts).select("id", "place", "text").collect())) == want
+    assert near_dedup.with_texts(rows, wanted.where("false"), texts).count() == 0

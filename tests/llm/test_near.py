@@ -6,6 +6,7 @@ import random
 import re
 import subprocess
 import sys
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -184,6 +185,45 @@ def test_items_whose_words_the_fitted_sample_lacks(corpus, monkeypatch):
     assert {i for i, _ in items} == {r.doc_id for r in found} and all(r.doc_id == r.item_id for r in found)
 
 
+def test_latent_space_is_fitted_on_all_documents(corpus, monkeypatch):
+    """The basis holds as much of all documents' and items' passages as singular vectors can; copies count once."""
+    monkeypatch.setattr(decontamination, "FIT_DOCUMENTS", 20)
+    rnd, window, weight = random.Random(6), decontamination.WINDOW, 0.1
+    topics = [[f"t{t}w{k}" for k in range(5)] for t in range(40)]
+    texts = [rnd.choices(topics[d % 40], k=rnd.randint(5, 45)) + [f"u{d}"] * (d % 2) + rnd.choices(topics[d % 7], k=3) for d in range(600)]
+    texts += [["t1w1", "u1", "t2w2"], ["t1w1", "u2", "t2w2"], ["t1w1", "u2"] * 90, ["u3"]]
+    rows = [(d, " ".join(t)) for d, t in enumerate(texts + texts[:200])] + [(None, None), (7, "")]
+    every = [w for t in topics for w in t]
+    rnd.shuffle(every)
+    items = decontamination.items_of([(bytes([k]), " ".join(every[20 * k : 20 * k + 20])) for k in range(10)])
+    names = {decontamination.hashed(w)[0]: w for w in every}
+    vocabulary = np.array(sorted(names))
+    place = {names[h]: k for k, h in enumerate(vocabulary)}
+    docs = corpus.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    frequency, n, fitted = decontamination.corpus_pass(docs, vocabulary, "text")
+    held = Counter(w for _, text in rows for w in set((text or "").split()))
+    assert n == len(rows) and frequency.tolist() == [held[names[h]] for h in vocabulary] and fitted.count() == len(texts) - 1
+    idf = np.log((n + 1) / (frequency + 0.5)).clip(0.05)
+    basis = decontamination.fitted_basis(fitted, decontamination.Index(items, vocabulary, idf, frequency=frequency), weight)
+    passages = []
+    own = [[place.get(w) for w in t] for t in texts] + [np.searchsorted(vocabulary, i.words).tolist() for i in items]
+    for k, words in enumerate(own):
+        for a in range(0, len(words), window):
+            row = np.zeros(len(vocabulary))
+            np.add.at(row, known := [w for w in words[a : a + window] if w is not None], idf[known])
+            passages.append(row / max(np.sqrt((idf[known] ** 2).sum()), 1e-6) * (np.sqrt(weight) if k < len(texts) else 1))
+    whole = np.array(passages).T @ np.array(passages)
+    best = np.sort(np.linalg.eigvalsh(whole))[::-1][: decontamination.RANK].sum()
+    assert np.allclose(basis.T @ basis, np.eye(decontamination.RANK), atol=1e-3) and np.trace(basis.T @ whole @ basis) > 0.98 * best
+    # many texts at once, in small parts
+    monkeypatch.setattr(decontamination, "FIT_WORDS", 30)
+    total, flat = np.zeros(basis.shape), [len(vocabulary) if w is None else w for words in own for w in words]
+    sizes, end = np.array([len(words) for words in own]), sum(map(len, texts))
+    decontamination.add_passages(total, basis * weight, idf, np.array(flat[:end], np.uint8), sizes[: len(texts)])
+    decontamination.add_passages(total, basis, idf, np.array(flat[end:], np.uint8), sizes[len(texts) :])
+    assert np.allclose(total, whole @ basis, rtol=1e-4, atol=1e-3)
+
+
 def test_crowded_buckets_are_cut_without_losing_near_pairs(corpus):
     """A bucket of singletons that share one chunk and no more doesn't grow with its square; pairs at the distance meet."""
     rng = np.random.default_rng(12)

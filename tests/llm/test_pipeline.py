@@ -54,6 +54,18 @@ def test_decontamination_goes_by_rows(corpus):
     assert got == {r for r in rows if r[1] not in items}
 
 
+def test_decontamination_fits_on_all_documents(corpus, monkeypatch):
+    """However many documents there are, all that share a word with the benchmark are fitted; copies count once."""
+    monkeypatch.setattr(decontamination, "FIT_DOCUMENTS", 5)
+    seen, fitted = [], decontamination.fitted_basis
+    monkeypatch.setattr(decontamination, "fitted_basis", lambda texts, *rest: seen.append(texts.count()) or fitted(texts, *rest))
+    words = corpus.read.parquet(f"{FOLDER}/benchmark.parquet").first().text.split()
+    rows = [(d, f"{words[d % len(words)]} unknown{d % 60}") for d in range(120)] + [(None, None), (1, ""), (2, "\t")]
+    docs = corpus.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert pipeline.without_benchmark(corpus, docs, FOLDER).count() == len(rows)
+    assert seen == [len({text for _, text in rows[:120]})]
+
+
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
